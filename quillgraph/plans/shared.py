@@ -6,6 +6,7 @@ Intermediate results live in the folder that every executor shares
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which a mostly idle driver rarely
+    does; long chains of cut steps call this after large ones, so disk use is a step's and not the chain's."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
