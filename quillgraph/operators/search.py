@@ -100,6 +100,10 @@ def _contains(values: Column, term: str) -> Column:
     return F.array_contains(values, term)
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def scored(corpus: Corpus, question: str, within: str | None = None, plain: bool = False) -> DataFrame:
     """Every candidate with its score, once per symbol, file or route: file, qualified_name, route_line, start_line, start_col, score, exact."""
     terms, (exact, dotted) = tx.query_terms(question), tx.identifiers(question)
@@ -108,7 +112,7 @@ def scored(corpus: Corpus, question: str, within: str | None = None, plain: bool
     priority = F.when(F.col("qualified_name").isNotNull() & F.contains(low, F.lit(".")) & low.isin(*dotted), 2).when(F.col("qualified_name").isNotNull() & F.lower("name").isin(*exact), 1).otherwise(0)
     field = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
     d = d.select("*", field("body").alias("tb"), field("local_name").alias("tn"), field("signature").alias("ts"), field("doc_text").alias("td"), field("file").alias("tp"))
-    tf = [F.size(F.filter("tb", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [_occurrences("tb", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     boost = [(F.when(_contains(F.col("tn"), t), tx.NAME).otherwise(0.0) + F.when(_contains(F.col("ts"), t), tx.SIGNATURE).otherwise(0.0) + F.when(_contains(F.col("td"), t), tx.DOCUMENTATION).otherwise(0.0) + F.when(_contains(F.col("tp"), t), tx.PATH).otherwise(0.0)).alias(f"b{i}") for i, t in enumerate(terms)]
     d = d.select("file", "qualified_name", "route_line", "start_line", "start_col", priority.alias("priority"), F.size("tb").alias("len"), *tf, *boost)
     # The statistics are one row over all documents; the filter below never reaches them.

@@ -1,10 +1,351 @@
-"""Named queries over the driver's tables, with their SQL."""
+"""Named queries over the driver's tables, with the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quillgraph.corpus import Corpus
+from quillgraph.functions import text as tx
+from quillgraph.operators import changes, evidence, find_text, graph, resolve, search
+from quillgraph.sources import adapters
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+PATTERN = "th[a-z]+e"
+QUESTION = "where does Thanedble meet the ingtion of heerth"
+SCOPES = ["src0", "src1", "src1/en", "src2/de"]
+_PATH = "coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc_' || doc_id || '.txt'"
+_LINES = f"lines AS (SELECT {_PATH} AS file, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)"
+
+
+def _matches(pattern: str) -> str:
+    return f"""{_LINES}, hits AS (SELECT file, line, t, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS got FROM lines WHERE regexp_matches(t, '{pattern}')),
+  found AS (SELECT file, line, unnest(range(1, len(got) + 1)) AS i, gaps, got FROM hits),
+  placed AS (SELECT file, line, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(got[1:i - 1], lambda x: length(x))), 0))::INT AS col, length(got[i])::INT AS length FROM found)"""
+
+
+@query(f"WITH {_matches(PATTERN)} SELECT file, line::INT AS line, col, length FROM placed")
+def find_text_docs(spark: SparkSession, d: str) -> DataFrame:
+    return find_text.matches(adapters.docs(spark, d).files, PATTERN).drop("text")
+
+
+@query(f"WITH {_matches('(?i)LICENSE')} SELECT file, line::INT AS line, col, length FROM placed")
+def find_text_fixed_ignorecase(spark: SparkSession, d: str) -> DataFrame:
+    return find_text.matches(adapters.docs(spark, d).files, "license", fixed=True, ignore_case=True).drop("text")
+
+
+@query(f"""WITH {_matches(PATTERN)}, g AS (SELECT file, count(*) AS group_matches FROM placed GROUP BY file),
+  r AS (SELECT *, row_number() OVER (ORDER BY file) AS rank, count(*) OVER () AS total_groups, (sum(group_matches) OVER ())::BIGINT AS total_matches FROM g)
+SELECT rank::INT AS rank, file, group_matches, total_groups, total_matches, total_groups - (SELECT count(*) FROM r WHERE rank <= 12) AS omitted_groups, total_matches - (SELECT sum(least(group_matches, 3)) FROM r WHERE rank <= 12)::BIGINT AS omitted_matches FROM r WHERE rank <= 12""")
+def find_text_groups(spark: SparkSession, d: str) -> DataFrame:
+    out = find_text.find_text(adapters.docs(spark, d), PATTERN, limit=12, matches_per_group=3, plain=True)
+    return out.select("rank", "file", "group_matches", "total_groups", "total_matches", "omitted_groups", "omitted_matches")
+
+
+@query()
+def find_text_backtracking(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern with a reference back, which runs under a deadline in Python."""
+    return find_text.matches(adapters.docs(spark, d).files, r"\b(\w{4,})\1\b", budget_ms=600_000).drop("text")
+
+
+_TOKENS = """regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"""
+_STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
+
+
+def _tok(column: str) -> str:
+    return f"list_filter(string_split_regex(lower({_TOKENS.format(column)}), '[^a-z0-9]+'), lambda t: length(t) BETWEEN 2 AND 64 AND t NOT IN ({_STOP}))"
+
+
+_BODIES = f"bodies AS (SELECT {_PATH} AS file, {_tok('coalesce(text, chr(32))')} AS tb, {_tok(_PATH)} AS tp FROM documents)"
+
+
+@query(f"WITH {_BODIES}, t AS (SELECT file, unnest(tb) AS term FROM bodies) SELECT term, count(*) AS tf, count(DISTINCT file) AS docs FROM t GROUP BY term")
+def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
+    t = search.documents(adapters.docs(spark, d), plain=True).select("file", F.explode(tx.tokens(F.col("body"))).alias("term"))
+    # Terms of a file first, so a frequent term is one row per file in the second aggregation.
+    return t.groupBy("term", "file").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"WITH {_BODIES} SELECT count(*) AS documents, sum(len(tb))::BIGINT AS total_tokens, greatest(1.0, sum(len(tb)) / greatest(count(*), 1))::DOUBLE AS average_length FROM bodies")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return search.corpus_stats(adapters.docs(spark, d), plain=True)
+
+
+@query(f"WITH {_BODIES}, t AS (SELECT file, unnest(list_distinct(list_concat(tb, tp))) AS term FROM bodies) SELECT term, count(*) AS df FROM t GROUP BY term")
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(adapters.docs(spark, d), plain=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _ask_sql(question: str, within: str = "") -> str:
+    terms = tx.query_terms(question)
+    tf = ", ".join(f"len(list_filter(tb, lambda x: x = '{t}')) AS tf{i}, CASE WHEN list_contains(tp, '{t}') THEN 1.0 ELSE 0.0 END AS b{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"sum(CASE WHEN tf{i} > 0 OR b{i} > 0 THEN 1 ELSE 0 END)::DOUBLE AS df{i}" for i in range(len(terms)))
+    lex = " + ".join(f"(CASE WHEN df{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 0 END) * (b{i} + CASE WHEN tf{i} > 0 THEN 2.2::DOUBLE * tf{i} / (tf{i} + 1.2::DOUBLE * (0.25 + 0.75 * len / avg)) ELSE 0 END)" for i in range(len(terms)))
+    where = f"WHERE file = '{within}' OR starts_with(file, '{within}/')" if within else ""
+    return f"""{_BODIES}, d AS (SELECT file, len(tb)::DOUBLE AS len, {tf} FROM bodies), s AS (SELECT count(*)::DOUBLE AS n, greatest(1.0, sum(len) / greatest(1, count(*)))::DOUBLE AS avg, {df} FROM d),
+  l AS (SELECT file, {lex} AS lexical FROM d, s {where}), scored AS (SELECT file, lexical / (1 + lexical) AS score FROM l WHERE lexical > 0)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_ask_sql(QUESTION)} SELECT row_number() OVER (ORDER BY score DESC, file)::INT AS rank, file, round(score, 6) AS score, (SELECT count(*) FROM scored) AS total_candidates, (SELECT count(*) FROM scored) - 20 AS omitted_hits FROM scored ORDER BY score DESC, file LIMIT 20")
+def ask_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=20, plain=True).select("rank", "file", "score", "total_candidates", "omitted_hits"))
+
+
+@query(f"WITH {_ask_sql(QUESTION, 'src3')} SELECT file, round(score, 6) AS score FROM scored")
+def ask_docs_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates below a path, with the statistics of the whole corpus."""
+    return _rounded(search.scored(adapters.docs(spark, d), QUESTION, "src3", plain=True).select("file", "score"))
+
+
+@query(f"""WITH {_ask_sql(QUESTION)}, owned AS (SELECT *, CASE WHEN starts_with(file, 'src1/en/') THEN 'src1/en' WHEN starts_with(file, 'src2/de/') THEN 'src2/de' WHEN starts_with(file, 'src1/') THEN 'src1' WHEN starts_with(file, 'src0/') THEN 'src0' END AS scope FROM scored),
+  turns AS (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY score DESC, file)::INT AS turn, file, round(score, 6) AS score FROM owned WHERE scope IS NOT NULL)
+SELECT * FROM turns ORDER BY turn, scope LIMIT 10""")
+def scoped_ask_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.scoped_ask(adapters.docs(spark, d), QUESTION, SCOPES, 10, plain=True).drop("qualified_name"))
+
+
+@query()
+def ask_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=8, plain=True))
+
+
+# The star schema as a graph.
+_LF = "CASE WHEN l_returnflag = 'R' THEN 'tests/lineitem_r' ELSE 'lineitem/' || lower(l_returnflag) END"
+_STAR = f"""l AS (SELECT *, {_LF} AS lf, {_LF} || '#' || l_orderkey || '-' || l_linenumber AS lq, (l_orderkey * 8 + l_linenumber)::INT AS ln FROM lineitem),
+  o AS (SELECT *, 'orders/' || lower(o_orderstatus) AS ofile, 'orders/' || lower(o_orderstatus) || '#' || o_orderkey AS oq FROM orders),
+  symbols AS (SELECT lq AS qualified_name, lf AS file, l_orderkey || '-' || l_linenumber AS name, 'function' AS kind, ln AS line FROM l UNION ALL SELECT oq, ofile, o_orderkey::VARCHAR, 'class', (o_orderkey + 1)::INT FROM o
+    UNION ALL SELECT 'customer/all#' || c_custkey, 'customer/all', c_custkey::VARCHAR, 'class', (c_custkey + 1)::INT FROM customer UNION ALL SELECT 'supplier/all#' || s_suppkey, 'supplier/all', s_suppkey::VARCHAR, 'class', (s_suppkey + 1)::INT FROM supplier
+    UNION ALL SELECT 'part/all#' || p_partkey, 'part/all', p_partkey::VARCHAR, 'class', (p_partkey + 1)::INT FROM part UNION ALL SELECT 'nation/all#' || n_nationkey, 'nation/all', n_nationkey::VARCHAR, 'class', n_nationkey + 1 FROM nation UNION ALL SELECT 'region/all#' || r_regionkey, 'region/all', r_regionkey::VARCHAR, 'class', r_regionkey + 1 FROM region),
+  edges AS (SELECT 'calls' AS kind, lf AS from_file, lq AS from_symbol, l_orderkey::VARCHAR AS to_name, ln AS line, oq AS to_symbol, ofile AS to_file FROM l JOIN o ON l_orderkey = o_orderkey
+    UNION ALL SELECT 'references', lf, lq, l_partkey::VARCHAR, ln, 'part/all#' || l_partkey, 'part/all' FROM l UNION ALL SELECT 'references', lf, lq, l_suppkey::VARCHAR, ln, 'supplier/all#' || l_suppkey, 'supplier/all' FROM l
+    UNION ALL SELECT 'calls', ofile, oq, o_custkey::VARCHAR, (o_orderkey + 1)::INT, 'customer/all#' || o_custkey, 'customer/all' FROM o
+    UNION ALL SELECT 'extends', 'customer/all', 'customer/all#' || c_custkey, c_nationkey::VARCHAR, (c_custkey + 1)::INT, 'nation/all#' || c_nationkey, 'nation/all' FROM customer
+    UNION ALL SELECT 'extends', 'supplier/all', 'supplier/all#' || s_suppkey, s_nationkey::VARCHAR, (s_suppkey + 1)::INT, 'nation/all#' || s_nationkey, 'nation/all' FROM supplier
+    UNION ALL SELECT 'extends', 'nation/all', 'nation/all#' || n_nationkey, n_regionkey::VARCHAR, n_nationkey + 1, 'region/all#' || n_regionkey, 'region/all' FROM nation)"""
+
+
+def _deg(where: str = "") -> str:
+    return """ins AS (SELECT to_symbol AS q, count(*) AS in_edges, count(DISTINCT from_file) AS in_files FROM edges GROUP BY 1), outs AS (SELECT from_symbol AS q, count(*) AS out_edges FROM edges GROUP BY 1),
+  deg AS (SELECT coalesce(ins.q, outs.q) AS qualified_name, coalesce(in_edges, 0) AS in_edges, coalesce(in_files, 0) AS in_files, coalesce(out_edges, 0) AS out_edges FROM ins FULL JOIN outs ON ins.q = outs.q)"""
+
+
+_HIT = "'{d}'::INT AS depth, from_file AS file, line, kind, from_symbol AS symbol, to_symbol AS node"
+
+
+@query(f"WITH {_STAR} SELECT {_HIT.format(d=1)} FROM edges WHERE to_symbol = 'nation/all#3'")
+def callers_d1(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callers(adapters.star(spark, d), "nation/all#3").drop("status")
+
+
+@query(f"WITH {_STAR}, one AS (SELECT * FROM edges WHERE to_symbol = 'customer/all#7'), two AS (SELECT * FROM edges WHERE to_symbol IN (SELECT from_symbol FROM one)) SELECT {_HIT.format(d=1)} FROM one UNION ALL SELECT {_HIT.format(d=2)} FROM two")
+def callers_d2(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callers(adapters.star(spark, d), "customer/all#7", depth=2).drop("status")
+
+
+@query(f"WITH {_STAR}, one AS (SELECT * FROM edges WHERE from_symbol = 'orders/f#1'), two AS (SELECT * FROM edges WHERE from_symbol IN (SELECT to_symbol FROM one)) SELECT 1 AS depth, from_file AS file, line, kind, to_symbol AS symbol, from_symbol AS node FROM one UNION ALL SELECT 2, from_file, line, kind, to_symbol, from_symbol FROM two")
+def callees_d2(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callers(adapters.star(spark, d), "orders/f#1", "out", 2).drop("status")
+
+
+@query(f"WITH RECURSIVE {_STAR}, r AS (SELECT 'region/all#1' AS node, 0 AS depth UNION SELECT from_symbol, depth + 1 FROM edges JOIN r ON to_symbol = node WHERE depth < 4) SELECT depth, count(*) AS nodes FROM (SELECT node, min(depth) AS depth FROM r GROUP BY node) GROUP BY depth")
+def closure_levels(spark: SparkSession, d: str) -> DataFrame:
+    """How many symbols depend on a region, level by level."""
+    e = adapters.star(spark, d).edges.select(F.col("to_symbol").alias("src"), F.col("from_symbol").alias("dst"))
+    seeds = spark.createDataFrame([("region/all#1",)], "node string")
+    return graph.bfs(e, seeds, 4).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"""WITH {_STAR}, one AS (SELECT to_symbol AS q, count(*) AS d1_edges, count(DISTINCT from_file) AS d1_files, count(DISTINCT split_part(from_file, '/', 1)) AS d1_dirs, count(DISTINCT CASE WHEN from_file LIKE 'tests/%' THEN from_file END) AS tests FROM edges GROUP BY 1)
+SELECT qualified_name, coalesce(d1_edges, 0) AS d1_edges, coalesce(d1_files, 0) AS d1_files, coalesce(d1_dirs, 0) AS d1_dirs, 0::BIGINT AS unresolved_same_name, coalesce(tests, 0) AS tests FROM (SELECT DISTINCT qualified_name FROM symbols) LEFT JOIN one ON q = qualified_name""")
+def reach_d1(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reach(adapters.star(spark, d))
+
+
+@query(f"""WITH {_STAR}, pick AS (SELECT 'nation/all#' || n_nationkey AS q FROM nation), first AS (SELECT DISTINCT to_symbol AS root, from_symbol AS caller FROM edges JOIN pick ON q = to_symbol),
+  second AS (SELECT root, e.from_file, row_number() OVER (PARTITION BY root ORDER BY caller, e.from_file, e.line) AS n FROM first JOIN edges e ON e.to_symbol = caller),
+  two AS (SELECT root, least(count(*), 2000) AS d2_edges, count(DISTINCT CASE WHEN n <= 2000 THEN from_file END) AS d2_files, count(*) > 2000 AS d2_capped FROM second GROUP BY 1)
+SELECT q AS qualified_name, coalesce(d2_edges, 0) AS d2_edges, coalesce(d2_files, 0) AS d2_files, coalesce(d2_capped, false) AS d2_capped FROM pick LEFT JOIN two ON root = q""")
+def reach_d2(spark: SparkSession, d: str) -> DataFrame:
+    nations = adapters.table(spark, d, "nation").select(F.concat(F.lit("nation/all#"), "n_nationkey").alias("qualified_name"))
+    return graph.reach(adapters.star(spark, d), nations, 2).select("qualified_name", "d2_edges", "d2_files", "d2_capped")
+
+
+@query(f"WITH {_STAR}, {_deg()} SELECT d.qualified_name, kind, file, line, in_edges, in_files, out_edges FROM deg d JOIN (SELECT DISTINCT * FROM symbols) USING (qualified_name) ORDER BY in_edges + out_edges DESC, d.qualified_name LIMIT 10")
+def degree_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hotspots(adapters.star(spark, d))
+
+
+@query(f"WITH {_STAR}, {_deg()}, r AS (SELECT split_part(file, '/', 1) || '/' AS dir, d.qualified_name, kind, in_edges, in_files, out_edges, row_number() OVER (PARTITION BY split_part(file, '/', 1) ORDER BY in_edges + out_edges DESC, d.qualified_name) AS rank, count(*) OVER (PARTITION BY split_part(file, '/', 1)) AS n FROM deg d JOIN (SELECT DISTINCT * FROM symbols) USING (qualified_name)) SELECT dir, rank::INT AS rank, qualified_name, kind, in_edges, in_files, out_edges, greatest(n - 3, 0) AS dropped_hubs FROM r WHERE rank <= 3")
+def map_hubs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hubs(adapters.star(spark, d))
+
+
+@query(f"""WITH {_STAR}, e AS (SELECT split_part(from_file, '/', 1) || '/' AS a, split_part(to_file, '/', 1) || '/' AS b FROM edges), x AS (SELECT a AS dir, CASE WHEN a = b THEN 1 ELSE 0 END AS i, CASE WHEN a = b THEN 0 ELSE 1 END AS o FROM e UNION ALL SELECT b, 0, 1 FROM e WHERE a <> b),
+  ed AS (SELECT dir, sum(i)::BIGINT AS internal_edges, sum(o)::BIGINT AS external_edges FROM x GROUP BY 1), f AS (SELECT split_part(file, '/', 1) || '/' AS dir, count(DISTINCT file) AS file_count, count(*) AS symbol_count FROM symbols GROUP BY 1)
+SELECT dir, file_count, symbol_count, coalesce(internal_edges, 0) AS internal_edges, coalesce(external_edges, 0) AS external_edges, greatest((SELECT count(*) FROM f) - 6, 0) AS dropped_dirs FROM f LEFT JOIN ed USING (dir) ORDER BY internal_edges + external_edges DESC, symbol_count DESC, dir LIMIT 6""")
+def map_directories(spark: SparkSession, d: str) -> DataFrame:
+    return graph.directories(adapters.star(spark, d), 6)
+
+
+@query(f"WITH {_STAR} SELECT qualified_name, name, kind, line AS start_line, line AS end_line, n_name AS signature FROM symbols JOIN nation ON 'nation/all#' || n_nationkey = qualified_name WHERE file = 'nation/all'")
+def skeleton_file(spark: SparkSession, d: str) -> DataFrame:
+    return graph.skeleton(adapters.star(spark, d), "nation/all")
+
+
+@query()
+def generation(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.star(spark, d).generation()
+
+
+# Links of web pages, resolved by name.
+_WEB = r"""p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) || '/page_' || page_id || '.html' AS path, lower(regexp_extract(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^[^\p{L}]*(\p{L}+)', 1)) AS word, regexp_extract(html, '<html lang="(\w+)"', 1) AS lang, html FROM pages),
+  links AS (SELECT path, lang, CASE WHEN word <> '' THEN path || '#' || word ELSE '' END AS own, unnest(range(1, len(regexp_extract_all(html, 'href="/([^"]*)"', 1)) + 1)) AS line, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM p),
+  raw AS (SELECT path, lang, own, line::INT AS line, lower(regexp_extract(target, '^[^\p{L}]*(\p{L}+)', 1)) AS key FROM links WHERE regexp_extract(target, '^[^\p{L}]*(\p{L}+)', 1) <> ''),
+  far AS (SELECT lang, word, count(*) AS n, min(path || '#' || word) AS q FROM p WHERE word <> '' GROUP BY 1, 2),
+  solved AS (SELECT r.path AS from_file, r.lang, own AS from_symbol, key AS to_name, line, CASE WHEN own = r.path || '#' || key THEN own WHEN n = 1 THEN q END AS to_symbol, CASE WHEN own = r.path || '#' || key OR n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status,
+    CASE WHEN own = r.path || '#' || key THEN 'same-file-name' WHEN n = 1 THEN 'unique-name' END AS method, CASE WHEN n IS NULL THEN 'no-matching-symbol' END AS reason FROM raw r LEFT JOIN far f ON r.lang = f.lang AND r.key = f.word)"""
+
+
+def _web(spark: SparkSession, d: str) -> Corpus:
+    c = adapters.web(spark, d)
+    return c.with_edges(resolve.by_name(c))
+
+
+@query(f"WITH {_WEB} SELECT from_file, from_symbol, to_name, line, to_symbol, status, method, reason FROM solved")
+def resolve_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    return _web(spark, d).edges.select("from_file", "from_symbol", "to_name", "line", "to_symbol", "status", "method", "reason")
+
+
+@query(f"""WITH {_WEB}, t AS (SELECT lang AS language, count(*) AS edges, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unresolved') AS unresolved FROM solved GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*) FILTER (status = 'resolved'), count(*) FILTER (status = 'ambiguous'), count(*) FILTER (status = 'unresolved') FROM solved),
+  f AS (SELECT lang AS language, count(*) AS files, count(*) FILTER (word <> '') AS symbols FROM p GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*) FILTER (word <> '') FROM p)
+SELECT language, files, symbols, coalesce(edges, 0) AS edges, coalesce(edges, 0) AS calls, coalesce(resolved, 0) AS resolved, coalesce(ambiguous, 0) AS ambiguous, coalesce(unresolved, 0) AS unresolved, CASE WHEN edges > 0 THEN round(resolved::DOUBLE / edges, 4) ELSE 0 END AS resolved_share FROM f LEFT JOIN t USING (language)""")
+def coverage_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.resolution_coverage(_web(spark, d)).select("language", "files", "symbols", "edges", "calls", "resolved", "ambiguous", "unresolved", "resolved_share")
+
+
+@query(f"WITH {_WEB} SELECT to_name AS key, count(*) AS n, count(DISTINCT from_file) AS files FROM solved WHERE to_symbol IS NULL GROUP BY 1")
+def unresolved_same_name(spark: SparkSession, d: str) -> DataFrame:
+    return graph.unresolved_by_name(_web(spark, d).edges).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("from_file").alias("files"))
+
+
+# Two snapshots: orders up to one date, and from another one on, some of them repriced.
+_SNAP = "a AS (SELECT *, 'orders/' || lower(o_orderstatus) || '#' || o_orderkey AS q, o_orderpriority AS says FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'), b AS (SELECT *, 'orders/' || lower(o_orderstatus) || '#' || o_orderkey AS q, o_orderpriority || CASE WHEN o_orderkey % 10 = 0 THEN '*' ELSE '' END AS says FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')"
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[Corpus, Corpus]:
+    o = adapters.table(spark, d, "orders")
+    before = o.filter(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp"))
+    after = o.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")).withColumn("o_orderpriority", F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 10 == 0, "*").otherwise("")))
+    only = lambda c: Corpus(c.files, c.symbols.filter("file like 'orders/%'"), c.edges)
+    return only(adapters.star(spark, d, orders=before)), only(adapters.star(spark, d, orders=after))
+
+
+@query(f"WITH {_SNAP} SELECT a.q AS old_name, b.q AS new_name, CASE WHEN a.q IS NULL THEN 'added' WHEN b.q IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.q = b.q WHERE a.q IS NULL OR b.q IS NULL OR a.says <> b.says")
+def impact_changes(spark: SparkSession, d: str) -> DataFrame:
+    return changes.symbol_changes(*_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAP}, c AS (SELECT coalesce(b.q, a.q) AS q FROM a JOIN b ON a.q = b.q WHERE a.says <> b.says), {_STAR}, one AS (SELECT DISTINCT from_symbol AS node FROM edges WHERE to_symbol IN (SELECT q FROM c)) SELECT node, 1 AS depth FROM one WHERE node NOT IN (SELECT q FROM c)")
+def impact_dependents(spark: SparkSession, d: str) -> DataFrame:
+    base, current = _snapshots(spark, d)
+    seeds = changes.symbol_changes(base, current).filter("change = 'changed'").select(F.col("new_name").alias("node"))
+    return changes.dependents(adapters.star(spark, d), seeds, 2).select("node", "depth")
+
+
+@query("SELECT 'orders/' || lower(o_orderstatus) || '.' || o_orderkey % 50 AS path, CASE WHEN min(o_orderdate) >= TIMESTAMP '2000-01-01' THEN 'added' WHEN max(o_orderdate) < TIMESTAMP '1997-01-01' THEN 'deleted' ELSE 'changed' END AS change FROM orders GROUP BY 1 HAVING min(o_orderdate) < TIMESTAMP '1997-01-01' OR max(o_orderdate) >= TIMESTAMP '2000-01-01'")
+def freshness_delta(spark: SparkSession, d: str) -> DataFrame:
+    o = adapters.table(spark, d, "orders").withColumn("path", F.concat(F.lit("orders/"), F.lower("o_orderstatus"), F.lit("."), F.col("o_orderkey") % 50))
+    side = lambda rows: rows.groupBy("path").agg(F.sha2(F.sum(F.xxhash64("o_orderkey").cast("decimal(38,0)")).cast("string"), 256).alias("hash"))
+    return changes.freshness(side(o.filter("o_orderdate < timestamp '2000-01-01'")), side(o.filter("o_orderdate >= timestamp '1997-01-01'")))
+
+
+# Claims: where orders call a customer, some right, some off.
+_CLAIMS = "c AS (SELECT DISTINCT ofile AS file, (o_orderkey + 1 + CASE WHEN o_orderkey % 3 = 0 THEN 100000000 ELSE 0 END)::INT AS line FROM o WHERE o_custkey IN (7, 8) AND o_orderkey % 5 <> 0 UNION SELECT 'nowhere', 1)"
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    o = adapters.table(spark, d, "orders").filter("o_custkey in (7, 8) and o_orderkey % 5 <> 0")
+    rows = o.select(F.concat(F.lit("orders/"), F.lower("o_orderstatus")).alias("file"), (F.col("o_orderkey") + 1 + F.when(F.col("o_orderkey") % 3 == 0, 100000000).otherwise(0)).cast("int").alias("line"))
+    return rows.unionAll(spark.createDataFrame([("nowhere", 1)], "file string, line int"))
+
+
+@query(f"""WITH {_STAR}, {_CLAIMS}, hits AS (SELECT DISTINCT from_file AS file, line FROM edges WHERE to_symbol = 'customer/all#7'), loose AS (SELECT DISTINCT from_file AS file, line FROM edges WHERE kind = 'calls' AND to_name = '7')
+SELECT c.file, c.line, CASE WHEN c.file NOT IN (SELECT file FROM symbols) THEN 'not-indexed' WHEN h.file IS NOT NULL THEN 'confirmed' WHEN l.file IS NOT NULL THEN 'name-only' ELSE 'no-call' END AS verdict FROM c LEFT JOIN hits h USING (file, line) LEFT JOIN loose l USING (file, line)
+UNION ALL SELECT file, line, 'missing' FROM hits ANTI JOIN c USING (file, line)""")
+def plumb_claims(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.plumb(adapters.star(spark, d), "customer/all#7", _claims(spark, d))
+
+
+@query(f"WITH {_STAR}, t AS (SELECT to_symbol AS qualified_name, from_file AS test_file, count(*) AS n FROM edges WHERE from_file LIKE 'tests/%' AND (to_symbol LIKE 'supplier/%') GROUP BY 1, 2) SELECT qualified_name, 1 AS rank, test_file, 'test-path-and-resolved-edge' AS basis, greatest(n - 10, 0)::INT AS omitted_sites, 0::BIGINT AS omitted_tests FROM t")
+def tests_for(spark: SparkSession, d: str) -> DataFrame:
+    c = adapters.star(spark, d)
+    return evidence.tests_for(c, c.symbols.filter("file = 'supplier/all'").select("qualified_name")).drop("sites").withColumn("omitted_sites", F.col("omitted_sites").cast("int"))
+
+
+@query(f"WITH {_STAR}, t AS (SELECT to_symbol AS qualified_name, to_file AS file, count(*) AS n FROM edges WHERE from_file = 'tests/lineitem_r' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY qualified_name) AS k, count(*) OVER () AS total FROM t) SELECT 'tests/lineitem_r' AS test_file, qualified_name, file, greatest(n - 10, 0)::INT AS omitted_sites, greatest(total - 50, 0) AS omitted_symbols, 0::BIGINT AS unresolved_edges FROM r WHERE k <= 50")
+def symbols_under_test(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([("tests/lineitem_r",)], "path string")
+    return evidence.symbols_under_test(adapters.star(spark, d), t).drop("lines").withColumn("omitted_sites", F.col("omitted_sites").cast("int"))
+
+
+@query(f"""WITH {_STAR}, w AS (SELECT l.*, l_shipdate FROM l WHERE l_shipdate >= TIMESTAMP '2001-06-01'), used AS (SELECT DISTINCT l_partkey FROM w WHERE lf NOT LIKE 'tests/%'), t AS (SELECT l_partkey, count(*) AS n FROM w WHERE lf LIKE 'tests/%' GROUP BY 1)
+SELECT 'part/all#' || p_partkey AS qualified_name, (p_partkey + 1)::INT AS line, coalesce(n, 0) AS test_sites FROM part LEFT JOIN t ON l_partkey = p_partkey WHERE p_partkey NOT IN (SELECT l_partkey FROM used)""")
+def unreferenced_parts(spark: SparkSession, d: str) -> DataFrame:
+    window = adapters.table(spark, d, "lineitem").filter("l_shipdate >= timestamp '2001-06-01'")
+    return evidence.unreferenced(adapters.star(spark, d, lineitem=window), "part/").select("qualified_name", "line", "test_sites")
+
+
+_NAMES = ["Haanth", "onhasttest", "the", "Ndndthe", "license", "Licensed", "zzz"]
+
+
+@query(rf"WITH n AS (SELECT unnest({_NAMES}) AS name), w AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}_$][\p{{L}}\p{{N}}_$]*')) AS name FROM documents), c AS (SELECT name, count(*) AS m FROM w GROUP BY 1) SELECT 'x#' || name AS qualified_name, coalesce(m, 0) AS mentions FROM n LEFT JOIN c USING (name)")
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame([(f"x#{n}", n, "x", 1, 1) for n in _NAMES], "qualified_name string, name string, file string, start_line int, end_line int")
+    return evidence.mentions(adapters.docs(spark, d), names)
+
+
+@query("""WITH t AS (SELECT 'conv_' || conv_id || '.txt' AS file, turn, len(string_split(coalesce(text, ''), chr(10))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT file, unnest(range(1, n + 1))::INT + before::INT AS line, file || '#' || turn AS symbol FROM s""")
+def innermost_symbol_by_line(spark: SparkSession, d: str) -> DataFrame:
+    c = adapters.chat(spark, d)
+    lines = c.files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("i", "t")).select("file", (F.col("i") + 1).alias("line"))
+    return find_text.innermost(lines, c.symbols).select("file", "line", "symbol")
+
+
+@query("""WITH h AS (SELECT item_id AS case_id, d.doc_id AS item, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+  e AS (SELECT item_id AS case_id, min(d.doc_id) AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1), m AS (SELECT e.case_id, min(h.rank) AS first FROM e LEFT JOIN h ON h.case_id = e.case_id AND h.item = e.item AND rank <= 5 GROUP BY 1), s AS (SELECT case_id, count(*) AS shown FROM h WHERE rank <= 5 GROUP BY 1)
+SELECT case_id, CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS recall, coalesce(round(1.0 / first, 6), 0)::DOUBLE AS reciprocal_rank, CASE WHEN first IS NULL THEN 0 ELSE round(1.0 / shown, 6) END::DOUBLE AS precision FROM m JOIN s USING (case_id)""")
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that quote a benchmark item, shortest first, against the first of them."""
+    from pyspark.sql import Window
+
+    b = F.broadcast(adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("quote")))
+    found = adapters.table(spark, d, "documents").join(b, F.contains("text", "quote")).select("case_id", F.col("doc_id").alias("item"), F.length("text").alias("n"))
+    hits = found.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("n", "item")))
+    m = evidence.ranking_metrics(hits, found.groupBy("case_id").agg(F.min("item").alias("item")))
+    return m.select("case_id", "recall", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("precision", 6).alias("precision"))
+
+
+@query("SELECT quantile_disc(value, 0.95) AS value FROM events")
+def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.nearest_rank(adapters.table(spark, d, "events"), "value", 0.95)
