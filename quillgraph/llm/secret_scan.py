@@ -171,6 +171,8 @@ def labelled_findings(seed: int = 11, each: int = 110) -> list[tuple[str, str, s
         add(pick(alnum + "!@#$%^&*", r.randint(8, 20)), f"{prose()} password = \"", "\"", r.choice(paths), 1, "named")
         add("AKIA" + pick(string.ascii_uppercase + string.digits, 16), prose() + " ", " " + prose(), r.choice(paths), 1)
         add("ghp_" + pick(alnum, 36), prose() + " ", " " + prose(), r.choice(paths), 1)
+        kind = r.choice(["RSA ", "EC ", "OPENSSH ", ""])
+        add(f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(b64, r.choice([6, 30, 64])) for _ in range(r.randint(1, 8))) + f"\n-----END {kind}PRIVATE KEY-----", prose() + "\n", "\n" + prose(), r.choice(paths), 1, "block")
         # What is taken for a secret.
         add(pick(hexa, r.choice([32, 40, 64])), f"{prose()} {r.choice(['commit', 'sha256:', 'md5 =', 'checksum: ', 'revision', 'etag = '])} ", f" {prose()}", r.choice(meek), 0)
         add(f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", f"{prose()} {r.choice(['id', 'uuid:', 'guid = ', 'ref'])} ", " " + prose(), r.choice(meek), 0)
