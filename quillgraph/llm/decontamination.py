@@ -170,7 +170,7 @@ def _block(docs: DataFrame, items: Items, least: float, span: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["gram", "n"])
 
     counts = np.zeros(len(items.grams), np.int64)
-    for r in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
     seeds = spark.sparkContext.broadcast(items.seeds(counts, span))
 

@@ -122,7 +122,7 @@ def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     counts = np.zeros((BUCKETS, len(languages)))
     place = {lang: k for k, lang in enumerate(languages)}
     summed = chosen.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in summed.toLocalIterator():
+    for r in summed.collect():
         counts[r["bucket"], place[r["lang"]]] = r["n"]
     smooth = 0.5
     matrix = np.log((counts + smooth) / (counts.sum(0) + smooth * BUCKETS)).astype(np.float32)
