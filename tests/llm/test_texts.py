@@ -1,0 +1,210 @@
+"""Operators that work text by text."""
+
+import random
+import re
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quillgraph.llm import decontamination, html_extract, language_id, quality_fm, quality_rules, secret_scan, text, token_counts
+
+
+def test_words_of_sliced_batches():
+    rows = ["Ünï  código\x0bx", None, "", "a\x1cb c\x85d", "Éé " * 50] * 40
+    batch = pa.record_batch({"t": pa.array(rows)})
+    got = []
+    for part in text.slices(batch, "t", 300):
+        flat, offsets = text.pure(text.texts_of(part, "t"))
+        words = flat.to_pylist()
+        got += [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == [re.findall(brute.WORD, r or "") for r in rows]
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p", ""),
+        ("<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a href=/x>menu</a></nav><div class=ad>Buy</div><article><h1>Head &lt;1&gt;</h1><p><b>First\n block.<br><p>Second&nbsp;one</article><footer>&copy; us</footer>", "Head <1> First block. Second one"),
+        ("<div class=page><div class='site-menu'><a>m</a></div><div class=story><p>Long text of the story stands here, in one block.<p>And more of it, in another.</div><div id=comments><p>I disagree with all of that, and say so at length here.</div><form>Name</form><aside>side</aside></div>", "Long text of the story stands here, in one block. And more of it, in another."),
+        ("<article><header><h1>Title</h1><p>by someone</header><p>Text.</p><div class='cookie-notice'>We use cookies</div></article>", "Title Text."),
+    ],
+)
+def test_main_text(html, expected):
+    assert html_extract.main_text(html) == expected
+
+
+def test_extracted_keeps_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", "old"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
+    rows = html_extract.extracted(df).collect()
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in rows] == [(1, "a b", 3), (2, "", 0), (2, "", 0)]
+    assert html_extract.extracted(df.limit(0)).collect() == []
+
+
+def test_deep_and_stray_markup_ends():
+    assert html_extract.main_text("<div>" * 5000 + "x" + "</b>" * 50) == "x"
+
+
+def test_greedy_counts_against_brute_force():
+    r = random.Random(1)
+    for _ in range(60):
+        vocabulary = {"".join(r.choices("abc", k=r.randint(1, 5))) + r.choice(["", "</w>"]) for _ in range(r.randint(1, 25))}
+        matcher = token_counts.Matcher(sorted(vocabulary))
+        for _ in range(60):
+            word = "".join(r.choices("abcd", k=r.randint(0, 12)))
+            assert matcher.count(word + token_counts.Matcher.END) == brute.greedy_pieces(word, vocabulary), (word, vocabulary)
+
+
+def test_token_counts_of_rows(spark):
+    df = spark.createDataFrame([(1, "The cat's 42 naïve!!"), (2, None), (3, ""), (1, "The cat's 42 naïve!!"), (4, "x" * 300_000)], "doc_id long, text string")
+    rows = token_counts.counted(df).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in rows}
+    assert len(rows) == 5 and got[1][0] == 7 and got[2] == got[3] == (0, 0) and got[4][0] == 1 and got[4][1] > 1000
+    vocabulary = set(token_counts.vocabulary())
+    letters = token_counts.byte_letters()
+    parts = ["the", "cat", "'s", "4", "2", "naïve", "!!"]
+    assert got[1][1] == sum(brute.greedy_pieces("".join(letters[b] for b in p.encode()), vocabulary) for p in parts)
+
+
+def test_quality_rules(spark):
+    r = random.Random(2)
+    prose = " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(400))
+    texts = {1: prose, 2: None, 3: "", 4: "short text", 5: "one two three four five six seven eight nine ten " * 40, 6: "a#b $ <c>\nline one\n\nline one\n  \nline one", 7: "z" * 50_000 + " " + " ".join(f"w{i}" for i in range(30)), 8: prose + "\n" + prose}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for row in quality_rules.judged(df).collect():
+        t = texts[row["doc_id"]] or ""
+        w = re.findall(brute.WORD, t)
+        lines = [x for x in t.split("\n") if re.search(brute.WORD, x)]
+        repeat = brute.repeated_words(w)
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat)
+        assert row["base_failed"] == (len(w) < 20 or 100 * repeat > 30 * len(w))
+        assert row["kept"] == (row["doc_id"] == 1)
+    assert quality_rules.judged(df.limit(0)).collect() == []
+
+
+def test_language_id_on_held_out(spark):
+    r = random.Random(5)
+    sounds = {"aa": "ba da ka la ma".split(), "bb": "fro gro kro bro zro".split(), "cc": "ixi oxo uxu exe axa".split()}
+    rows = [(i, " ".join("".join(r.choices(sounds[lang], k=3)) for _ in range(20)), lang) for i in range(300) for lang in [r.choice("aa bb cc".split())]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learned(df.filter("doc_id % 5 <> 0"))
+    out = language_id.predicted(df.filter("doc_id % 5 = 0"), model).collect()
+    assert sum(x["lang"] == x["lang_pred"] for x in out) >= 0.98 * len(out)
+    odd = spark.createDataFrame([(1, None, 2.0), (2, "12 !?", 2.0), (3, "", 2.0), (4, "bada kala " * 300_000, 2.0)], "doc_id long, text string, score double")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.predicted(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "aa" and 0 <= got[4][1] <= 1
+    none = language_id.learned(df.limit(0))
+    assert {x["lang_pred"] for x in language_id.predicted(odd, none).collect()} == {"und"}
+    assert language_id.predicted(df.limit(0), model).count() == 0
+
+
+def test_language_pieces_add_up():
+    t = "".join(random.Random(1).choices("abcdé ", k=5000))
+    m = np.random.default_rng(0).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
+    whole = language_id.log_likelihoods([t, "", "ab"], m)
+    size = language_id.PIECE
+    try:
+        language_id.PIECE = 700
+        parts = language_id.log_likelihoods([t, "", "ab"], np.tile(m, (1, 1)))
+    finally:
+        language_id.PIECE = size
+    assert whole[1][1] == 0 and np.allclose(whole[0][[1, 2]], parts[0][[1, 2]], atol=1e-3)
+
+
+def test_machine_sum_of_squares_identity():
+    rng = np.random.default_rng(0)
+    n = quality_fm.WORDS + quality_fm.STATS
+    m = quality_fm.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, quality_fm.RANK)))
+    ix, vx = np.array([3, 50, 8000, quality_fm.WORDS + 1]), np.array([0.5, -1.0, 2.0, 0.1])
+    plain = m.bias + m.linear[ix] @ vx + sum(m.factors[ix[i]] @ m.factors[ix[j]] * vx[i] * vx[j] for i in range(4) for j in range(i))
+    assert np.isclose(m.margins(np.array([0, 4]), ix, vx)[0][0], plain)
+
+
+def test_quality_on_held_out(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        bad = r.random() < 0.3
+        w = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(40)]
+        rows.append((i, " ".join(x + r.choice(["###", "&&&"]) for x in w) if bad else " ".join(w) + "."))
+        labels.append((i, int(not bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + labels[:5] + [(None, 1), (7000, None)], "doc_id long, quality int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    machine = quality_fm.learned(docs, marks.filter("crc32(cast(doc_id as string)) % 4 <> 2"))
+    got = {x["doc_id"]: x for x in quality_fm.scored(docs, machine).collect()}
+    tested = [i for i in got if held(i)]
+    assert sum(got[i]["predicted"] == labels[i][1] for i in tested) >= 0.95 * len(tested)
+    odd = quality_fm.scored(spark.createDataFrame([(1, None), (2, ""), (3, "y " * 100_000)], "doc_id long, text string"), machine).collect()
+    assert len(odd) == 3 and all(0 <= x["score"] <= 1 for x in odd)
+    untrained = quality_fm.learned(docs, marks.limit(0))
+    assert {x["predicted"] for x in quality_fm.scored(docs.limit(3), untrained).collect()} == {0}
+
+
+def test_alignment_against_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(80):
+        a, b = r.integers(0, 5, r.integers(1, 15)), r.integers(0, 5, r.integers(1, 30))
+        assert decontamination.alignment(a, b)[0] == brute.alignment(a.tolist(), b.tolist())
+
+
+def test_contaminated(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 7)))
+    items = [[word() for _ in range(r.randint(15, 40))] for _ in range(30)]
+    texts, leaks = {}, set()
+    for i in range(120):
+        w = [word() for _ in range(r.randint(5, 200))]
+        if i % 4 == 0:
+            k = r.randrange(30)
+            own = list(items[k])
+            if i % 8 == 0:  # edited: every eighth word exchanged, one left out
+                for j in range(3, len(own), 8):
+                    own[j] = word()
+                del own[5]
+            w[len(w) // 2 : len(w) // 2] = [x.capitalize() + "," for x in own]
+            leaks.add((i, k))
+        texts[i] = " ".join(w)
+    texts[200] = " ".join(items[0][:5])  # a short quote
+    texts |= {201: None, 202: "", 203: "... !!! ?"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (92, "two words")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, bench).collect()}
+    assert got == leaks
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, bench, block_chars=900).collect()} == leaks
+    assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
+    assert decontamination.contaminated(docs.limit(0), bench).collect() == []
+
+
+def test_widely_copied_items_are_found(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"before {i} {item} after") for i in range(200)], "doc_id long, text string")
+    assert decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 200
+
+
+def test_forest_on_other_findings():
+    forest = secret_scan.trained()
+    other = secret_scan.labelled_findings(seed=99, each=40)
+    score = forest.score(np.array([secret_scan.vector(*f[:5]) for f in other]))
+    truth = np.array([f[5] for f in other])
+    assert ((score >= secret_scan.CUTOFF) == truth).mean() > 0.97
+
+
+def test_secrets_found_and_redacted(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = {1: f'été token = "{key}" und mehr', 2: f"commit {key} changes the tests", 3: None, 4: "", 5: "donaudampfschifffahrtsgesellschaft ist ein langes Wort", 6: f'a api_key: "{key}"\nb api_key: "{key}"', 7: "-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----", 8: "x" * 200_000}
+    df = spark.createDataFrame([(i, t, "src1", len(t or ""), "z") for i, t in texts.items()], "doc_id long, text string, source string, n_chars long, score string")
+    found = secret_scan.found(df).collect()
+    assert sorted((x["doc_id"]) for x in found) == [1, 6, 6, 7]
+    one = next(x for x in found if x["doc_id"] == 1)
+    assert texts[1][one["start"] : one["start"] + one["length"]] == key
+    clean = {x["doc_id"]: x for x in secret_scan.redacted(df).collect()}
+    assert clean[1]["text"] == 'été token = "<SECRET>" und mehr' and clean[1]["n_chars"] == len(clean[1]["text"])
+    assert all(clean[i]["text"] == texts[i] for i in (2, 3, 4, 5, 8)) and secret_scan.redacted(df).columns == df.columns
+    assert secret_scan.found(df.limit(0)).collect() == []
+
+
+def test_runs_stop_at_borders_of_texts():
+    a = pa.array(["ab" * 12, "cd" * 12, "", "é" + "k" * 25], pa.large_string())
+    assert list(secret_scan.runs(a)) == [(0, 0, 24), (1, 0, 24), (3, 2, 27)]
