@@ -124,13 +124,15 @@ def _small_pairs(lists: DataFrame, reps: DataFrame, t: float, k: int, floor: flo
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(v, rep, n, u): the rarest-first prefixes of the members' sets; u counts the shingles that no other member has."""
+    """(v, rep, n, u): the rarest-first prefixes of the members' sets; u counts the shingles that come before v,
+    those that no other member has first."""
     own = sets.join(members, "rep", "left_semi").select("rep", F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
     often = own.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = own.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("e"))
     u = F.col("n") - F.size("e")
     length = F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1 - u
-    return shared.filter(length > 0).select("rep", "n", u.alias("u"), F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "u")
+    own = shared.filter(length > 0).select("rep", "n", u.alias("u"), F.posexplode(F.slice("e", F.lit(1), length.cast("int"))).alias("i", "x"))
+    return own.select(F.col("x.v").alias("v"), "rep", "n", (F.col("u") + F.col("i")).alias("u"))
 
 
 def _alike(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,14 +156,16 @@ def _alike(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _feasible(entries: DataFrame, t: float) -> DataFrame:
-    """Without the members whose shared shingles can't make a link even with the smallest partner of their list."""
+    """Without the members that can't have their first common shingle here, even with the smallest partner of their list."""
     least = entries.groupBy("v").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", "low")
     share = t / (1 + t)
     return entries.join(least, "v").filter((F.col("n") - F.col("u")) >= (F.col("n") + F.greatest("low", F.ceil(F.col("n") * t - 1e-6))) * F.lit(share) - 1e-6).select("v", "rep", "n", "u")
 
 
 def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: int) -> DataFrame:
-    """Links that join all that the lists (v, rep, n, u) connect: rounds of leaders against members."""
+    """Links that join all that the lists (v, rep, n, u) connect: rounds of leaders against members.
+
+    A pair meets in the list of its first common shingle at least; there ``n - u`` is all that either can share."""
     share = t / (1 + t)
     entries = cut(_feasible(entries, t).withColumn("comp", F.col("rep")))
     links = comp = None
