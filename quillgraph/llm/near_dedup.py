@@ -213,14 +213,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = values.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     hits = cut(values.join(sizes, "v"))
     able = hits.groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("kept") * floor))).select("rep")
-    lists = cut(hits.join(able, "rep", "left_semi").select("v", "rep", "n", "size"))
+    lists = cut(hits.join(able, "rep", "left_semi").select("v", "rep", "n", "kept", "size"))
 
     del hits, able
     release(spark)
     pairs = cut(_small_pairs(lists.filter(F.col("size") <= SMALL), reps, t, k, floor))
-    far = cut(lists.filter(F.col("size") > SMALL).select("rep").distinct())
+    # A pair without a short list in common shares a third of its sketch in long lists alone.
+    often = lists.filter(F.col("size") > SMALL).groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept"))
+    far = cut(often.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("kept") * floor))).select("rep"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(far).distinct()
-    del lists
+    del lists, often
     sets = cut(_full_sets(texts.join(wanted, "doc_id", "left_semi"), words))
     release(spark)
     links = cut(_confirmed(pairs, sets, num, den))
