@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from quillgraph.llm import text as tx
 
 #: (bytes up to, least ratio, highest ratio). Texts under 200 bytes say too little.
-BANDS = ((200, 0.0, 1e9), (1_000, 1.10, 6.0), (5_000, 1.25, 8.0), (50_000, 1.40, 9.0), (1 << 62, 1.45, 12.0))
+BANDS = ((200, 0.0, 1e9), (1_000, 1.15, 4.5), (5_000, 1.40, 5.0), (50_000, 1.50, 6.0), (1 << 62, 1.55, 8.0))
 #: Bytes of a chunk, and how large a share of the chunks may lie outside the band of their length.
 CHUNK, OUTSIDE = 4_096, 0.5
 LEVEL = 3
