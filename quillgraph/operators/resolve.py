@@ -68,3 +68,212 @@ def kept_kinds(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     lost = ~fits
     e = e.withColumns({"status": F.when(lost, "unresolved").otherwise(F.col("status")), "reason": F.when(lost, "no-matching-symbol").otherwise(F.col("reason")), "method": F.when(~lost, F.col("method")), "to_file": F.when(~lost, F.col("to_file")), "to_symbol": F.when(~lost, F.col("to_symbol"))})
     return e.filter("not (kind = 'references' and status <> 'resolved')").drop("k").select(edges.columns)
+
+
+# What follows resolves edges that carry a binding: imports, exports, definitions of the file, members.
+
+#: Supertypes that a member is looked for through at most.
+HERITAGE = 8
+
+
+def _joined(base: str, path: str) -> str | None:
+    """A path relative to a folder, with dots taken out; none above the top."""
+    out = [x for x in base.split("/") if x]
+    for part in path.split("/"):
+        if part == "..":
+            if not out:
+                return None
+            out.pop()
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
+
+
+def import_candidates(file: str, family_name: str, source: str, modules: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    """(rank, how, path) of the files that an import may mean. how: ``path`` is one, ``suffix`` ends one, ``folder`` holds it.
+
+    ``modules``: (folder, name) of Go modules. Of one rank several hits are one too many."""
+    here = file.rpartition("/")[0]
+    out: list[tuple[int, str, str]] = []
+    if family_name == "javascript":
+        base = _joined(here, source) if source.startswith(".") else None
+        if base is not None:
+            stem = base[:-3] if base.endswith(".js") else base[:-4] if base.endswith((".mjs", ".cjs", ".jsx")) else base
+            ends = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
+            tried = [base, *(base + e for e in ends), *(stem + e for e in ends if stem != base), *(f"{base}/index{e}" for e in ends)]
+            out = [(k, "path", p) for k, p in enumerate(dict.fromkeys(tried))]
+    elif family_name == "python":
+        dots = len(source) - len(source.lstrip("."))
+        rest = source[dots:].replace(".", "/")
+        if dots:
+            folder = here.split("/") if here else []
+            if dots - 1 <= len(folder):
+                base = "/".join([*folder[: len(folder) - dots + 1], *([rest] if rest else [])])
+                out = [(0, "path", f"{base}/__init__.py" if base else "__init__.py"), *([(1, "path", base + ".py")] if rest else [])]
+        elif rest:
+            # The top of the repository is a root always; the folder ``src`` is where projects keep theirs.
+            for root in ("", "src/"):
+                out += [(0, "path", f"{root}{rest}/__init__.py"), (1 if not root else 0, "path", f"{root}{rest}.py")]
+    elif family_name == "go":
+        fits = [(folder, name) for folder, name in modules if source == name or source.startswith(name + "/")]
+        if fits:
+            folder, name = max(fits, key=lambda f: len(f[1]))
+            out = [(0, "folder", "/".join(x for x in (folder, source[len(name) :].strip("/")) if x))]
+    elif family_name == "java":
+        if not source.endswith("*"):
+            out = [(0, "suffix", source.replace(".", "/") + ".java")]
+    elif family_name == "rust":
+        parts = source.split("::")
+        top = file.split("/src/")[0] + "/src" if "/src/" in file else "src"
+        stem = file.rsplit("/", 1)[-1].removesuffix(".rs")
+        own = here if stem in ("mod", "lib", "main") else f"{here}/{stem}"
+        base = {"crate": top, "self": own, "super": own.rpartition("/")[0]}.get(parts[0])
+        if base is not None:
+            names = parts[1:]
+            for k in range(len(names), -1, -1):
+                p = "/".join([base, *names[:k]])
+                tried = [p + ".rs", p + "/mod.rs"] if k else [base + "/lib.rs", base + "/main.rs", base + "/mod.rs"]
+                out += [(3 * (len(names) - k) + i, "path", t) for i, t in enumerate(tried)]
+    elif family_name == "c":
+        if (base := _joined(here, source)) is not None:
+            out = [(0, "path", base), (1, "path", source), (2, "suffix", source)]
+    return out
+
+
+def import_targets(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, source, to_file, several) for distinct imports (file, language, source); without a target both are null or false."""
+    import pyarrow as pa
+
+    spark = files.sparkSession
+    manifests = files.filter("path = 'go.mod' or endswith(path, '/go.mod')").select(F.regexp_replace("path", "/?go\\.mod$", "").alias("folder"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("name")).filter("name <> ''")
+    modules = [tuple(r) for r in manifests.orderBy("folder").limit(10_000).collect()]
+    schema = "file string, source string, rank int, how string, cand string"
+
+    def run(batches):
+        for batch in batches:
+            rows = [(f, s, *c) for f, m, s in zip(*(batch.column(c).to_pylist() for c in ("file", "fam", "source")), strict=True) for c in import_candidates(f, m or "", s, modules)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("file", "source", "rank", "how", "cand"), map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True)), schema=pa.schema([("file", pa.string()), ("source", pa.string()), ("rank", pa.int32()), ("how", pa.string()), ("cand", pa.string())]))
+
+    asked = wanted.select("file", family("language").alias("fam"), "source").filter("source is not null and source <> ''").distinct()
+    tried = asked.mapInArrow(run, schema)
+    paths = files.select("path", F.substring_index("path", "/", -1).alias("base"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
+    exact = tried.filter("how = 'path'").join(paths.select("path"), F.col("cand") == F.col("path"))
+    ends = tried.filter("how = 'suffix'").withColumn("base", F.substring_index("cand", "/", -1)).join(paths.select("path", "base"), "base").filter((F.col("path") == F.col("cand")) | F.endswith("path", F.concat(F.lit("/"), "cand")))
+    go = paths.filter("endswith(path, '.go')").groupBy("folder").agg(F.min(F.struct(F.endswith("path", F.lit("_test.go")).alias("t"), "path")).alias("m")).select(F.col("folder").alias("cand"), F.col("m.path").alias("path"))
+    held = tried.filter("how = 'folder'").join(go, "cand")
+    hits = exact.select("file", "source", "rank", "path").unionAll(ends.select("file", "source", "rank", "path")).unionAll(held.select("file", "source", "rank", "path")).distinct()
+    best = hits.groupBy("file", "source", "rank").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).groupBy("file", "source").agg(F.min_by(F.struct("path", "n"), "rank").alias("b"))
+    # Python takes a module that two roots hold for neither.
+    return asked.select("file", "source").join(best, ["file", "source"], "left").select("file", "source", F.when(F.col("b.n") == 1, F.col("b.path")).alias("to_file"), F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("several"))
+
+
+def exported(symbols: DataFrame, exports: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(file, name, n, qualified_name, to_file, hops): what a name means that a file exports, through re-exports.
+
+    exports: (file, kind, exported_name, imported_name, to_file). A file's own definition or named link goes before
+    its star links, which never forward ``default``; a chain is followed until nothing new is found, cycles end there."""
+    from quillgraph.plans.shared import cut
+
+    own = symbols.filter("exported and scope = ''").select("file", "name", "qualified_name", F.col("file").alias("to_file"), F.lit(0).alias("hops")).distinct()
+    links = cut(exports.filter("to_file is not null and kind in ('named', 'star')").select("file", "kind", "exported_name", "imported_name", F.col("to_file").alias("far")).distinct())
+    taken = own.select("file", "name").unionAll(links.filter("kind = 'named'").select("file", F.col("exported_name").alias("name"))).distinct()
+    seen = frontier = cut(own)
+    if not links.isEmpty():
+        for step in range(1, hops + 1):
+            f = frontier.select(F.col("file").alias("far"), F.col("name").alias("far_name"), "qualified_name", "to_file")
+            named = links.filter("kind = 'named'").join(f, (links["far"] == f["far"]) & (F.col("imported_name") == F.col("far_name"))).select("file", F.col("exported_name").alias("name"), "qualified_name", "to_file")
+            star = links.filter("kind = 'star'").join(f.filter("far_name <> 'default'"), "far").select("file", F.col("far_name").alias("name"), "qualified_name", "to_file").join(taken, ["file", "name"], "left_anti")
+            new = cut(named.unionAll(star).distinct().join(seen.select("file", "name", "qualified_name"), ["file", "name", "qualified_name"], "left_anti").withColumn("hops", F.lit(step)))
+            if new.isEmpty():
+                break
+            seen, frontier = seen.unionAll(new), new
+    return seen.groupBy("file", "name").agg(F.count_distinct("qualified_name").alias("n"), F.min("qualified_name").alias("qualified_name"), F.min("to_file").alias("to_file"), F.max("hops").alias("hops"), F.slice(F.array_sort(F.collect_set("qualified_name")), 1, LISTED).alias("names"))
+
+
+def _classes(bindings: DataFrame, targets: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds ``holder``: the qualified name that (file, kind of binding, source, imported) means, null if it isn't sure."""
+    local = symbols.filter("not shadowed").select("file", F.col("local_name").alias("imported"), F.col("qualified_name").alias("q1")).distinct()
+    far = targets.filter("to_file is not null").select("file", "source", F.col("to_file").alias("tf"))
+    named = exports.filter("n = 1").select(F.col("file").alias("tf"), F.col("name").alias("imported"), F.col("qualified_name").alias("q2"))
+    b = bindings.join(local, ["file", "imported"], "left").join(far, ["file", "source"], "left").join(named, ["tf", "imported"], "left")
+    return b.withColumn("holder", F.when(F.col("how") == "local", F.col("q1")).when(F.col("how") == "import", F.col("q2"))).drop("q1", "q2", "tf")
+
+
+def members(asked: DataFrame, symbols: DataFrame, heritage: DataFrame, most: int = HERITAGE) -> DataFrame:
+    """(holder, member, n, qualified_name) for asked (holder, member): own members first, then those of the supertypes, level by level.
+
+    heritage: (holder, base), base null where a supertype is unknown; that, or two bases that differ, leaves a member unresolved."""
+    from quillgraph.plans.shared import cut
+
+    own = symbols.filter("scope <> ''").select(F.concat("file", F.lit("#"), "scope").alias("at"), F.col("name").alias("member"), "qualified_name", "kind").filter("kind in ('method', 'function', 'constant')").distinct()
+    open_ = cut(asked.select("holder", "member", F.col("holder").alias("at")).distinct())
+    done = None
+    for _ in range(most + 1):
+        met = open_.join(own, ["at", "member"], "left")
+        hits = cut(met.filter("qualified_name is not null").select("holder", "member", "qualified_name"))
+        done = hits if done is None else done.unionAll(hits)
+        up = open_.join(hits.select("holder", "member"), ["holder", "member"], "left_anti").join(heritage.withColumnRenamed("holder", "at"), "at").select("holder", "member", F.col("base").alias("at"))
+        lost = up.filter("at is null").select("holder", "member").distinct()
+        open_ = cut(up.join(lost, ["holder", "member"], "left_anti").distinct())
+        if open_.isEmpty():
+            break
+    return done.groupBy("holder", "member").agg(F.count_distinct("qualified_name").alias("n"), F.min("qualified_name").alias("qualified_name"))
+
+
+def resolved(p) -> DataFrame:
+    """The edges of a parsed body of code (see ``sources.code.Parsed``), each with its evidence."""
+    from quillgraph.plans.shared import cut
+
+    none = F.lit(None).cast("string")
+    raw = cut(p.raw.dropDuplicates())
+    sources = raw.filter("source is not null").select("file", "language", "source").unionAll(p.exports.select("file", "language", "source"))
+    bases = p.symbols.filter("size(heritage) > 0").select("file", F.concat("file", F.lit("#"), "local_name").alias("holder"), F.explode("heritage").alias("h")).select("file", "holder", F.col("h.binding").alias("how"), F.col("h.source").alias("source"), F.col("h.imported").alias("imported"))
+    language = p.files.select(F.col("path").alias("file"), "language")
+    sources = sources.unionAll(bases.filter("source is not null").join(language, "file").select("file", "language", "source"))
+    targets = cut(import_targets(p.files, sources.distinct()))
+    names = cut(exported(p.symbols, p.exports.join(targets, ["file", "source"], "left")))
+    heritage = cut(_classes(bases.withColumnRenamed("holder", "child"), targets, names, p.symbols).select(F.col("child").alias("holder"), F.col("holder").alias("base")))
+
+    e = raw.join(targets, ["file", "source"], "left")
+    keep = [F.col(c) for c in ("kind", "file", "from_symbol", "to_name", "line")]
+
+    def shaped(df: DataFrame, symbol, to_file, status, method, reason, external=none, candidates=None) -> DataFrame:
+        listed = F.lit(None).cast("array<string>") if candidates is None else candidates
+        return df.select(keep[0], F.col("file").alias("from_file"), *keep[2:], symbol.alias("to_symbol"), to_file.alias("to_file"), status.alias("status"), method.alias("method"), reason.alias("reason"), external.alias("external"), listed.alias("candidates"))
+
+    package = F.when(~F.startswith("source", F.lit(".")), F.when(F.startswith("source", F.lit("@")), F.regexp_extract("source", r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract("source", r"^([^/:]+)", 1)))
+    hit = F.col("to_file").isNotNull()
+    imports = shaped(e.filter("kind = 'imports'"), none, F.col("to_file"), F.when(hit, "resolved").otherwise("unresolved"), F.when(hit, "import-path"), F.when(~hit, F.when(F.col("several"), "import-target-ambiguous").otherwise("import-target-unresolved")), F.when(~hit, package))
+    rest = e.filter("kind <> 'imports'")
+
+    found = names.select(F.col("file").alias("to_file"), F.col("name").alias("imported"), "n", F.col("qualified_name").alias("q"), F.col("to_file").alias("tf"), "hops", "names")
+    b = rest.filter("binding = 'import'").join(found, ["to_file", "imported"], "left")
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    status = F.when(one, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    lost = F.when(status != "unresolved", none).when(F.col("several"), "import-target-ambiguous").when(F.col("to_file").isNull(), "import-target-unresolved").otherwise("bound-symbol-missing")
+    by_import = shaped(b, F.when(one, F.col("q")), F.when(one, F.col("tf")), status, F.when(one, F.when(F.col("hops") > 0, "re-export-binding").otherwise("import-binding")), lost, F.when(lost == "import-target-unresolved", package), F.when(F.col("n") > 1, F.col("names")))
+
+    own = p.symbols.groupBy("file", F.col("local_name").alias("imported")).agg(F.min("qualified_name").alias("q"), F.max("shadowed").alias("shadowed"))
+    l = rest.filter("binding = 'local'").join(own, ["file", "imported"], "left")  # noqa: E741
+    sure = F.col("q").isNotNull() & ~F.coalesce("shadowed", F.lit(False))
+    by_file = shaped(l, F.when(sure, F.col("q")), F.when(sure, F.col("file")), F.when(sure, "resolved").otherwise("unresolved"), F.when(sure, "lexical-definition"), F.when(~sure, F.when(F.col("shadowed"), "shadowed-declaration").otherwise("bound-symbol-missing")))
+
+    m = rest.filter("binding = 'member'").withColumn("how", F.when(F.col("owner") == "super", "local").otherwise(F.col("owner"))).drop("to_file", "several")
+    m = cut(_classes(m, targets, names, p.symbols))
+    above = m.filter("owner = 'super'").join(heritage, "holder").select("holder", "member", F.col("base").alias("at")).filter("at is not null").distinct()
+    asked = m.filter("owner <> 'super' and holder is not null").select("holder", "member").unionAll(above.select(F.col("at").alias("holder"), "member")).distinct()
+    got = cut(members(asked, p.symbols, heritage))
+    up = above.join(got.select(F.col("holder").alias("at"), "member", "n", "qualified_name"), ["at", "member"]).groupBy("holder", "member").agg(F.sum("n").alias("n"), F.min("qualified_name").alias("qualified_name")).withColumn("up", F.lit(True))
+    answers = got.select("holder", "member", "n", "qualified_name", F.lit(False).alias("up")).unionByName(up)
+    mm = m.withColumn("up", F.col("owner") == "super").join(answers, ["holder", "member", "up"], "left")
+    by_member = shaped(mm, F.when(one, F.col("qualified_name")), F.when(one, F.substring_index("qualified_name", "#", 1)), F.when(one, "resolved").otherwise("unresolved"), F.when(one, "receiver-hint"), F.when(~one, "receiver-unresolved"))
+
+    why = F.when(F.col("reason") == "inline-handler", "route-handler-inline").when(F.col("reason") == "wrapped-handler", "route-handler-wrapped").when(F.col("reason") == "unbound", "unbound-global").otherwise("binding-blocked")
+    blocked = shaped(rest.filter("binding = 'blocked'"), none, none, F.lit("unresolved"), none, why)
+    free = shaped(rest.filter("binding is null"), none, none, F.lit("unresolved"), none, F.lit("no-matching-symbol"))
+    sure_edges = cut(imports.unionAll(by_import).unionAll(by_file).unionAll(by_member).unionAll(blocked))
+    plain = p.symbols.select("qualified_name", "file", "name", "kind")
+    by_names = by_name(Corpus(p.files, plain, sure_edges), free)
+    from quillgraph.corpus import deduplicated_edges
+
+    return cut(deduplicated_edges(kept_kinds(sure_edges.unionByName(by_names), p.symbols)))
