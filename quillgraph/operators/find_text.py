@@ -78,13 +78,24 @@ def matches(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bo
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found, ends = re.compile(source, re.I if ignore_case else 0).finditer, time.monotonic() + budget_ms / 1000
+        ends = time.monotonic() + budget_ms / 1000
+        try:
+            # This module can stop within a line; the standard one only between two.
+            import regex
+
+            timed = regex.compile(source, regex.I if ignore_case else 0)
+            found = lambda t: timed.finditer(t, timeout=max(1e-3, ends - time.monotonic()))
+        except ImportError:
+            found = re.compile(source, re.I if ignore_case else 0).finditer
         for batch in batches:
             out = []
             for f, n, t in zip(*(batch.column(c).to_pylist() for c in ("file", "line", "text")), strict=True):
                 if time.monotonic() > ends:
                     raise PatternRefused(f"pattern {pattern!r} took more than {budget_ms} ms")
-                out += [(f, n, m.start(), m.end() - m.start(), t) for m in found(t)]
+                try:
+                    out += [(f, n, m.start(), m.end() - m.start(), t) for m in found(t)]
+                except TimeoutError as e:
+                    raise PatternRefused(f"pattern {pattern!r} took more than {budget_ms} ms") from e
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "line", "col", "length", "text"), x, strict=True)) for x in out], schema=pa.schema([("file", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("length", pa.int32()), ("text", pa.string())]))
 
     return lines.mapInArrow(run, "file string, line int, col int, length int, text string")

@@ -73,7 +73,7 @@ def test_find_text_limits(c):
         with pytest.raises(ValueError):
             find_text.find_text(c, "fox", limit=bad)
     with pytest.raises(Exception, match="PatternRefused"):
-        find_text.matches(c.files.withColumn("text", F.lit("a" * 40 + "!")), r"(a+)+\1$", budget_ms=1).collect()
+        find_text.matches(c.files.withColumn("text", F.lit("a" * 40 + "!")), r"(a|aa)+(?:\1)*[b]", budget_ms=300).collect()
 
 
 def test_same_answer_with_any_partitioning(c):
@@ -93,3 +93,13 @@ def test_diff():
 def test_empty(spark):
     c = cp.empty(spark)
     assert graph.reach(c).count() == search.ask(c, "nothing").count() == evidence.unreferenced(c).count() == 0
+
+
+def test_scopes(spark):
+    from quillgraph.operators import scopes
+
+    tops = [("package.json", '{"workspaces": ["packages/*", "tool", "!packages/no"]}'), ("packages/a/package.json", "{}"), ("other/package.json", "{}"), ("tool/package.json", "{}"), ("py/pyproject.toml", ""), ("py/setup.py", "")]
+    files = spark.createDataFrame([(p, "fallback", "h", 1, 1, t) for p, t in tops], cp.FILES)
+    c = cp.empty(spark)
+    assert rows(scopes.detected(cp.Corpus(files, c.symbols, c.edges)), "scope", "ecosystem") == [("packages/a", "package.json"), ("py", "pyproject.toml"), ("tool", "package.json")]
+    assert scopes.detected(c).count() == 0
