@@ -103,3 +103,18 @@ def test_scopes(spark):
     c = cp.empty(spark)
     assert rows(scopes.detected(cp.Corpus(files, c.symbols, c.edges)), "scope", "ecosystem") == [("packages/a", "package.json"), ("py", "pyproject.toml"), ("tool", "package.json")]
     assert scopes.detected(c).count() == 0
+
+
+def test_task_context(c):
+    from quillgraph.operators import context
+
+    whole = context.task_context(c, ["a.py#f"])
+    # g calls f, test_f calls f, main calls g; the edge that goes by a hint on the receiver doesn't count.
+    assert whole.omitted == {"definitions": 0, "relationships": 0, "tests": 0}
+    assert whole.kept == {"definitions": 1, "relationships": 3, "tests": 1} and "test tests/test_a.py" in whole.text
+    small = context.task_context(c, ["a.py#f"], mode="change", budget=60)
+    assert len(small.text) <= 60 and {k: small.kept[k] + small.omitted[k] for k in small.kept} == whole.kept
+    assert context.task_context(c, ["nothing"]).text == ""
+    assert "a.py#K:5" in context.task_context(c, "K").text
+    with pytest.raises(ValueError):
+        context.task_context(c, "K", mode="else")
