@@ -84,3 +84,18 @@ def test_incremental_equals_full(spark):
 def test_empty(spark):
     c = code.corpus(files(spark, {"x.md": "prose"}))
     assert c.symbols.count() == c.edges.count() == 0
+
+
+def test_followed_stream(tmp_path, spark):
+    from quillgraph.streaming import refresh
+
+    schema = "path string, content binary, deleted boolean"
+    put = lambda name, rows_: spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    seen = []
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    publish = lambda corpus, number: seen.append(sorted(r["qualified_name"] for r in corpus.symbols.collect()))
+    put("a", [("a.py", b"def f():\n    pass\n", False), ("b.py", b"def g():\n    pass\n", None)])
+    refresh.followed(stream(), publish, str(tmp_path / "state")).awaitTermination(120)
+    put("b", [("a.py", b"", True), ("b.py", b"def h():\n    pass\n", False)])
+    refresh.followed(stream(), publish, str(tmp_path / "state")).awaitTermination(120)
+    assert seen == [["a.py#f", "b.py#g"], ["b.py#h"]]
