@@ -84,6 +84,27 @@ def test_quality_rules(spark):
     assert quality_rules.judged(df.limit(0)).collect() == []
 
 
+def test_compression_bands_decide():
+    import base64
+
+    import zstandard
+
+    r = random.Random(8)
+    compressor = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    kept = lambda t: quality_rules.accepted(len(t.encode()), *quality_rules.compression(t.encode(), compressor))
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(3_000)]
+    runs = lambda n: " ".join(w for w in words[:n] for _ in range(r.randint(5, 7)))
+    noise = lambda n: " ".join(re.findall(".{1,8}", base64.b64encode(r.randbytes(n)).decode()))
+    for n in (5, 8, 12, 20, 40, 150, 800, 3_000):
+        w = runs(n).split()
+        assert 100 * brute.repeated_words(w) <= 30 * len(w) and not kept(runs(n)), n
+    for n in (400, 900, 3_000, 9_000, 40_000):
+        assert not kept(noise(n)), n
+    assert not kept("ab " * 30) and not kept("ab " * 60)
+    half = [" ".join(words[i : i + 700]) for i in (0, 700)]
+    assert quality_rules.compression((half[0] + noise(3_000) + half[1]).encode(), compressor)[1] > quality_rules.OUTSIDE
+
+
 def test_language_id_on_held_out(spark):
     r = random.Random(5)
     sounds = {"aa": "ba da ka la ma".split(), "bb": "fro gro kro bro zro".split(), "cc": "ixi oxo uxu exe axa".split()}
