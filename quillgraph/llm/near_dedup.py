@@ -5,11 +5,11 @@ sketch is the ``k`` smallest of them (one hash function). Documents with equal
 sets form a class; only class representatives take part in what follows.
 
 1. Inverted lists of retained values give, for each representative, how many of
-   its values some other sketch retains. Fewer than a third: no partner.
+   its values some other sketch retains. Too few: no partner.
 2. Lists of up to ``small`` members give pairs; the sketch of the union
    estimates their similarity and drops clear misses.
 3. Members of longer lists are never paired with each other outright. Those that
-   share only a passage go by their runs of neighbouring hashes. Over
+   share only a passage go by their runs of neighbouring hashes, if they are long enough to tell. Over
    the rest alone, exact counts of every shingle put the rarest first, and
    the prefix bound (a pair at the threshold shares one of the first
    ``n - ceil(t * n) + 1``) leaves few, shorter lists. Those are worked through
@@ -19,8 +19,9 @@ sets form a class; only class representatives take part in what follows.
    every pair in it has been compared or lies in one component.
 4. Every link is confirmed on the full sets.
 
-The estimate lets a pair go when fewer than a third (7 of 24) of the union sketch
-is in both; at a similarity of 0.8 that loses one link in 10^8.
+Every test on part of a set asks for what a pair at the threshold falls short of
+with odds of 10^-8 (``least_runs``), so it follows from the similarity; where a
+sketch of ``k`` can't tell at these odds (under 0.54 at 24), longer ones are taken.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ K = 24
 SMALL = 24
 #: Leaders that a long list names in its rounds.
 ROUNDS = (1, 16, 256)
+#: Smallest hashes of a set whose runs of neighbours are looked at.
+FEW = 128
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -135,24 +138,45 @@ def _prefixes(members: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return own.select(F.col("x.v").alias("v"), "rep", "n", (F.col("u") + F.col("i")).alias("u"))
 
 
-def _alike(members: DataFrame, sets: DataFrame) -> DataFrame:
+def least_runs(t: float, places: int, width: int, odds: float = 1e-8) -> int:
+    """The most runs of ``width`` neighbours, all in both sets, that a pair at similarity ``t`` has
+    among the ``places`` smallest hashes of its union, but for ``odds``."""
+    p = np.zeros((width, places + 1))
+    p[0, 0] = 1.0
+    for _ in range(places):
+        new = np.zeros_like(p)
+        new[0] = (1 - t) * p.sum(0)
+        new[1:] += t * p[:-1]
+        new[-1, 1:] += t * p[-1, :-1]
+        p = new
+    return int(np.searchsorted(np.cumsum(p.sum(0)), odds, side="right"))
+
+
+def _alike(members: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The members (rep) that share enough runs of three neighbours among their 128 smallest shingle hashes with others.
 
-    A pair at 0.8 shares 64 of 126 such runs on average and fewer than a tenth of them never
-    (odds under 10^-8); texts that have only a passage in common share few."""
+    Enough is what a pair at the threshold falls short of with odds of 10^-8, by the size of the set; sets
+    for which that is none pass without a test. Texts that have only a passage in common share few runs."""
+    need = [least_runs(t, n, 3) for n in range(FEW + 1)]
+    short = next((n for n in range(FEW + 1) if need[n]), None)
+    mine = sets.join(members, "rep", "left_semi")
+    if short is None:
+        return mine.select("rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few = [np.asarray(h.values)[:128].view(np.uint64) for h in batch.column("hashes")]
-            keys = [tx.windows(h, min(3, len(h))).view(np.int64) for h in few]
+            few = [np.asarray(h.values)[:FEW].view(np.uint64) for h in batch.column("hashes")]
+            keys = [tx.windows(h, 3).view(np.int64) for h in few]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
 
     rep = sets.schema["rep"].dataType.simpleString()
-    own = sets.join(members, "rep", "left_semi").filter(F.size("hashes") > 0).mapInArrow(run, f"rep {rep}, keys array<bigint>")
+    # Shorter sets are no partners of tested ones.
+    own = mine.filter(F.size("hashes") >= int(t * short)).mapInArrow(run, f"rep {rep}, keys array<bigint>")
     keys = own.select("rep", F.size("keys").alias("of"), F.explode("keys").alias("v"))
     often = keys.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("v")
-    met = keys.join(often, "v").groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("of").alias("of"))
-    return met.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("of") * 0.08))).select("rep")
+    met = keys.join(often, "v").groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("of").alias("of")).filter(F.col("of") >= short - 2)
+    enough = met.filter(F.col("met") >= F.element_at(F.lit(need), F.col("of") + 3)).select("rep")
+    return enough.unionAll(mine.filter(F.size("hashes") < short).select("rep"))
 
 
 def _feasible(entries: DataFrame, t: float) -> DataFrame:
@@ -204,7 +228,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without partners gets a null component and is kept. Other columns are ignored.
     """
     num, den = similarity
-    t, floor, spark = num / den, 0.33, docs.sparkSession
+    t, spark = num / den, docs.sparkSession
+    while not least_runs(t, k, 1) and k < 1_000:
+        k += 8
+    floor = least_runs(t, k, 1) / k + 1e-9
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_sketches(texts, words, k))
     reps = cut(rows.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).filter("rep is not null"))
@@ -218,7 +245,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     del hits, able
     release(spark)
     pairs = cut(_small_pairs(lists.filter(F.col("size") <= SMALL), reps, t, k, floor))
-    # A pair without a short list in common shares a third of its sketch in long lists alone.
+    # A pair without a short list in common shares as much of its sketch as it must in long lists alone.
     often = lists.filter(F.col("size") > SMALL).groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept"))
     far = cut(often.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("kept") * floor))).select("rep"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(far).distinct()
@@ -228,7 +255,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_confirmed(pairs, sets, num, den))
     if not far.isEmpty():
         release(spark)
-        alike = cut(_alike(far, sets))
+        alike = cut(_alike(far, sets, t))
         release(spark)
         more = _long_lists(_prefixes(alike, sets, t), sets, t, num, den)
         links = links if more is None else links.unionAll(more)

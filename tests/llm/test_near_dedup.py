@@ -44,6 +44,28 @@ def test_five_words_and_deduplicated(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 9]
 
 
+def test_short_texts_in_long_lists(spark):
+    # The sets of 8 words and of 9 that begin with them have 4 of 5 shingles in common, all in long lists.
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(8)]
+        rows += [(1000 * g + i, " ".join([*base, f"end{i}"])) for i in range(40)] + [(1000 * g + 999, " ".join(base))]
+    got = grouped(spark, rows, 5, (80, 100))
+    assert {i: g[:2] for i, g in got.items()} == brute.near_groups(rows, 5, 80, 100)
+    assert sum(g[2] for g in got.values()) == 25
+
+
+@pytest.mark.parametrize(("t", "places", "width"), [(0.8, 12, 3), (0.5, 10, 1), (0.3, 9, 2)])
+def test_least_runs(t, places, width):
+    share = {}
+    for x in range(1 << places):
+        runs = sum((x >> i) % (1 << width) == (1 << width) - 1 for i in range(places - width + 1))
+        share[runs] = share.get(runs, 0) + t ** x.bit_count() * (1 - t) ** (places - x.bit_count())
+    for odds in (0.01, 0.2, 0.6):
+        m = near_dedup.least_runs(t, places, width, odds)
+        assert sum(p for n, p in share.items() if n < m) <= odds < sum(p for n, p in share.items() if n <= m)
+
+
 def test_empty_table_and_null_id(spark):
     assert grouped(spark, []) == {}
     got = grouped(spark, [(None, "a b c d"), (5, "a b c d"), (None, None)])
