@@ -36,7 +36,8 @@ CUTOFF = 0.5
 KEY_BYTES = (string.ascii_letters + string.digits + "+/_-=.~").encode()
 _NAMED = re.compile(r"(?i)(?:passwo?r?d|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer)[\w-]{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:bearer\s{1,3})?[\"']?([^\s\"',;<>(){}\[\]]{6,})", re.I)
 _NAMED_FAST = r"(?i)(passw|passphrase|pwd|secret|token|key|auth|credential|bearer)[^\n]{0,24}[:=]"
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,30}PRIVATE KEY-----|\Z)", re.S)
+#: A block without its END line ends with the last line of base64 characters; a header alone is none.
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----BEGIN ).)*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*(?:[A-Za-z][\w-]{0,30}: [^\n\\]{0,200})?){0,6}(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]{16,}(?![^\s\\\"']))+(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]{1,}(?=[ \t]*(?:\r?\n|\\|[\"']|\Z)))?))", re.S)
 _GOOD = re.compile(r"(?i)passw|passphrase|pwd|secret|token|api|key|auth|credential|bearer|private|access|login|client")
 _BAD = re.compile(r"(?i)sha|md5|hash|commit|checksum|digest|revision|uuid|guid|etag|integrity|version|id\b|example|sample|dummy|test|class|path|url|http|file|image|build|fixture|placeholder|change")
 _WORDS = """about access account action address admin after again all also and android another any api app application apply are array asset async attribute author auth back base before begin block body boolean border bottom box browser buffer build button cache call callback cancel card case catch category center change channel char check child class clear click client close code collection color column command comment commit common component config connect connection const container content context control controller convert copy core count create current custom dark dashboard data database date debug default define delete description design detail device dialog digest direct directory display document domain down download drag driver drop dummy edit editor element email empty enable encode end engine entity entry enum error event example exception export extend external factory false feature field file filter final find first fixed flag folder font footer for form format frame from function generator get global graph grid group handler hash header height help hidden hide home host html http icon ident identifier image import index info init initialize inner input insert instance integer interface internal item iterator java javascript join json key keyboard kind label language large last layout left length level library light line link list listener load local locale location lock log login long loop main manager map margin mask match matrix max media member memory menu merge message meta method middle min mobile mode model module mouse move name native navigation network new next node none normal not note number object offset online open operation option order other output overflow package page panel param parameter parent parse password patch path pattern payload phone picture placeholder play plugin point policy pool popup port position post prefix preview previous primary print private process product profile program progress project promise property protocol provider public query queue random range read record reference refresh region register release reload remote remove render replace report repository request require reset resource response rest result return right role root route row rule sample save scale schema scope screen script scroll search secret section secure select selection send sequence serial server service session set setting shadow shape share show sidebar simple single site size small sort source space spec split stack standard start state static status step stop storage store stream string style submit success summary support switch symbol sync system tab table tag target task template temp test text theme this thread time timeout title toggle token tool tooltip top total track transaction transform translate tree trigger true type undefined unique unit unknown update upload url user util utility valid validate value variable vector version video view visible visual void wait walk warning watch web widget width window with word work wrapper write your zone""".split()
@@ -71,7 +72,7 @@ def runs(strings: pa.Array, least: int = LONG) -> Iterator[tuple[int, int, int]]
 
 
 def candidates(strings: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
-    """(row, spans) of the texts that have any; spans in code points, by place, none inside another."""
+    """(row, spans) of the texts that have any; spans in code points, by place, none inside another but in blocks."""
     found: dict[int, list[tuple[int, int, str]]] = {}
     texts: dict[int, str] = {}
     for row, a, b in runs(strings):
@@ -92,17 +93,17 @@ def candidates(strings: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, st
     for row in np.flatnonzero(named | blocks).tolist():
         t = texts.setdefault(row, strings[row].as_py())
         spans = [(m.start(), m.end(), "block") for m in _BLOCK.finditer(t)] if blocks[row] else []
-        spans += [(*m.span(1), "named") for m in _NAMED.finditer(t)]
+        spans += [(*m.span(1), "named") for m in _NAMED.finditer(t) if not m[1].startswith("-----BEGIN")]
         found.setdefault(row, []).extend(spans)
     for row in sorted(found):
         out: list[tuple[int, int, str]] = []
-        for a, b, kind in sorted(found[row], key=lambda s: (s[0], -s[1])):
+        for a, b, kind in sorted((s for s in found[row] if s[2] != "block"), key=lambda s: (s[0], -s[1])):
             if out and a < out[-1][1]:
                 if kind != "run" and out[-1][2] == "run" and b >= out[-1][1]:
                     out[-1] = (out[-1][0], b, kind)
                 continue
             out.append((a, b, kind))
-        yield row, out
+        yield row, sorted(out + [s for s in found[row] if s[2] == "block"])
 
 
 def _covered(value: str, dictionary: frozenset[str]) -> float:
@@ -282,6 +283,15 @@ def _secrets(strings: pa.Array, paths: list[str], forest: Forest, cutoff: float)
         if s >= cutoff:
             by.setdefault(row, []).append((a, b, kind, float(s)))
     for row, spans in by.items():
+        # What lies in a confirmed block goes with it; the candidates of a refused one stand for themselves.
+        end, kept = 0, []
+        for span in sorted(spans, key=lambda s: (s[0], s[2] != "block")):
+            if span[2] == "block" and kept and kept[-1][1] > span[0]:
+                span = (kept[-1][0], max(span[1], kept.pop()[1]), *span[2:])
+            if span[0] >= end or span[2] == "block":
+                kept.append(span)
+                end = span[1] if span[2] == "block" else end
+        spans = kept
         yield row, strings[row].as_py(), spans
 
 
