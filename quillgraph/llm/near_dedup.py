@@ -266,9 +266,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``; of rows that repeat an id, one."""
-    groups = near_groups(docs, id_col, text_col, **how)
-    first = groups.filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(first, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    """One document of each group of near-duplicates, with the columns of ``docs``; of rows that repeat an id and its text, one.
+
+    Where ids are null or stand for several texts, each id with its text is a document of its own; a null id
+    stays only if its group has no other, and each row with a null id and no words stays.
+    """
+    own = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    many = docs.groupBy(id_col).agg(F.min(own).alias("p"), F.max(own).alias("q")).filter((F.col("p") < F.col("q")) | F.col(id_col).isNull())
+    plain = many.isEmpty()
+    key = F.col(id_col)
+    if not plain:
+        key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.encode(text_col, "utf-8")), F.lit("")).alias("of"))
+    keyed = docs.withColumn("__key", key)
+    groups = near_groups(keyed.select("__key", text_col), "__key", text_col, **how)
+    first = groups.filter("kept").select(F.col("__key").alias("__kept")).distinct()
+    kept = keyed.join(first, F.col("__key").eqNullSafe(F.col("__kept")), "left_semi")
+    # Rows with a null id and no words are linked with nothing; they don't come together in one task.
+    bare = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
+    order = Window.partitionBy("__key").orderBy(text_col)
+    once = (kept if plain else kept.filter(~bare)).withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__key")
+    return once if plain else once.unionAll(docs.filter(bare))

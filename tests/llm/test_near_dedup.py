@@ -44,6 +44,15 @@ def test_five_words_and_deduplicated(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 9]
 
 
+def test_deduplicated_with_null_and_repeated_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcde"}
+    rows = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["c"] + " end"), (4, text["c"]), (5, text["d"]), (5, text["e"]), (5, text["e"] + " end"), (5, None), (6, text["d"] + " end"), (None, None), (None, " ")]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [(r["doc_id"], (r["text"] or "").replace(" end", "")) for r in got]
+    want = [(None, text["a"]), (None, text["b"]), (4, text["c"]), (5, text["d"]), (5, text["e"]), (5, ""), (None, ""), (None, " ")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_short_texts_in_long_lists(spark):
     # The sets of 8 words and of 9 that begin with them have 4 of 5 shingles in common, all in long lists.
     rows = []
