@@ -54,7 +54,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language_id.learned(docs.filter(_fold(5) != 0))
+    model = language_id.learned(docs.filter(_fold(5) != 0), id_col="doc_id")
     return language_id.predicted(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -69,3 +69,38 @@ def repeated_words(words, width=8):
         if count[g] > 1:
             covered.update(range(i, i + width))
     return len(covered)
+
+
+def grams(text):
+    """All n-grams of one to three characters, each as often as it occurs."""
+    t = (text or "").lower()
+    return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+
+def bucket(gram, bits=15):
+    """The bucket of an n-gram: the multiplications of the operator, on plain integers."""
+    h, full = len(gram), (1 << 32) - 1
+    for c in gram:
+        h = (h ^ ord(c)) * 0x01000193 & full
+        h ^= h >> 15
+    return (h * 0x9E3779B1 & full) >> (32 - bits)
+
+
+def naive_bayes(learn, texts):
+    """The most likely language of each text, from whole counts; learn: (text, language)."""
+    import math
+
+    counts, docs = defaultdict(Counter), Counter()
+    for t, lang in learn:
+        docs[lang] += 1
+        for g, n in grams(t).items():
+            counts[lang][bucket(g)] += n
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    out = []
+    for t in texts:
+        own = Counter()
+        for g, n in grams(t).items():
+            own[bucket(g)] += n
+        score = {lang: math.log(docs[lang] / len(learn)) + sum(n * math.log((counts[lang][b] + 0.5) / (total[lang] + 0.5 * (1 << 15))) for b, n in own.items()) for lang in docs}
+        out.append(max(sorted(score), key=score.get) if any(c.isalpha() for c in t or "") else "und")
+    return out

@@ -121,17 +121,44 @@ def test_language_id_on_held_out(spark):
     assert language_id.predicted(df.limit(0), model).count() == 0
 
 
-def test_language_pieces_add_up():
-    t = "".join(random.Random(1).choices("abcdé ", k=5000))
-    m = np.random.default_rng(0).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
-    whole = language_id.log_likelihoods([t, "", "ab"], m)
-    size = language_id.PIECE
-    try:
-        language_id.PIECE = 700
-        parts = language_id.log_likelihoods([t, "", "ab"], np.tile(m, (1, 1)))
-    finally:
-        language_id.PIECE = size
-    assert whole[1][1] == 0 and np.allclose(whole[0][[1, 2]], parts[0][[1, 2]], atol=1e-3)
+@pytest.mark.parametrize("languages", [3, 20, 300])
+def test_language_pieces_against_brute_force(monkeypatch, languages):
+    monkeypatch.setattr(language_id, "PIECE", 2_000)
+    r = random.Random(languages)
+    texts = ["".join(r.choices("abcdéÉİ ß漢", k=k)) for k in (9_000, 0, 2, 1, 1_999, 2_000, 2_001, 12_345, 3)] + ["a" * 3_000 + "b" * 6_000]
+    m = np.random.default_rng(0).normal(size=(language_id.BUCKETS, languages)).astype(np.float32)
+    like, n = language_id.log_likelihoods(texts, m)
+    total = np.zeros(language_id.BUCKETS, int)
+    for k, t in enumerate(texts):
+        want = brute.grams(t)
+        assert n[k] == sum(want.values()), k
+        assert np.allclose(like[k], sum((c * m[brute.bucket(g)].astype(float) for g, c in want.items()), np.zeros(languages)), atol=1e-6), k
+        for g, c in want.items():
+            total[brute.bucket(g)] += c
+    assert (language_id.gram_counts(texts) == total).all()
+
+
+def test_language_against_plain_naive_bayes(spark):
+    r = random.Random(9)
+    parts = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnop", k=r.randint(1, 4))) for _ in range(12)] for k in range(230)}
+    learn = [(i, " ".join(r.choices(parts[lang], k=30)), lang) for i, lang in enumerate(sorted(parts) * 2)] + [(9_000 + i, "pp oo " * 9, "l000") for i in range(40)]
+    asked = [" ".join(r.choices(parts[lang], k=r.choice([1, 5, 400]))) for lang in r.choices(sorted(parts), k=60)] + ["", "12 !", "a", "b" * 70_000, " ".join(parts["l001"] + parts["l002"])]
+    model = language_id.learned(spark.createDataFrame(learn, "doc_id long, text string, lang string"), id_col="doc_id")
+    assert model[0] == sorted(parts)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.predicted(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert [got[i][0] for i in range(len(asked))] == brute.naive_bayes([x[1:] for x in learn], asked)
+    assert all(0 <= x[1] <= 1 for x in got.values())
+
+
+def test_language_fewer_buckets_for_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ENTRIES", 1 << 13)
+    df = spark.createDataFrame([(i, f"{'abcdef'[i % 6]}{'xyz'[i % 3]} " * 20, f"l{i % 6}") for i in range(60)] + [(90, None, "l0"), (91, "text", None)], "doc_id long, text string, lang string")
+    model = language_id.learned(df)
+    assert model[1].shape == (1 << 10, 6)
+    assert all(x["lang"] == x["lang_pred"] for x in language_id.predicted(df.filter("doc_id < 60"), model).collect())
+    monkeypatch.setattr(language_id, "LANGUAGES", 5)
+    with pytest.raises(ValueError, match="over 5 values"):
+        language_id.learned(df)
 
 
 def test_machine_sum_of_squares_identity():
