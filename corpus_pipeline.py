@@ -14,7 +14,7 @@ from quillgraph.plans.shared import fresh_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or whose language isn't clear."""
-    return language_id.confident(docs, language_id.learned(docs))
+    return language_id.confident(docs, language_id.learned(docs, id_col="doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
