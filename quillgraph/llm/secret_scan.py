@@ -13,7 +13,6 @@ import math
 import random
 import re
 import string
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -124,24 +123,29 @@ _DICTIONARY = frozenset(w for w in _WORDS if len(w) > 3)
 _VOWELS = frozenset("aeiouyAEIOUYäöüéèêíóáúñ")
 
 
+def _class(c: str) -> int:
+    """0: digit, 1: upper case, 2: other letter, 3: sign."""
+    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.isalpha() else 3
+
+
 def vector(value: str, kind: str, left: str, right: str, path: str, dictionary: frozenset[str] = _DICTIONARY) -> list[float]:
-    n = max(1, len(value))
-    head = value[:400]
-    m = max(1, len(head))
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in head]
-    share = Counter(kinds)
-    moves = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    digits_letters = sum({a, b} in ({"d", "l"}, {"d", "u"}) for a, b in zip(kinds, kinds[1:], strict=False))
-    count = Counter(head)
-    entropy = -sum(c / m * math.log2(c / m) for c in count.values())
+    """Features of a candidate, all of them over its whole value."""
+    n = m = max(1, len(value))
+    codes, back, times = np.unique(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
+    kinds = np.array([_class(chr(c)) for c in codes], int)[back]
+    share = dict(zip("duls", np.bincount(kinds, minlength=4).tolist(), strict=True))
+    step = kinds[1:] != kinds[:-1]
+    moves = int(step.sum())
+    digits_letters = int((step & ((kinds[1:] == 0) & (kinds[:-1] != 3) | (kinds[:-1] == 0) & (kinds[1:] != 3))).sum())
+    entropy = float(-(times / m * np.log2(times / m)).sum())
     letters = share["l"] + share["u"]
-    run = max((len(x) for x in re.findall(r"\d+|[a-z]+|[A-Z]+", head)), default=0)
+    run = max((len(x) for x in re.findall(r"\d+|[a-z]+|[A-Z]+", value)), default=0)
     words = left[-AROUND:]
     tail = words.rstrip()
     near = re.split(r"\W+", words.lower())[-5:]
     return [
-        math.log2(n), share["d"] / m, share["u"] / m, share["l"] / m, share["s"] / m, moves / m, digits_letters / m, entropy, len(count) / min(m, 64), run / m,
-        float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), sum(c in _VOWELS for c in head) / max(1, letters), _covered(head, dictionary),
+        math.log2(n), share["d"] / m, share["u"] / m, share["l"] / m, share["s"] / m, moves / m, digits_letters / m, entropy, len(codes) / min(m, 64), run / m,
+        float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), sum(map(value.count, _VOWELS)) / max(1, letters), _covered(value, dictionary),
         float(re.match(r"AKIA|ASIA|gh[pousr]_|github_pat|xox[abprs]-|sk[-_]|pk_live|rk_live|AIza|eyJ|glpat-|npm_|SG\.|hf_|ya29|-----BEGIN", value) is not None),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None), float(len(set(value.lower())) <= 3), float(re.search(r"(?i)example|your|xxx|change|dummy|placeholder|123456|abcdef|\.\.\.|\$\{|%s", value) is not None),
         float(value.count(".")), float(value.count("/")), float(value.count("_") + value.count("-")),
@@ -174,7 +178,10 @@ def labelled_findings(seed: int = 11, each: int = 110) -> list[tuple[str, str, s
         add("ghp_" + pick(alnum, 36), prose() + " ", " " + prose(), r.choice(paths), 1)
         kind = r.choice(["RSA ", "EC ", "OPENSSH ", ""])
         add(f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(b64, r.choice([6, 30, 64])) for _ in range(r.randint(1, 8))) + f"\n-----END {kind}PRIVATE KEY-----", prose() + "\n", "\n" + prose(), r.choice(paths), 1, "block")
+        add(f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(1, 24))), prose() + "\n", "\n" + prose(), r.choice(paths), 1, "block")
         # What is taken for a secret.
+        add(pick(b64, r.randint(300, 3_000)) + "=" * r.randint(0, 2), f"{prose()} {r.choice(['src=data:image/png;base64', 'url(data:font/woff2;base64', 'data:application/pdf;base64'])},", r.choice(["\"", ")", " "]), r.choice(meek), 0)
+        add(pick(hexa, r.randint(300, 2_000)), f"{prose()} {r.choice(['dump', 'bytes', 'payload ', 'data:', 'memory'])} ", " " + prose(), r.choice(meek), 0)
         add(pick(hexa, r.choice([32, 40, 64])), f"{prose()} {r.choice(['commit', 'sha256:', 'md5 =', 'checksum: ', 'revision', 'etag = '])} ", f" {prose()}", r.choice(meek), 0)
         add(f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", f"{prose()} {r.choice(['id', 'uuid:', 'guid = ', 'ref'])} ", " " + prose(), r.choice(meek), 0)
         add("".join(r.choices(syllables, k=r.randint(7, 12)))[:60].ljust(20, "e"), prose() + " ", " " + prose(), r.choice(meek), 0)
