@@ -5,9 +5,13 @@ article (menus, headers, footers, forms, adverts, notices, comments of readers,
 by element, role or name) count for nothing. Every other node gets its
 characters per tag, lowered by the share of linked characters (composite text
 density; Sun, Song and Liao, "DOM based content extraction via text density",
-2011). The node whose children's densities sum highest holds the article. The
-lowest density on its path up to the body is the threshold: the widest ancestor
-chain and sibling blocks that reach it and hold running text belong to it too.
+2011). The node whose children's densities sum highest holds the article.
+
+The lowest density on its path up to the body is the threshold: a subtree beside
+that path belongs to the article too if it reaches it. Density grows with length,
+so a headline or a short last section can't; such a subtree is taken if under
+half of its characters are linked. The path is followed up to the ``article`` or ``main`` around the chosen node, or to
+the body where there is none. Element names never choose the node.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 DROPPED = frozenset("script style noscript template iframe object embed applet svg math canvas audio video map nav aside footer form button select option textarea input label fieldset menu dialog head title meta link noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr nobr center".split()) - {"center"}
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar status tooltip".split())
-_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|banner|side-?bar|nav|navbar|navigation|menus?|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|overlay"
-    r"|comments?|comment-?list|respond|disqus|replies|share|sharing|social|follow|related|recommend(?:ed|ations?)?|read-?more|newsletter|subscri(?:be|ption)|sign-?up|login|search|toolbar|pagination|pager|widget|footer|copyright|skip-?link|tag-?cloud|toc|hidden|masthead|topbar|site-?header|page-?header|header)(?:$|[^a-z])"
-)
+#: A class or id names what is no part of an article if its last word, or its first one, is among these.
+_LAST = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner sidebar nav navbar navigation navi menu menus breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal comments replies respond disqus footer header masthead topbar newsletter subscribe signup login searchform searchbox form".split())
+_FIRST = frozenset("ad ads advert advertisement sponsored sidebar nav navbar menu breadcrumb breadcrumbs cookie cookies consent gdpr popup comments commentlist disqus footer masthead".split())
+_PAIRS = ("side-bar", "comment-list", "comment-form", "comment-section", "comment-thread", "comment-area", "comment-respond", "sign-up", "skip-link", "site-header", "page-header", "search-form", "search-box")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A start tag that ends an open element of the first kind, inside the second kind of scope.
 _CLOSES = {
@@ -57,6 +61,11 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _noise(name: str) -> bool:
+    words = [w for w in name.split("-") if w]
+    return bool(words) and (words[-1] in _LAST or words[0] in _FIRST or "-".join(words[-2:]) in _PAIRS or "-".join(words[:2]) in _PAIRS)
+
+
 def _marked(tag: str, raw: str) -> tuple[bool, bool]:
     """Whether an element and all in it is no part of an article: surely; by its name only."""
     if tag in DROPPED:
@@ -67,10 +76,10 @@ def _marked(tag: str, raw: str) -> tuple[bool, bool]:
     for key, value in _ATTRIBUTE.findall(raw):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            names += " " + re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+            names += " " + re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-")
         elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return True, False
-    return False, bool(names and _NAMES.search(names.replace("_", "-")))
+    return False, any(_noise(name) for name in names.split())
 
 
 def parsed(html: str) -> Node:
@@ -159,7 +168,16 @@ def _heading_only(n: Node) -> None:
     n.kids = list(kept)
 
 
-def _measure(nodes: list[Node]) -> None:
+def _composite(chars: int, tags: int, linked: int, links: int, share: float) -> float:
+    """Composite text density of a node; share: linked characters of the body by all of it."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - linked, 1) * linked + share * chars + math.e)
+    return max(0.0, chars / max(tags, 1) * math.log(max(chars / max(linked, 1) * max(tags, 1) / max(links, 1), 1.0 + 1e-9)) / base)
+
+
+def _measure(nodes: list[Node]) -> float:
+    """Fills in counts and densities; returns the share of linked characters."""
     for n in reversed(nodes):
         for k in n.kids:
             if isinstance(k, str):
@@ -175,16 +193,46 @@ def _measure(nodes: list[Node]) -> None:
     body = nodes[0]
     share = body.linked / body.chars if body.chars else 0.0
     for n in nodes:
-        tags, linked, links = max(n.tags, 1), max(n.linked, 1), max(n.links, 1)
-        if n.chars:
-            base = math.log(n.chars / max(n.chars - n.linked, 1) * n.linked + share * n.chars + math.e)
-            n.density = max(0.0, n.chars / tags * math.log(max(n.chars / linked * tags / links, 1.0 + 1e-9)) / base)
+        n.density = _composite(n.chars, n.tags, n.linked, n.links, share)
     for n in nodes:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.drop) or n.density
+    return share
 
 
-def _blocks(n: Node, out: list[str]) -> None:
-    """Appends the blocks of a subtree in page order."""
+def _beside(path: list[Node], threshold: float, share: float) -> dict[Node, list[Node | str]]:
+    """Of each node above the chosen one (the first of ``path``) the children that belong to the article, in order.
+
+    Text and inline elements between two blocks are judged together."""
+
+    def fits(kids: list[Node | str]) -> bool:
+        chars = tags = linked = links = 0
+        for k in kids:
+            if isinstance(k, str):
+                chars += len(k) - k.count(" ") - k.count("\n")
+            elif not k.drop:
+                chars, linked = chars + k.chars, linked + (k.chars if k.tag == "a" else k.linked)
+                tags, links = tags + k.tags + (len(kids) > 1), links + k.links + (k.tag == "a")
+        return 2 * linked < chars or _composite(chars, tags, linked, links, share) >= threshold
+
+    held = set(path)
+    out: dict[Node, list[Node | str]] = {}
+    for n in path[1:]:
+        mine, run = out.setdefault(n, []), []
+        for k in [*n.kids, None]:
+            if isinstance(k, str) or k is not None and k.tag in INLINE and k not in held:
+                run.append(k)
+                continue
+            if run and fits(run):
+                mine += run
+            run = []
+            if k is not None and (k in held or not k.drop and fits([k])):
+                mine.append(k)
+    return out
+
+
+def _blocks(n: Node, own: dict[Node, list[Node | str]]) -> list[str]:
+    """The blocks of a subtree in page order; ``own`` names the children of some nodes that count."""
+    out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
@@ -204,8 +252,9 @@ def _blocks(n: Node, out: list[str]) -> None:
             if k.tag not in INLINE:
                 flush()
                 stack.append((k, True))
-            stack += [(x, False) for x in reversed(k.kids)]
+            stack += [(x, False) for x in reversed(own.get(k, k.kids))]
     flush()
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -234,14 +283,11 @@ def main_text(html: str | None) -> str:
         elif n.soft and (n not in above or sound and n.tag == "article"):
             n.drop = True
     nodes = _order(root)
-    _measure(nodes)
+    share = _measure(nodes)
     if not root.chars:
         return ""
     # Inline elements are parts of blocks; a tie goes to the wider node, which comes first.
     best = max((n for n in nodes if n.tag not in INLINE), key=lambda n: n.total)
-    marked = [n for n in nodes if n.tag == "article"] or [n for n in nodes if n.tag == "main"]
-    if marked and (first := max(marked, key=lambda n: n.chars)).chars * 2 >= root.chars:
-        best = first
     if best is not root and re.fullmatch(r"p|h[1-6]|li|td|tr|tbody|blockquote|pre|dd|dt|figcaption", best.tag):
         best = best.parent
     path, n = [], best
@@ -249,14 +295,9 @@ def main_text(html: str | None) -> str:
         path.append(n)
         n = n.parent
     threshold = min(n.density for n in path)
-    out: list[str] = []
-    family = {best}
-    if best.parent is not None and best.tag != "#root":
-        family |= {k for k in best.parent.kids if isinstance(k, Node) and not k.drop and k.tag == best.tag and k.density >= threshold and 4 * k.chars >= best.chars and 4 * k.linked < k.chars}
-    for n in nodes:
-        if n in family:
-            _blocks(n, out)
-    return " ".join(out)
+    around = [k for tag in ("article", "main") for k, n in enumerate(path) if n.tag == tag] or [len(path) - 1]
+    path = path[: around[0] + 1]
+    return " ".join(_blocks(path[-1], _beside(path, threshold, share)))
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -104,3 +104,28 @@ def naive_bayes(learn, texts):
         score = {lang: math.log(docs[lang] / len(learn)) + sum(n * math.log((counts[lang][b] + 0.5) / (total[lang] + 0.5 * (1 << 15))) for b, n in own.items()) for lang in docs}
         out.append(max(sorted(score), key=score.get) if any(c.isalpha() for c in t or "") else "und")
     return out
+
+
+def article(html):
+    """The blocks of a page's one article element, read with the standard library's parser."""
+    from html.parser import HTMLParser
+
+    blocks, inside = [""], [False]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            inside[0] |= tag == "article"
+            if tag not in ("b", "a"):
+                blocks.append("")
+
+        def handle_endtag(self, tag):
+            inside[0] &= tag != "article"
+            if tag not in ("b", "a"):
+                blocks.append("")
+
+        def handle_data(self, data):
+            if inside[0]:
+                blocks[-1] += data
+
+    Reader(convert_charrefs=True).feed(html or "")
+    return " ".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in blocks) if x)

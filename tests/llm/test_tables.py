@@ -2,12 +2,24 @@
 
 import re
 
+import brute
 import corpus_pipeline
 import pytest
 
 from quillgraph.llm import mixing, queries, url_filter
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_main_texts_against_another_parser(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = queries.op1_html_extraction(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["text"] == brute.article(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
 def plain_verdict(url, rules):
     host = path = ""
     if url and "://" in url:

@@ -37,6 +37,45 @@ def test_main_text(html, expected):
     assert html_extract.main_text(html) == expected
 
 
+STORY = "".join(f"<p>Paragraph {k} of the story says at some length what happened then and there.</p>" for k in range(5))
+TOLD = " ".join(f"Paragraph {k} of the story says at some length what happened then and there." for k in range(5))
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        # No element names an article: the densities alone find it, with its headline and a short last section.
+        (f"<body><h1>Headline</h1><div>{STORY}</div><div>The end.</div><div><a href=/1>One more story</a> <a href=/2>Another story</a></div></body>", f"Headline {TOLD} The end."),
+        (f"<div>{STORY}</div><div><p>So.</p><p>It.</p><p>Was.</p></div>", f"{TOLD} So. It. Was."),
+        (f"<article><div>{STORY}</div><div>Short.</div>Loose words with a <a>link</a> within. <section><p>Tail.</p></section></article><div>Outside of it.</div>", f"{TOLD} Short. Loose words with a link within. Tail."),
+        # An article of one line doesn't outweigh a dense block elsewhere.
+        (f"<article><p>Teaser.</p></article><div>{STORY}</div>", f"Teaser. {TOLD}"),
+        # Names that only look like those of notices, menus and so on.
+        (f"<article>{STORY}<div class=share-price><p>The share fell.</p></div><div id=follow-up><p>It rose again.</p></div><p class='searching related'>More.</p></article>", f"{TOLD} The share fell. It rose again. More."),
+        (f"<div class=wrap><div id=siteMenu>Menu words</div><div class=cookie_notice>We bake.</div><div class='ad-box'>Buy</div>{STORY}<div class='post-comments'><p>First!</p></div><div id=sidebar>Side</div></div>", TOLD),
+        # Equal densities: the first, wider node, with both.
+        ("<div><div><p>Twice the same words.</p></div><div><p>Twice the same words.</p></div></div>", "Twice the same words. Twice the same words."),
+    ],
+)
+def test_densities_and_threshold(html, expected):
+    assert html_extract.main_text(html) == expected
+
+
+def test_very_long_page():
+    text = html_extract.main_text("<nav><a>m</a></nav><article>" + "<p>Word after word of it.</p>" * 40_000 + "</article>")
+    assert text == " ".join(["Word after word of it."] * 40_000)
+
+
+def test_composite_density_is_the_papers():
+    # c/t * log_base(c/lc * t/lt), base = ln(c/(c - lc) * lc + lc_body/c_body * c + e)
+    import math
+
+    for c, t, lc, lt, share in ((200, 4, 20, 2, 0.1), (50, 1, 10, 1, 0.5), (900, 30, 300, 12, 0.2)):
+        want = c / t * math.log(c / lc * t / lt, math.log(c / (c - lc) * lc + share * c + math.e))
+        base = math.log(c / (c - lc) * lc + share * c + math.e)
+        assert html_extract._composite(c, t, lc, lt, share) == pytest.approx(c / t * math.log(c / lc * t / lt) / base) and want > 0
+
+
 def test_extracted_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a  b</p></article>", "old"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_extract.extracted(df).collect()
