@@ -32,7 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the highest possible score from which an item counts as contained.
 LEAST = 0.5
 #: Characters of items that are broadcast at once; more items are worked through in blocks.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -170,8 +170,9 @@ def _block(docs: DataFrame, items: Items, least: float, span: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["gram", "n"])
 
     counts = np.zeros(len(items.grams), np.int64)
-    for r in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r["gram"]] = r["n"]
+    # At most one row for each n-gram of the block's items.
+    found = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     seeds = spark.sparkContext.broadcast(items.seeds(counts, span))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +200,13 @@ def _block(docs: DataFrame, items: Items, least: float, span: int) -> DataFrame:
     return docs.mapInArrow(find, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, n: int = N, span: int = SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, n: int = N, span: int = SPAN, shortest: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item, score, last_word) for each row of ``docs`` and item it contains: score is the share of the
     highest alignment score, ``least`` at least; last_word is the place of the last aligned word.
 
-    Items with fewer than ``n`` words (null and empty ones too) are never contained; equal items each count.
-    Without items, or documents, there are no rows. Repeated rows of ``docs`` each give theirs.
+    Items with fewer than ``n`` words count only as they stand, word for word; those with fewer than
+    ``shortest`` words (null and empty ones at least) are never contained. Equal items each count. Without
+    items, or documents, there are no rows. Repeated rows of ``docs`` each give theirs.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
@@ -213,6 +215,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for k in range(blocks):
         rows = (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).orderBy("i", "t").collect()
-        part = _block(texts, Items([r["i"] for r in rows], [r["t"] for r in rows], n), least, span)
-        out = part if out is None else out.unionAll(part)
+        sizes = np.diff(plain_words(pa.array([r["t"] for r in rows], pa.large_string()))[1])
+        for m in range(1, n + 1):
+            own = [r for r, size in zip(rows, sizes, strict=True) if size >= shortest and (size == m if m < n else size >= n)]
+            if own or m == n and out is None:
+                part = _block(texts, Items([r["i"] for r in own], [r["t"] for r in own], m), least if m == n else 1.0, span if m == n else 1)
+                out = part if out is None else out.unionAll(part)
     return out.withColumnRenamed("doc_id", id_col).withColumnRenamed("item_id", item_col)

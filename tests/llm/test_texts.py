@@ -265,6 +265,42 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_short_items_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "He said: Two words!"), (1, "He said: Two words!"), (2, "two other words"), (3, "Yes."), (4, "yesterday two"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "two words"), (2, "yes"), (3, "..."), (4, None), (5, "two words")], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["score"]) for x in decontamination.contaminated(docs, bench).collect())
+    assert got == [(1, 1, 1.0), (1, 1, 1.0), (1, 5, 1.0), (1, 5, 1.0), (3, 2, 1.0)]
+    assert decontamination.contaminated(docs, bench, shortest=3).collect() == []
+
+
+def test_very_long_document_and_item(spark):
+    r = random.Random(12)
+    item = [f"i{r.randrange(900)}" for _ in range(600)]
+    docs = spark.createDataFrame([(1, " ".join(f"w{r.randrange(5_000)}" for _ in range(150_000)) + " " + " ".join(item[:400]) + " end " * 50_000)], "doc_id long, text string")
+    (row,) = decontamination.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (row["item_id"], row["last_word"]) == (7, 150_399) and 0.6 < row["score"] < 0.75
+
+
+def test_paraphrases_against_alignment_of_everything(spark):
+    """Every item is aligned with every whole text; of what reaches the score nearly all must come through the seeds."""
+    r = random.Random(31)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 5))) for _ in range(300)]
+    items = [r.choices(vocabulary, k=r.randint(12, 45)) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        own = []
+        for w in items[i % 25]:  # a share of the words exchanged, left out or put in
+            x = r.random() / (0.1 + 0.05 * (i % 5))
+            own += r.choices(vocabulary, k=1) if x < 0.6 else [] if x < 0.8 else [w, r.choice(vocabulary)] if x < 1 else [w]
+        w = r.choices(vocabulary, k=80)
+        rows.append((i, " ".join(w[:40] + own * (i % 3 > 0) + w[40:])))
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()}
+    code = {w: k for k, w in enumerate(vocabulary)}
+    want = {(i, k): s for i, t in rows for k, x in enumerate(items) if (s := decontamination.alignment(np.array([code[w] for w in x]), np.array([code[w] for w in t.split()]))[0] / (2 * len(x))) >= 0.5}
+    assert set(got) <= set(want) and len(want) > 80 and len(got) >= 0.97 * len(want), (len(got), len(want))
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in got)
+
+
 def test_widely_copied_items_are_found(spark):
     item = " ".join(f"item{i}" for i in range(30))
     docs = spark.createDataFrame([(i, f"before {i} {item} after") for i in range(200)], "doc_id long, text string")
