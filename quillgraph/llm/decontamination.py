@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,7 +158,8 @@ def matched(w: np.ndarray, hits: list[tuple[int, int, int]], items: Items, least
     return out
 
 
-def _block(docs: DataFrame, items: Items, least: float, span: int) -> DataFrame:
+def _seeded(docs: DataFrame, items: Items, span: int) -> Broadcast:
+    """(items, their seeds by how often each n-gram stands in the texts of ``docs``) on the executors."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(items)
 
@@ -173,31 +175,37 @@ def _block(docs: DataFrame, items: Items, least: float, span: int) -> DataFrame:
     # At most one row for each n-gram of the block's items.
     found = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
-    seeds = spark.sparkContext.broadcast(items.seeds(counts, span))
+    return spark.sparkContext.broadcast((items, items.seeds(counts, span)))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seed = held.value, seeds.value
-        is_seed = np.zeros(len(own.grams) + 1, bool)
-        is_seed[list(seed)] = True
-        for batch in batches:
-            row, out = 0, []
-            for part in tx.slices(batch, "text"):
-                w, offsets, at, gram = own.hits(tx.texts_of(part, "text"))
-                good = is_seed[gram]
-                at, gram = at[good], gram[good]
-                doc = np.searchsorted(offsets, at, side="right") - 1
-                by: dict[int, list[tuple[int, int, int]]] = {}
-                for d, a, g in zip(doc.tolist(), at.tolist(), gram.tolist(), strict=True):
-                    by.setdefault(d, []).extend((item, place, a - int(offsets[d])) for item, place in seed[g])
-                for d, found in by.items():
-                    out += [(row + d, own.ids[i], s, e) for i, s, e in matched(w[offsets[d] : offsets[d + 1]], found, own, least)]
-                row += part.num_rows
-            ids = batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in out], item_type), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())], names=["doc_id", "item_id", "score", "last_word"])
-
-    item_type = pa.string() if items.ids and isinstance(items.ids[0], str) else pa.int64()
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.StringType() if item_type == pa.string() else T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("last_word", T.LongType())])
-    return docs.mapInArrow(find, schema)
+
+def _contained(strings: pa.Array, own: Items, seed: dict[int, list[tuple[int, int]]], least: float) -> Iterator[tuple[int, int, float, int]]:
+    """(row, item, score, last word) of the items in a slice of texts."""
+    is_seed = np.zeros(len(own.grams) + 1, bool)
+    is_seed[list(seed)] = True
+    w, offsets, at, gram = own.hits(strings)
+    good = is_seed[gram]
+    at, gram = at[good], gram[good]
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for d, a, g in zip(doc.tolist(), at.tolist(), gram.tolist(), strict=True):
+        by.setdefault(d, []).extend((item, place, a - int(offsets[d])) for item, place in seed[g])
+    for d, found in by.items():
+        for i, s, e in matched(w[offsets[d] : offsets[d + 1]], found, own, least):
+            yield d, i, s, e
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, least: float, n: int, span: int, shortest: int, block_chars: int) -> Iterator[tuple[Broadcast, float]]:
+    """The items, by blocks of bounded size and by the number of words of their n-grams, with their seeds."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    chars = items.agg(F.sum(F.length("t") + 32)).first()[0] or 0
+    blocks = max(1, -(-int(chars) // block_chars))
+    for k in range(blocks):
+        rows = (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).orderBy("i", "t").collect()
+        sizes = np.diff(plain_words(pa.array([r["t"] for r in rows], pa.large_string()))[1])
+        for m in range(1, n + 1):
+            own = [r for r, size in zip(rows, sizes, strict=True) if size >= shortest and (size == m if m < n else size >= n)]
+            if own:
+                yield _seeded(docs, Items([r["i"] for r in own], [r["t"] for r in own], m), span if m == n else 1), least if m == n else 1.0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, n: int = N, span: int = SPAN, shortest: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -209,16 +217,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items, or documents, there are no rows. Repeated rows of ``docs`` each give theirs.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    chars = items.agg(F.sum(F.length("t") + 32)).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
+    kind = benchmark.schema[item_col].dataType
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", T.StringType() if isinstance(kind, T.StringType) else T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("last_word", T.LongType())]
+    item_type = pa.string() if isinstance(kind, T.StringType) else pa.int64()
     out = None
-    for k in range(blocks):
-        rows = (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).orderBy("i", "t").collect()
-        sizes = np.diff(plain_words(pa.array([r["t"] for r in rows], pa.large_string()))[1])
-        for m in range(1, n + 1):
-            own = [r for r, size in zip(rows, sizes, strict=True) if size >= shortest and (size == m if m < n else size >= n)]
-            if own or m == n and out is None:
-                part = _block(texts, Items([r["i"] for r in own], [r["t"] for r in own], m), least if m == n else 1.0, span if m == n else 1)
-                out = part if out is None else out.unionAll(part)
+    for held, enough in _blocks(texts, benchmark, item_col, item_text, least, n, span, shortest, block_chars):
+
+        def find(batches: Iterator[pa.RecordBatch], held: Broadcast = held, enough: float = enough) -> Iterator[pa.RecordBatch]:
+            own, seed = held.value
+            for batch in batches:
+                row, out = 0, []
+                for part in tx.slices(batch, "text"):
+                    out += [(row + d, own.ids[i], s, e) for d, i, s, e in _contained(tx.texts_of(part, "text"), own, seed, enough)]
+                    row += part.num_rows
+                ids = batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in out], item_type), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())], names=["doc_id", "item_id", "score", "last_word"])
+
+        part = texts.mapInArrow(find, T.StructType(fields))
+        out = part if out is None else out.unionAll(part)
+    out = docs.sparkSession.createDataFrame([], T.StructType(fields)) if out is None else out
     return out.withColumnRenamed("doc_id", id_col).withColumnRenamed("item_id", item_col)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, n: int = N, span: int = SPAN, shortest: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that contain no item (see ``contaminated``). Each row is judged by its own text, with
+    whatever id; nothing is shuffled."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    for held, enough in _blocks(texts, benchmark, item_col, item_text, least, n, span, shortest, block_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], held: Broadcast = held, enough: float = enough) -> Iterator[pa.RecordBatch]:
+            own, seed = held.value
+            for batch in batches:
+                for part in tx.slices(batch, text_col):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[d for d, *_ in _contained(tx.texts_of(part, text_col), own, seed, enough)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

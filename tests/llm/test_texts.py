@@ -263,6 +263,10 @@ def test_contaminated(spark):
     assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(docs, bench, block_chars=900).collect()} == leaks
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
     assert decontamination.contaminated(docs.limit(0), bench).collect() == []
+    rows = docs.selectExpr("if(doc_id < 9, null, doc_id) as doc_id", "text", "1 as item_id")
+    for chars in (900, 1 << 20):
+        clean = decontamination.uncontaminated(rows, bench, block_chars=chars)
+        assert clean.columns == rows.columns and sorted(clean.collect(), key=str) == sorted(rows.join(docs.filter(~docs.doc_id.isin([i for i, _ in leaks])).select("text"), rows.text.eqNullSafe(docs.text), "left_semi").collect(), key=str)
 
 
 def test_short_items_and_repeated_rows(spark):
