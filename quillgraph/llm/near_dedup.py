@@ -46,6 +46,8 @@ SMALL = 24
 ROUNDS = (1, 16, 256)
 #: Smallest hashes of a set whose runs of neighbours are looked at.
 FEW = 128
+#: Parts that the members of one long list are dealt to.
+PARTS = 64
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -179,11 +181,19 @@ def _alike(members: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return enough.unionAll(mine.filter(F.size("hashes") < short).select("rep"))
 
 
+def _by_list(entries: DataFrame, *aggregates: F.Column) -> DataFrame:
+    """Aggregates of each list, and the parts it has. A list's members are dealt to ``PARTS`` parts
+    by their hash, so that one that holds much of all rows is summed and joined in as many tasks."""
+    return entries.groupBy("v", "part").agg(*aggregates).groupBy("v")
+
+
 def _feasible(entries: DataFrame, t: float) -> DataFrame:
     """Without the members that can't have their first common shingle here, even with the smallest partner of their list."""
-    least = entries.groupBy("v").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", "low")
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
+    lists = _by_list(entries, F.min("n").alias("low"), F.count(F.lit(1)).alias("c")).agg(F.min("low").alias("low"), F.sum("c").alias("c"), F.collect_set("part").alias("parts"))
+    least = lists.filter("c > 1").select("v", "low", F.explode("parts").alias("part"))
     share = t / (1 + t)
-    return entries.join(least, "v").filter((F.col("n") - F.col("u")) >= (F.col("n") + F.greatest("low", F.ceil(F.col("n") * t - 1e-6))) * F.lit(share) - 1e-6).select("v", "rep", "n", "u")
+    return entries.join(least, ["v", "part"]).filter((F.col("n") - F.col("u")) >= (F.col("n") + F.greatest("low", F.ceil(F.col("n") * t - 1e-6))) * F.lit(share) - 1e-6).select("v", "part", "rep", "n", "u")
 
 
 def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: int) -> DataFrame:
@@ -196,22 +206,24 @@ def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: in
     step = 0
     while True:
         release(entries.sparkSession)
-        open_lists = entries.groupBy("v").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("v")
-        entries = cut(entries.join(open_lists, "v", "left_semi"))
+        lists = _by_list(entries, F.min("comp").alias("p"), F.max("comp").alias("q")).agg(F.min("p").alias("p"), F.max("q").alias("q"), F.collect_set("part").alias("parts"))
+        open_lists = cut(lists.filter("p < q").select("v", "parts"))
+        entries = cut(entries.join(open_lists.select("v", F.explode("parts").alias("part")), ["v", "part"], "left_semi"))
         if entries.isEmpty():
             return links
         many = ROUNDS[min(step, len(ROUNDS) - 1)] * (1 if step < len(ROUNDS) else 4 ** (step - len(ROUNDS) + 1))
         salt = F.pmod(F.xxhash64("rep"), F.lit(many))
-        leaders = cut(entries.groupBy("v", salt.alias("salt")).agg(F.min(F.struct("u", "n", "rep", "comp")).alias("l")).select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.u").alias("lu"), F.col("l.comp").alias("lc")))
+        leaders = cut(entries.groupBy("v", salt.alias("salt")).agg(F.min(F.struct("u", "n", "rep", "comp", "part")).alias("l")).select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.u").alias("lu"), F.col("l.comp").alias("lc"), F.col("l.part").alias("lp")))
         need = (F.col("n") + F.col("ln")) * F.lit(share) - 1e-6
-        met = entries.join(leaders, "v").filter((F.col("comp") != F.col("lc")) & ~_apart(t, "n", "ln") & (F.col("n") - F.col("u") >= need) & (F.col("ln") - F.col("lu") >= need))
+        dealt = leaders.drop("lp").join(open_lists, "v").withColumn("part", F.explode("parts")).drop("parts")
+        met = entries.join(dealt, ["v", "part"]).filter((F.col("comp") != F.col("lc")) & ~_apart(t, "n", "ln") & (F.col("n") - F.col("u") >= need) & (F.col("ln") - F.col("lu") >= need))
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         new = cut(_confirmed(pairs, sets, num, den))
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             comp = cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("c2")))
-        rest = entries.join(leaders.select("v", F.col("lead").alias("rep")), ["v", "rep"], "left_anti")
-        entries = rest if comp is None else rest.join(comp, "rep", "left").select("v", "rep", "n", "u", F.coalesce("c2", "comp").alias("comp"))
+        rest = entries.join(leaders.select("v", F.col("lp").alias("part"), F.col("lead").alias("rep")), ["v", "part", "rep"], "left_anti")
+        entries = rest if comp is None else rest.join(comp, "rep", "left").select("v", "part", "rep", "n", "u", F.coalesce("c2", "comp").alias("comp"))
         step += 1
 
 
