@@ -32,7 +32,7 @@ def plain_verdict(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-URLS = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "http://example.net", "http://example.net/", "http://net/", "http://xnet/", "http://example.com/de/1", "http://example.com/de", "ftp://b.org/fr/", "://x.org/fr/a", "http://a.org?/fr/", "http://u@Ünet.net:80/ä", "http://example.net.org/fr/q", "http://..net/", "http://a.b.c.d.example.net//en/", "http://h.io/a/b/c", "http://h.io/a/bx"]
+URLS = [None, "", "no scheme", "http://A.Example.NET/en/x?y#z", "http://example.net", "http://example.net/", "http://net/", "http://xnet/", "http://example.com/de/1", "http://example.com/de", "ftp://b.org/fr/", "://x.org/fr/a", "http://a.org?/fr/", "http://u@Ünet.net:80/ä", "http://example.net.org/fr/q", "http://..net/", "http://a.b.c.d.example.net//en/", "http://h.io/a/b/c", "http://h.io/a/bx", "http://" + "a." * 3_000 + "net/" + "x/" * 20_000, "http://h.io/" + "a/" * 30_000 + "?q"]
 
 
 @pytest.mark.parametrize("limit", [url_filter.BROADCAST_CHARS, 0])
@@ -48,6 +48,14 @@ def test_rules_against_brute_force(spark, monkeypatch, limit):
     assert url_filter.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).collect() == []
 
 
+def test_popular_urls_and_rules_without_paths(spark):
+    urls = [None] * 300 + ["http://a.net/"] * 300 + ["http://b.net/x/y"] * 3
+    pages = spark.createDataFrame([(i % 290, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([("net", "", "block")], "host string, path string, verdict string")).collect()
+    assert len(got) == len(urls) and all(r["verdict"] == ("block" if r["url"] else "allow") for r in got)
+    assert {r["verdict"] for r in url_filter.judge(pages.select("url"), spark.createDataFrame([], "host string, path string, verdict string")).collect()} == {"allow"}
+
+
 def filled(sizes, weights=(5, 2, 1)):
     """Targets by dealing out again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
