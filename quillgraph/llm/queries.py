@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontamination, html_extract, language_id, mixing, near_dedup, quality_fm, quality_rules, secret_scan, token_counts, url_filter
+from quillgraph.plans.shared import cut
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -59,7 +60,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = cut(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -97,16 +98,16 @@ WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(te
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
     "op9_mixing": r"""
-WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS tie FROM documents),
   banded AS (SELECT *, length(bin(size)) * 4 + CASE rpad(substr(bin(size), 2, 2), 2, '0') WHEN '00' THEN 0 WHEN '01' THEN 1 WHEN '10' THEN 2 ELSE 3 END AS band,
-    ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 256 AS cell FROM own),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || tie), 1, 8))::BIGINT % 256 AS cell FROM own),
   sources AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap FROM own GROUP BY source),
   weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
   levels AS (SELECT *, ((SELECT sum(source_size) FROM sources) * 150 / 100.0::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
   found AS (SELECT arg_min(level, cap / weight) AS final FROM levels WHERE level * weight < cap),
   goal AS (SELECT source, source_size, CASE WHEN final IS NULL OR final * weight >= cap THEN cap::DOUBLE ELSE final * weight END AS target FROM levels LEFT JOIN found ON true),
-  placed AS (SELECT b.*, source_size, target, row_number() OVER (PARTITION BY b.source ORDER BY band, cell, size, doc_id) AS r,
+  placed AS (SELECT b.*, source_size, target, row_number() OVER (PARTITION BY b.source ORDER BY band, cell, size, doc_id NULLS LAST, tie) AS r,
     ('0x' || substr(md5('mix:' || CASE WHEN b.source IS NULL THEN 'null:' ELSE 'of:' || b.source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
     FROM banded b JOIN goal g ON b.source IS NOT DISTINCT FROM g.source),
   rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM placed)

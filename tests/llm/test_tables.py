@@ -92,6 +92,41 @@ def test_mix(spark):
     assert {r["taken"] for r in mixing.mixed(df.filter("source = 'empty'")).collect()} == {0}
 
 
+def test_mix_takes_by_systematic_sampling(spark):
+    """Copies are what the running sum of expected copies gives, whatever the order: each document of a source gets
+    the rate rounded down or up, the source as a whole its number of rows times the rate within one copy, and the
+    words come near the target; a source, an id or a text that most rows have changes nothing."""
+    rows = [(7 if i % 3 else i, f"w{i % 50} " * (1 + i % 40), "hot" if i % 4 else "small") for i in range(4_000)] + [(None, f"n{i} m", "small") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(df).collect()
+    for source in ("hot", "small"):
+        own = [r for r in out if r["source"] == source]
+        rate = own[0]["target"] / own[0]["source_size"]
+        assert {r["copies"] for r in own} <= {int(rate), int(rate) + 1}
+        assert abs(sum(r["copies"] for r in own) - len(own) * rate) <= 1
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.01 * own[0]["target"]
+    key = lambda r: (str(r["doc_id"]), r["source"], r["text"], r["copies"])
+    assert sorted(map(key, out)) == sorted(map(key, mixing.mixed(df.orderBy("text").repartition(9)).collect()))
+    slim = mixing.mixed(mixing.sized(df).drop("text")).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in slim) == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in out)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_duckdb(spark, name):
+    import duckdb
+    from test_oracles import TABLES, plain
+
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    want = db.execute(queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    want = sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(map(plain, r)) for r in got.select(*names).collect()), key=repr) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     from pyspark.sql import functions as F
 
