@@ -26,7 +26,7 @@ BANDS = (
     (2_000, 1.63, 2.26), (5_000, 1.82, 2.38), (20_000, 2.03, 2.56), (50_000, 2.12, 2.73), (1 << 62, 1.93, 3.50),
 )
 #: Bytes of a chunk, and how large a share of the chunks may lie outside the band of their length.
-CHUNK, OUTSIDE = 4_096, 0.25
+CHUNK, OUTSIDE = 2_048, 0.2
 LEVEL = 3
 WINDOW = 8
 _SYMBOLS = "#*$%&|<>"
