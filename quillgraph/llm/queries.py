@@ -40,9 +40,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = quality_fm.learned(docs, table(spark, sf_dir, "labels").filter(_fold(4) != 2))
-    return quality_fm.scored(docs, machine).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality_fm.learned(docs, table(spark, sf_dir, "labels").filter(_fold(4) != 2), metadata=("n_chars",))
+    return quality_fm.scored(docs, machine, metadata=("n_chars",)).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,27 @@ def article(html):
 
     Reader(convert_charrefs=True).feed(html or "")
     return " ".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in blocks) if x)
+
+
+def machine_score(machine, row, metadata=()):
+    """The score of one row, pair by pair, from features that are counted word by word."""
+    import math
+
+    import xxhash
+
+    from quillgraph.llm import quality_fm as fm
+
+    t = row["text"] or ""
+    w = re.findall(WORD, t.translate(LOWER))
+    count = Counter(xxhash.xxh64_intdigest(x) % fm.WORDS for x in w)
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values())) or 1
+    x = [(k, math.log1p(n) / norm) for k, n in count.items()]
+    n, size, lines = len(w), max(len(t), 1), t.count("\n") + 1
+    filled = [y for y in t.split("\n") if re.search(WORD, y)]
+    share = lambda pattern: len(re.findall(pattern, t)) / size
+    stats = [math.log1p(n) / 8, math.log1p(len(t)) / 10, sum(map(len, w)) / max(n, 1) / 10, len(count) / max(n, 1), min(1, 20 * share(r"[#*$%&|<>]")), share("[A-Z]"), share("[a-z]"), min(1, 10 * share("[0-9]")), min(1, 30 * share(r"[.?]")), min(1, 30 * share("!")), min(1, 20 * share(r"\|")), min(1, 5 * lines / max(n, 1)), (len(filled) - len(set(filled))) / lines, float(n == 0)]
+    x += [(fm.WORDS + k, v) for k, v in enumerate(stats)]
+    x += [(xxhash.xxh64_intdigest(c if isinstance(row[c], (int, float)) else f"{c}={row[c]}") % fm.WORDS, math.log1p(row[c]) / 10 if isinstance(row[c], (int, float)) else 1.0) for c in metadata if row[c] is not None]
+    margin = machine.bias + sum(machine.linear[k] * v for k, v in x)
+    margin += sum(float(machine.factors[a] @ machine.factors[b]) * u * v for i, (a, u) in enumerate(x) for b, v in x[:i])
+    return 1 / (1 + math.exp(-margin))

@@ -230,6 +230,20 @@ def test_quality_on_held_out(spark):
     assert {x["predicted"] for x in quality_fm.scored(docs.limit(3), untrained).collect()} == {0}
 
 
+def test_quality_scores_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = quality_fm.WORDS + quality_fm.STATS
+    m = quality_fm.Machine(-0.2, rng.normal(size=n), rng.normal(0, 0.5, size=(n, quality_fm.RANK)))
+    words = [f"wörd{k}!" for k in range(90)] + ["Big", "A|B", "#", "12", "end."]
+    texts = [" ".join(rng.choice(words, k)) + "\nsame line\nsame line" * (k % 2) for k in (1, 30, 31, 200, 2_000)] + [None, "", " \n\n "]
+    rows = [(i, t, len(t or "") if i % 3 else None, ["x", None, "y"][i % 3]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kind string")
+    for meta in ((), ("n_chars", "kind")):
+        got = {x["doc_id"]: x["score"] for x in quality_fm.scored(df, m, metadata=meta).collect()}
+        for r in df.collect():
+            assert got[r["doc_id"]] == pytest.approx(brute.machine_score(m, r, meta), abs=1e-9), (r["doc_id"], meta)
+
+
 def test_alignment_against_brute_force():
     r = np.random.default_rng(1)
     for _ in range(80):
