@@ -22,7 +22,7 @@ BUCKETS = 1 << 15
 ENTRIES = 1 << 24
 SIZES = (1, 2, 3)
 #: Code points that are worked on at once; a longer text is taken piece by piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Documents of each language that the counts are taken from, about.
 SAMPLE = 1_500
 #: More values of the language column than this can't be languages: an error, as none is left out in silence.
