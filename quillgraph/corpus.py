@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILES = "path string, language string, hash string, size bigint, line_count int, text string"
 SYMBOLS = "qualified_name string, file string, name string, kind string, start_line int, end_line int, start_col int, end_col int, signature string, ord int, shadowed boolean, exported boolean"
-EDGES = "kind string, from_file string, from_symbol string, to_name string, line int, to_symbol string, to_file string, status string, method string, reason string, external string, candidates array<string>"
+EDGES = "kind string, from_file string, from_symbol string, to_name string, line int, to_symbol string, to_file string, status string, method string, reason string, external string, candidates array<string>, binding string, arguments int, constructs string, overload string"
 ROUTES = "file string, method string, path string, line int, handler string"
 
-#: Order of the edge kinds.
+# Order of the edge kinds.
 KINDS = ("calls", "references", "imports", "extends", "routes", "implements")
-#: Ways of resolving that go by a name alone, or by a hint on the receiver.
+# Ways of resolving that go by a name alone, or by a hint on the receiver.
 WEAK = ("same-file-name", "imported-file-name", "unique-name", "receiver-hint")
+# Paths of tests.
+TEST_PATHS = (r"(^|/)(tests?|__tests__)/", r"(^|/)test_[^/]+\.py$", r"(\.(test|spec)\.[^/]+|_test\.(go|py))$")
 
 
 def is_reliable() -> Column:
@@ -26,7 +28,7 @@ def is_reliable() -> Column:
 def is_test_file(path: str | Column) -> Column:
     """Paths that test runners take for tests."""
     p = F.col(path) if isinstance(path, str) else path
-    return p.rlike(r"(^|/)(tests?|__tests__)/") | p.rlike(r"(^|/)test_[^/]+\.py$") | p.rlike(r"(\.(test|spec)\.[^/]+|_test\.(go|py))$")
+    return p.rlike("|".join(TEST_PATHS))
 
 
 def dir_of(path: str | Column) -> Column:
@@ -81,27 +83,47 @@ class Corpus:
     def generation(self) -> DataFrame:
         """One row: the number of files, symbols and edges, and a digest that depends on their contents but on no order.
 
-        Each row is hashed; the hashes are added up, so the digest needs one aggregation per table."""
-        total = lambda df, *c: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h"))
-        f = total(self.files, "path", "hash", "language")
-        s = total(self.symbols, "qualified_name", "kind", "start_line", "end_line", "signature")
-        e = total(self.edges, "kind", "from_file", "from_symbol", "to_name", "line", "to_symbol", "status", "method")
-        rows = f.select(F.lit("files").alias("part"), "*").unionAll(s.select(F.lit("symbols"), "*")).unionAll(e.select(F.lit("edges"), "*"))
-        return rows.groupBy().agg(*(F.max(F.when(F.col("part") == p, F.col("n"))).alias(p) for p in ("files", "symbols", "edges")), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "n", "h"))), "\n"), 256).alias("generation"))
+        Each row's canonical JSON is hashed to 128 bits, whose halves are added up apart, so the digest
+        takes one aggregation per table; a row that occurs twice counts twice."""
+        wide = "decimal(38,0)"
+
+        def total(df: DataFrame, names: list[str]) -> DataFrame:
+            h = df.select(F.md5(canonical(df, [c for c in names if c in df.columns])).alias("h"))
+            half = lambda k: F.coalesce(F.sum(F.conv(F.substring("h", k, 16), 16, 10).cast(wide)), F.lit(0)).cast("string")
+            return h.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("+", half(1), half(17)).alias("h"))
+
+        columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+        parts = {"files": (self.files, [c for c in columns(FILES) if c != "text"]), "symbols": (self.symbols, columns(SYMBOLS)), "edges": (self.edges, columns(EDGES))}
+        rows = None
+        for name, (df, names) in parts.items():
+            one = total(df, names).select(F.lit(name).alias("part"), "*")
+            rows = one if rows is None else rows.unionAll(one)
+        return rows.groupBy().agg(*(F.max(F.when(F.col("part") == p, F.col("n"))).alias(p) for p in parts), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "n", "h"))), "\n"), 256).alias("generation"))
 
     def with_edges(self, edges: DataFrame) -> Corpus:
         return replace(self, edges=edges)
 
 
+def canonical(df: DataFrame, names: list[str] | None = None) -> Column:
+    """A row as JSON with its columns by name and without nulls: equal rows give equal texts."""
+    return F.to_json(F.struct(*sorted(names or df.columns)))
+
+
+#: Columns that make two edges the same one.
+SAME_EDGE = ("from_file", "line", "kind", "to_name", "to_symbol", "to_file", "from_symbol", "binding", "arguments", "constructs")
+
+
 def edge_order() -> list[Column]:
-    """The total order of edges."""
-    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)), F.lit(len(KINDS)))
-    return [F.col("from_file"), F.col("line"), F.col("from_symbol"), rank, F.col("to_name"), F.col("to_symbol").asc_nulls_first(), F.col("to_file").asc_nulls_first(), F.col("status"), F.col("method").asc_nulls_first(), F.col("reason").asc_nulls_first()]
+    """The total order of edges: what makes them the same one, then their evidence."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keys = [F.coalesce(F.col(c), F.lit(-1)) if c in ("line", "arguments") else text(c) for c in SAME_EDGE]
+    return [*keys, *(text(c) for c in ("status", "method", "reason", "external")), F.coalesce(F.to_json("candidates"), F.lit("")), text("overload")]
 
 
 def deduplicated_edges(edges: DataFrame) -> DataFrame:
-    """Edges without repeats of kind, ends, line and evidence."""
-    return edges.dropDuplicates(["kind", "from_file", "from_symbol", "to_name", "line", "to_symbol", "to_file", "status", "method", "reason"])
+    """Of the edges that are the same one the first in order."""
+    place = Window.partitionBy(*SAME_EDGE).orderBy(*edge_order()[len(SAME_EDGE) :])
+    return edges.withColumn("__n", F.row_number().over(place)).filter("__n = 1").drop("__n")
 
 
 def empty(spark: SparkSession) -> Corpus:

@@ -52,7 +52,7 @@ _IMPORTS = {
     "javascript": re.compile(r"""^\s*(?:import\s+(?:type\s+)?(?P<what>[\w$*{}\s,]+?)\s+from\s+|import\s*|export\s+(?P<out>\*(?:\s+as\s+\w+)?|\{[^}]*\})\s+from\s+|(?:const|let|var)\s+(?P<req>[\w${}\s,:]+?)\s*=\s*require\s*\(\s*)["'](?P<source>[^"']+)["']""", re.M),
     "go": re.compile(r"""^\s*(?:import\s+)?(?:(?P<what>[\w.]+)\s+)?"(?P<source>[\w./-]+)"\s*$""", re.M),
     "rust": re.compile(r"^\s*(?P<out>pub(?:\([^)]*\))?\s+)?use\s+(?P<source>[^;]+);", re.M),
-    "java": re.compile(r"^\s*import\s+(?:static\s+)?(?P<source>[\w.]+(?:\.\*)?)", re.M),
+    "java": re.compile(r"^\s*import\s+(?:static\s+)?(?P<source>\w+(?:\.\w+)*(?:\.\*)?)", re.M),
     "c_sharp": re.compile(r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?(?P<source>[\w.]+)\s*;", re.M),
     "c": re.compile(r"^\s*#\s*(?:include|import)\s*[\"<](?P<source>[^\">]+)[\">]", re.M),
     "ruby": re.compile(r"^\s*require(?:_relative)?\s+[\"'](?P<source>[^\"']+)[\"']", re.M),
@@ -127,6 +127,22 @@ def _arity(args: str | None) -> tuple[int | None, int | None]:
     return sum("=" not in p for p in parts), len(parts)
 
 
+def _types(args: str | None) -> str | None:
+    """The written types of a parameter list: each parameter without its name, annotations and default."""
+    if args is None:
+        return None
+    depth, parts, now = 0, [], ""
+    for c in args:
+        depth += (c in "<([") - (c in ">)]")
+        if c == "," and depth == 0:
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+    bare = (re.sub(r"@\w+(?:\([^)]*\))?|\b(?:final|this|params|ref|out|in)\b|=.*$", " ", p).split() for p in [*parts, now])
+    return ",".join(" ".join(p[:-1]) for p in bare if p)
+
+
 def extract(path: str, text: str, language: str) -> dict:
     """Symbols, raw edges, re-exports, routes and diagnostics of one file."""
     out: dict = {"symbols": [], "raw": [], "exports": [], "routes": [], "diagnostics": []}
@@ -146,7 +162,7 @@ def extract(path: str, text: str, language: str) -> dict:
                 continue
             g = m.groupdict()
             low, high = _arity(g.get("args"))
-            found.append({"name": m["name"], "kind": kind, "start_line": i + 1, "end_line": _end(lines, i, language) + 1, "start_col": len(line) - len(line.lstrip()), "end_col": 0, "signature": signature(source[i]), "owner": g.get("owner"), "trait": g.get("trait"), "min_args": low, "max_args": high, "static": bool(re.search(r"\bstatic\b|def\s+self\.", line)), "exported": bool(re.match(r"\s*(?:export|pub|public)\b", line)) or not js, "line": line})
+            found.append({"name": m["name"], "kind": kind, "start_line": i + 1, "end_line": _end(lines, i, language) + 1, "start_col": len(line) - len(line.lstrip()), "end_col": 0, "signature": signature(source[i]), "owner": g.get("owner"), "trait": g.get("trait"), "min_args": low, "max_args": high, "types": _types(g.get("args")), "overrides": bool(re.search(r"\boverride\b|@Override\b", " ".join(lines[max(0, i - 2) : i + 1][-(2 if i and lines[i - 1].strip().startswith("@") else 1) :]))), "static": bool(re.search(r"\bstatic\b|def\s+self\.", line)), "exported": bool(re.match(r"\s*(?:export|pub|public)\b", line)) or not js, "line": line})
             break
     # Nesting by containment; a function right inside a holder is a method.
     stack: list[dict] = []
@@ -273,7 +289,7 @@ def extract(path: str, text: str, language: str) -> dict:
                 name = re.sub(r"<.*", "", d["trait"]).strip()
                 edge("implements", name, d["start_line"], d["name"], **bind(name, d["start_line"]))
             continue
-        out["symbols"].append({k: d[k] for k in ("local_name", "name", "kind", "start_line", "end_line", "start_col", "end_col", "signature", "member_kind", "min_args", "max_args", "exported")} | {"heritage": [{"name": b} | {k: bind(b, d["start_line"]).get(k) for k in ("binding", "source", "imported")} for b, _ in d["bases"]], "scope": d["local_name"].rpartition(".")[0]})
+        out["symbols"].append({k: d[k] for k in ("local_name", "name", "kind", "start_line", "end_line", "start_col", "end_col", "signature", "member_kind", "min_args", "max_args", "types", "overrides", "exported")} | {"heritage": [{"name": b} | {k: bind(b, d["start_line"]).get(k) for k in ("binding", "source", "imported")} for b, _ in d["bases"]], "scope": d["local_name"].rpartition(".")[0]})
     frameworks = {own for own, (spec, _) in bound.items() if spec == "express"}
     apps = {m[1] for m in re.finditer(rf"({ID})\s*=\s*(?:{'|'.join(map(re.escape, frameworks)) or '(?!)'})(?:\.\w+)?\(", clean)}
     nest = any(spec == "@nestjs/common" for spec, _ in bound.values())

@@ -7,10 +7,13 @@ many files define costs no more than one that one does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.corpus import Corpus
+from quillgraph.operators.workspace import facts, import_targets
 
 #: Languages that see each other's definitions.
 FAMILIES = {"typescript": "javascript", "tsx": "javascript", "javascript": "javascript", "c": "c", "cpp": "c", "objc": "c", "java": "java", "kotlin": "java", "scala": "java"}
@@ -42,20 +45,29 @@ def by_name(corpus: Corpus, edges: DataFrame | None = None) -> DataFrame:
     is imported, else of the whole language family. One holder: resolved; several: ambiguous; none: unresolved."""
     e = corpus.edges if edges is None else edges
     lang = corpus.files.select(F.col("path").alias("f"), family("language").alias("fam"))
-    s = corpus.symbols.join(lang, F.col("file") == F.col("f")).select("name", "qualified_name", F.col("file").alias("sfile"), "fam", "kind")
-    here = e.join(lang, F.col("from_file") == F.col("f"), "left").drop("f").withColumn("key", F.element_at(F.split("to_name", r"\."), -1))
-    own = _holders(s.withColumn("from_file", F.col("sfile")).withColumnRenamed("name", "key"), ["from_file", "key"]).withColumnsRenamed({"n": "n1", "names": "l1"})
+    s = corpus.symbols.join(lang, F.col("file") == F.col("f"))
+    if "scope" in s.columns:
+        # A plain name of Rust never means a member of a type.
+        holds = corpus.symbols.filter("kind in ('class', 'interface', 'struct', 'trait', 'enum', 'impl')").select("file", F.col("local_name").alias("scope")).distinct().withColumn("inside", F.lit(True))
+        s = s.join(holds, ["file", "scope"], "left").withColumn("bare", ~F.coalesce(F.col("inside") & (F.col("fam") == "rust"), F.lit(False)))
+    else:
+        s = s.withColumn("bare", F.lit(True))
+    rust = F.col("fam") == "rust"
+    both = F.when(rust & F.col("bare"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.coalesce(rust, F.lit(False))))
+    s = s.select("name", "qualified_name", F.col("file").alias("sfile"), "fam", "kind", F.explode(both).alias("dotted"))
+    here = e.join(lang, F.col("from_file") == F.col("f"), "left").drop("f").withColumn("key", F.element_at(F.split("to_name", r"\."), -1)).withColumn("dotted", F.coalesce((F.col("fam") == "rust") & F.contains("to_name", F.lit(".")), F.lit(False)))
+    own = _holders(s.withColumn("from_file", F.col("sfile")).withColumnRenamed("name", "key"), ["from_file", "key", "dotted"]).withColumnsRenamed({"n": "n1", "names": "l1"})
     imported = corpus.edges.filter("kind = 'imports' and to_file is not null").select("from_file", F.col("to_file").alias("sfile")).distinct()
-    wanted = here.select("from_file", "key").distinct().join(imported, "from_file").join(s.withColumnRenamed("name", "key").select("key", "sfile", "qualified_name"), ["sfile", "key"])
-    near = _holders(wanted, ["from_file", "key"]).withColumnsRenamed({"n": "n2", "names": "l2"})
-    far = _holders(s.withColumnRenamed("name", "key"), ["fam", "key"]).withColumnsRenamed({"n": "n3", "names": "l3"})
-    met = here.join(own, ["from_file", "key"], "left").join(near, ["from_file", "key"], "left").join(far, ["fam", "key"], "left")
+    wanted = here.select("from_file", "key", "dotted").distinct().join(imported, "from_file").join(s.withColumnRenamed("name", "key").select("key", "dotted", "sfile", "qualified_name"), ["sfile", "key", "dotted"])
+    near = _holders(wanted, ["from_file", "key", "dotted"]).withColumnsRenamed({"n": "n2", "names": "l2"})
+    far = _holders(s.withColumnRenamed("name", "key"), ["fam", "key", "dotted"]).withColumnsRenamed({"n": "n3", "names": "l3"})
+    met = here.join(own, ["from_file", "key", "dotted"], "left").join(near, ["from_file", "key", "dotted"], "left").join(far, ["fam", "key", "dotted"], "left")
     n, names = F.coalesce("n1", "n2", "n3"), F.coalesce("l1", "l2", "l3")
     method = F.when(F.col("n1").isNotNull(), "same-file-name").when(F.col("n2").isNotNull(), "imported-file-name").when(F.col("n3").isNotNull(), "unique-name")
     none = F.when(F.col("fam").isin(*TYPED), "unbound-global").otherwise("no-matching-symbol")
     one = n == 1
     listed = F.transform(names, lambda x: x["qualified_name"])
-    return met.select("kind", "from_file", "from_symbol", "to_name", "line", F.when(one, names[0]["qualified_name"]).alias("to_symbol"), F.when(one, names[0]["sfile"]).alias("to_file"), F.when(one, "resolved").when(n > 1, "ambiguous").otherwise("unresolved").alias("status"), F.when(one, method).alias("method"), F.when(n.isNull(), none).alias("reason"), F.lit(None).cast("string").alias("external"), F.when(n > 1, listed).alias("candidates"))
+    return met.select("kind", "from_file", "from_symbol", "to_name", "line", F.when(one, names[0]["qualified_name"]).alias("to_symbol"), F.when(one, names[0]["sfile"]).alias("to_file"), F.when(one, "resolved").when(n > 1, "ambiguous").otherwise("unresolved").alias("status"), F.when(one, method).alias("method"), F.when(n.isNull(), none).alias("reason"), F.lit(None).cast("string").alias("external"), F.when(n > 1, listed).alias("candidates"), "binding", "arguments", "constructs")
 
 
 def kept_kinds(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -76,97 +88,6 @@ def kept_kinds(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 HERITAGE = 8
 
 
-def _joined(base: str, path: str) -> str | None:
-    """A path relative to a folder, with dots taken out; none above the top."""
-    out = [x for x in base.split("/") if x]
-    for part in path.split("/"):
-        if part == "..":
-            if not out:
-                return None
-            out.pop()
-        elif part not in ("", "."):
-            out.append(part)
-    return "/".join(out)
-
-
-def import_candidates(file: str, family_name: str, source: str, modules: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
-    """(rank, how, path) of the files that an import may mean. how: ``path`` is one, ``suffix`` ends one, ``folder`` holds it.
-
-    ``modules``: (folder, name) of Go modules. Of one rank several hits are one too many."""
-    here = file.rpartition("/")[0]
-    out: list[tuple[int, str, str]] = []
-    if family_name == "javascript":
-        base = _joined(here, source) if source.startswith(".") else None
-        if base is not None:
-            stem = base[:-3] if base.endswith(".js") else base[:-4] if base.endswith((".mjs", ".cjs", ".jsx")) else base
-            ends = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
-            tried = [base, *(base + e for e in ends), *(stem + e for e in ends if stem != base), *(f"{base}/index{e}" for e in ends)]
-            out = [(k, "path", p) for k, p in enumerate(dict.fromkeys(tried))]
-    elif family_name == "python":
-        dots = len(source) - len(source.lstrip("."))
-        rest = source[dots:].replace(".", "/")
-        if dots:
-            folder = here.split("/") if here else []
-            if dots - 1 <= len(folder):
-                base = "/".join([*folder[: len(folder) - dots + 1], *([rest] if rest else [])])
-                out = [(0, "path", f"{base}/__init__.py" if base else "__init__.py"), *([(1, "path", base + ".py")] if rest else [])]
-        elif rest:
-            # The top of the repository is a root always; the folder ``src`` is where projects keep theirs.
-            for root in ("", "src/"):
-                out += [(0, "path", f"{root}{rest}/__init__.py"), (1 if not root else 0, "path", f"{root}{rest}.py")]
-    elif family_name == "go":
-        fits = [(folder, name) for folder, name in modules if source == name or source.startswith(name + "/")]
-        if fits:
-            folder, name = max(fits, key=lambda f: len(f[1]))
-            out = [(0, "folder", "/".join(x for x in (folder, source[len(name) :].strip("/")) if x))]
-    elif family_name == "java":
-        if not source.endswith("*"):
-            out = [(0, "suffix", source.replace(".", "/") + ".java")]
-    elif family_name == "rust":
-        parts = source.split("::")
-        top = file.split("/src/")[0] + "/src" if "/src/" in file else "src"
-        stem = file.rsplit("/", 1)[-1].removesuffix(".rs")
-        own = here if stem in ("mod", "lib", "main") else f"{here}/{stem}"
-        base = {"crate": top, "self": own, "super": own.rpartition("/")[0]}.get(parts[0])
-        if base is not None:
-            names = parts[1:]
-            for k in range(len(names), -1, -1):
-                p = "/".join([base, *names[:k]])
-                tried = [p + ".rs", p + "/mod.rs"] if k else [base + "/lib.rs", base + "/main.rs", base + "/mod.rs"]
-                out += [(3 * (len(names) - k) + i, "path", t) for i, t in enumerate(tried)]
-    elif family_name == "c":
-        if (base := _joined(here, source)) is not None:
-            out = [(0, "path", base), (1, "path", source), (2, "suffix", source)]
-    return out
-
-
-def import_targets(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(file, source, to_file, several) for distinct imports (file, language, source); without a target both are null or false."""
-    import pyarrow as pa
-
-    spark = files.sparkSession
-    manifests = files.filter("path = 'go.mod' or endswith(path, '/go.mod')").select(F.regexp_replace("path", "/?go\\.mod$", "").alias("folder"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("name")).filter("name <> ''")
-    modules = [tuple(r) for r in manifests.orderBy("folder").limit(10_000).collect()]
-    schema = "file string, source string, rank int, how string, cand string"
-
-    def run(batches):
-        for batch in batches:
-            rows = [(f, s, *c) for f, m, s in zip(*(batch.column(c).to_pylist() for c in ("file", "fam", "source")), strict=True) for c in import_candidates(f, m or "", s, modules)]
-            yield pa.RecordBatch.from_pydict(dict(zip(("file", "source", "rank", "how", "cand"), map(list, zip(*rows, strict=True)) if rows else [[]] * 5, strict=True)), schema=pa.schema([("file", pa.string()), ("source", pa.string()), ("rank", pa.int32()), ("how", pa.string()), ("cand", pa.string())]))
-
-    asked = wanted.select("file", family("language").alias("fam"), "source").filter("source is not null and source <> ''").distinct()
-    tried = asked.mapInArrow(run, schema)
-    paths = files.select("path", F.substring_index("path", "/", -1).alias("base"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
-    exact = tried.filter("how = 'path'").join(paths.select("path"), F.col("cand") == F.col("path"))
-    ends = tried.filter("how = 'suffix'").withColumn("base", F.substring_index("cand", "/", -1)).join(paths.select("path", "base"), "base").filter((F.col("path") == F.col("cand")) | F.endswith("path", F.concat(F.lit("/"), "cand")))
-    go = paths.filter("endswith(path, '.go')").groupBy("folder").agg(F.min(F.struct(F.endswith("path", F.lit("_test.go")).alias("t"), "path")).alias("m")).select(F.col("folder").alias("cand"), F.col("m.path").alias("path"))
-    held = tried.filter("how = 'folder'").join(go, "cand")
-    hits = exact.select("file", "source", "rank", "path").unionAll(ends.select("file", "source", "rank", "path")).unionAll(held.select("file", "source", "rank", "path")).distinct()
-    best = hits.groupBy("file", "source", "rank").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).groupBy("file", "source").agg(F.min_by(F.struct("path", "n"), "rank").alias("b"))
-    # Python takes a module that two roots hold for neither.
-    return asked.select("file", "source").join(best, ["file", "source"], "left").select("file", "source", F.when(F.col("b.n") == 1, F.col("b.path")).alias("to_file"), F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("several"))
-
-
 def exported(symbols: DataFrame, exports: DataFrame, hops: int = HOPS) -> DataFrame:
     """(file, name, n, qualified_name, to_file, hops): what a name means that a file exports, through re-exports.
 
@@ -190,90 +111,168 @@ def exported(symbols: DataFrame, exports: DataFrame, hops: int = HOPS) -> DataFr
     return seen.groupBy("file", "name").agg(F.count_distinct("qualified_name").alias("n"), F.min("qualified_name").alias("qualified_name"), F.min("to_file").alias("to_file"), F.max("hops").alias("hops"), F.slice(F.array_sort(F.collect_set("qualified_name")), 1, LISTED).alias("names"))
 
 
-def _classes(bindings: DataFrame, targets: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds ``holder``: the qualified name that (file, kind of binding, source, imported) means, null if it isn't sure."""
+def _classes(bindings: DataFrame, targets: DataFrame, exports: DataFrame, symbols: DataFrame, language: DataFrame) -> DataFrame:
+    """Adds ``holder``: the qualified name that (file, kind of binding, source, imported) means, null if it isn't sure; and
+    ``outside``: no file of the family has a symbol of that name. In families that need no import of a type its only holder counts."""
     local = symbols.filter("not shadowed").select("file", F.col("local_name").alias("imported"), F.col("qualified_name").alias("q1")).distinct()
     far = targets.filter("to_file is not null").select("file", "source", F.col("to_file").alias("tf"))
     named = exports.filter("n = 1").select(F.col("file").alias("tf"), F.col("name").alias("imported"), F.col("qualified_name").alias("q2"))
     b = bindings.join(local, ["file", "imported"], "left").join(far, ["file", "source"], "left").join(named, ["tf", "imported"], "left")
-    return b.withColumn("holder", F.when(F.col("how") == "local", F.col("q1")).when(F.col("how") == "import", F.col("q2"))).drop("q1", "q2", "tf")
+    b = b.join(language.select("file", family("language").alias("fam")), "file", "left").withColumn("word", F.substring_index("imported", ".", -1)).join(_unique_holders(symbols, language), ["fam", "word"], "left")
+    mine = symbols.select("file", F.col("local_name").alias("imported")).distinct().withColumn("own", F.lit(True))
+    b = b.join(mine, ["file", "imported"], "left")
+    holder = F.when(F.col("how") == "import", F.col("q2")).when(F.col("own"), F.col("q1")).when(F.col("how") == "local", F.col("q3"))
+    return b.withColumn("holder", holder).withColumn("outside", (F.col("how") == "local") & F.col("known").isNull()).drop("q1", "q2", "q3", "tf", "fam", "word", "known", "own")
+
+
+def callables(symbols: DataFrame) -> DataFrame:
+    """(at, member, qualified_name) of what a holder can be asked for."""
+    return symbols.filter("scope <> '' and kind in ('method', 'function', 'constant')").select(F.concat("file", F.lit("#"), "scope").alias("at"), F.col("name").alias("member"), "qualified_name").distinct()
 
 
-def members(asked: DataFrame, symbols: DataFrame, heritage: DataFrame, most: int = HERITAGE) -> DataFrame:
+def members(asked: DataFrame, own: DataFrame, heritage: DataFrame, most: int = HERITAGE) -> DataFrame:
     """(holder, member, n, qualified_name) for asked (holder, member): own members first, then those of the supertypes, level by level.
 
-    heritage: (holder, base), base null where a supertype is unknown; that, or two bases that differ, leaves a member unresolved."""
+    own: (at, member, qualified_name). heritage: (holder, base), base null where a supertype is unknown; that leaves a member
+    open (n is 0), and two bases that differ leave it ambiguous."""
     from quillgraph.plans.shared import cut
 
-    own = symbols.filter("scope <> ''").select(F.concat("file", F.lit("#"), "scope").alias("at"), F.col("name").alias("member"), "qualified_name", "kind").filter("kind in ('method', 'function', 'constant')").distinct()
+    own = own.distinct()
     open_ = cut(asked.select("holder", "member", F.col("holder").alias("at")).distinct())
     done = None
     for _ in range(most + 1):
         met = open_.join(own, ["at", "member"], "left")
         hits = cut(met.filter("qualified_name is not null").select("holder", "member", "qualified_name"))
-        done = hits if done is None else done.unionAll(hits)
         up = open_.join(hits.select("holder", "member"), ["holder", "member"], "left_anti").join(heritage.withColumnRenamed("holder", "at"), "at").select("holder", "member", F.col("base").alias("at"))
         lost = up.filter("at is null").select("holder", "member").distinct()
+        hits = hits.unionAll(lost.select("holder", "member", F.lit(None).cast("string")))
+        done = hits if done is None else done.unionAll(hits)
         open_ = cut(up.join(lost, ["holder", "member"], "left_anti").distinct())
         if open_.isEmpty():
             break
-    return done.groupBy("holder", "member").agg(F.count_distinct("qualified_name").alias("n"), F.min("qualified_name").alias("qualified_name"))
+    found = F.when(F.count_if(F.col("qualified_name").isNull()) > 0, 0).otherwise(F.count_distinct("qualified_name"))
+    return done.groupBy("holder", "member").agg(found.alias("n"), F.min("qualified_name").alias("qualified_name"))
+
+
+_AMBIENT = re.compile(r"\b(?P<open>declare\s+global|declare\s+module\s+\"[^\"]*\")\s*\{|\b(?P<module>import\b(?!\s*\()|export\b)|\b(?P<declare>declare\s+)?(?P<kind>function|const|let|var|class|enum|interface|type|namespace|module)\s+(?P<name>[A-Za-z_$][\w$]*)|[{}]")
+_QUOTED = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<!module )\"(?:[^\"\\\n]|\\.)*\"")
+
+
+def ambient_names(text: str) -> set[str]:
+    """Global names that a declaration file declares: at its top with ``declare`` (if it is no module), and in ``declare global``."""
+    stack: list[str] = []
+    top: set[str] = set()
+    everywhere: set[str] = set()
+    is_module = False
+    for m in _AMBIENT.finditer(_QUOTED.sub(" ", text)):
+        if m[0] == "}":
+            del stack[-1:]
+        elif m["open"]:
+            stack.append("global" if m["open"].endswith("global") and not stack else "module")
+        elif m[0] == "{":
+            stack.append("block")
+        elif m["module"]:
+            is_module |= not stack
+        elif not stack and m["declare"]:
+            top.add(m["name"])
+        elif stack == ["global"] and m["kind"] not in ("namespace", "module"):
+            everywhere.add(m["name"])
+    return everywhere if is_module else everywhere | top
+
+
+def ambient(files: DataFrame) -> DataFrame:
+    """(to_name) of the global names that declaration files (``.d.ts``) declare."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n for t in batch.column("text").to_pylist() for n in ambient_names(t or "")], pa.string())], names=["to_name"])
+
+    return files.filter("endswith(path, '.d.ts')").select("text").mapInArrow(run, "to_name string").distinct()
+
+
+def _unique_holders(symbols: DataFrame, language: DataFrame) -> DataFrame:
+    """(fam, word, q3, known): the one holder of a name in a family without imports of types, and whether any symbol has the name."""
+    s = symbols.join(language.select("file", family("language").alias("fam")), "file")
+    holds = F.col("kind").isin("class", "interface", "struct", "trait", "enum", "module")
+    one = F.when((F.count_distinct(F.when(holds, F.col("qualified_name"))) == 1) & F.col("fam").isin(*TYPED), F.min(F.when(holds, F.col("qualified_name"))))
+    return s.groupBy("fam", F.col("name").alias("word")).agg(one.alias("q3"), F.lit(True).alias("known"))
 
 
 def resolved(p) -> DataFrame:
     """The edges of a parsed body of code (see ``sources.code.Parsed``), each with its evidence."""
+    from quillgraph.corpus import EDGES, deduplicated_edges
+    from quillgraph.operators import java_types, overloads
     from quillgraph.plans.shared import cut
 
     none = F.lit(None).cast("string")
+    language = p.files.select(F.col("path").alias("file"), "language")
     raw = cut(p.raw.dropDuplicates())
     sources = raw.filter("source is not null").select("file", "language", "source").unionAll(p.exports.select("file", "language", "source"))
-    bases = p.symbols.filter("size(heritage) > 0").select("file", F.concat("file", F.lit("#"), "local_name").alias("holder"), F.explode("heritage").alias("h")).select("file", "holder", F.col("h.binding").alias("how"), F.col("h.source").alias("source"), F.col("h.imported").alias("imported"))
-    language = p.files.select(F.col("path").alias("file"), "language")
+    bases = p.symbols.filter("size(heritage) > 0").select("file", F.concat("file", F.lit("#"), "local_name").alias("holder"), F.explode("heritage").alias("h")).select("file", "holder", F.col("h.name").alias("written"), F.col("h.binding").alias("how"), F.col("h.source").alias("source"), F.col("h.imported").alias("imported"))
+    # A base that is written without a binding may be the only type of its name.
+    bases = bases.withColumn("imported", F.when(F.col("how").isNull(), F.col("written")).otherwise(F.col("imported"))).withColumn("how", F.coalesce("how", F.lit("local")))
     sources = sources.unionAll(bases.filter("source is not null").join(language, "file").select("file", "language", "source"))
-    targets = cut(import_targets(p.files, sources.distinct()))
+    targets = cut(import_targets(p.files, sources.distinct(), facts(p.files)))
     names = cut(exported(p.symbols, p.exports.join(targets, ["file", "source"], "left")))
-    heritage = cut(_classes(bases.withColumnRenamed("holder", "child"), targets, names, p.symbols).select(F.col("child").alias("holder"), F.col("holder").alias("base")))
+    heritage = cut(_classes(bases.withColumnRenamed("holder", "child"), targets, names, p.symbols, language).select(F.col("child").alias("holder"), F.col("holder").alias("base")).distinct())
 
     e = raw.join(targets, ["file", "source"], "left")
     keep = [F.col(c) for c in ("kind", "file", "from_symbol", "to_name", "line")]
+    bound = F.when(F.col("binding").isNotNull(), F.to_json(F.struct("basis", F.col("binding").alias("binding"), "imported", "member", "mode", "owner", "source")))
 
-    def shaped(df: DataFrame, symbol, to_file, status, method, reason, external=none, candidates=None) -> DataFrame:
+    def shaped(df: DataFrame, symbol, to_file, status, method, reason, external=none, candidates=None, holder=none) -> DataFrame:
         listed = F.lit(None).cast("array<string>") if candidates is None else candidates
-        return df.select(keep[0], F.col("file").alias("from_file"), *keep[2:], symbol.alias("to_symbol"), to_file.alias("to_file"), status.alias("status"), method.alias("method"), reason.alias("reason"), external.alias("external"), listed.alias("candidates"))
+        return df.select(keep[0], F.col("file").alias("from_file"), *keep[2:], symbol.alias("to_symbol"), to_file.alias("to_file"), status.alias("status"), method.alias("method"), reason.alias("reason"), external.alias("external"), listed.alias("candidates"), bound.alias("binding"), "arguments", "constructs", holder.alias("holder"))
 
-    package = F.when(~F.startswith("source", F.lit(".")), F.when(F.startswith("source", F.lit("@")), F.regexp_extract("source", r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract("source", r"^([^/:]+)", 1)))
     hit = F.col("to_file").isNotNull()
-    imports = shaped(e.filter("kind = 'imports'"), none, F.col("to_file"), F.when(hit, "resolved").otherwise("unresolved"), F.when(hit, "import-path"), F.when(~hit, F.when(F.col("several"), "import-target-ambiguous").otherwise("import-target-unresolved")), F.when(~hit, package))
-    rest = e.filter("kind <> 'imports'")
+    why_not = F.when(F.col("several"), "import-target-ambiguous").otherwise("import-target-unresolved")
+    label = F.when(why_not == "import-target-unresolved", F.col("external"))
+    imports = shaped(e.filter("kind = 'imports'"), none, F.col("to_file"), F.when(hit, "resolved").otherwise("unresolved"), F.when(hit, "import-path"), F.when(~hit, why_not), F.when(~hit, label))
+    rest = e.filter("kind <> 'imports' and not (language = 'java' and constructs is not null)")
 
     found = names.select(F.col("file").alias("to_file"), F.col("name").alias("imported"), "n", F.col("qualified_name").alias("q"), F.col("to_file").alias("tf"), "hops", "names")
     b = rest.filter("binding = 'import'").join(found, ["to_file", "imported"], "left")
     one = F.coalesce(F.col("n") == 1, F.lit(False))
     status = F.when(one, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     lost = F.when(status != "unresolved", none).when(F.col("several"), "import-target-ambiguous").when(F.col("to_file").isNull(), "import-target-unresolved").otherwise("bound-symbol-missing")
-    by_import = shaped(b, F.when(one, F.col("q")), F.when(one, F.col("tf")), status, F.when(one, F.when(F.col("hops") > 0, "re-export-binding").otherwise("import-binding")), lost, F.when(lost == "import-target-unresolved", package), F.when(F.col("n") > 1, F.col("names")))
+    by_import = shaped(b, F.when(one, F.col("q")), F.when(one, F.col("tf")), status, F.when(one, F.when(F.col("hops") > 0, "re-export-binding").otherwise("import-binding")), lost, F.when(lost == "import-target-unresolved", F.col("external")), F.when(F.col("n") > 1, F.col("names")))
 
     own = p.symbols.groupBy("file", F.col("local_name").alias("imported")).agg(F.min("qualified_name").alias("q"), F.max("shadowed").alias("shadowed"))
     l = rest.filter("binding = 'local'").join(own, ["file", "imported"], "left")  # noqa: E741
     sure = F.col("q").isNotNull() & ~F.coalesce("shadowed", F.lit(False))
     by_file = shaped(l, F.when(sure, F.col("q")), F.when(sure, F.col("file")), F.when(sure, "resolved").otherwise("unresolved"), F.when(sure, "lexical-definition"), F.when(~sure, F.when(F.col("shadowed"), "shadowed-declaration").otherwise("bound-symbol-missing")))
 
-    m = rest.filter("binding = 'member'").withColumn("how", F.when(F.col("owner") == "super", "local").otherwise(F.col("owner"))).drop("to_file", "several")
-    m = cut(_classes(m, targets, names, p.symbols))
-    above = m.filter("owner = 'super'").join(heritage, "holder").select("holder", "member", F.col("base").alias("at")).filter("at is not null").distinct()
-    asked = m.filter("owner <> 'super' and holder is not null").select("holder", "member").unionAll(above.select(F.col("at").alias("holder"), "member")).distinct()
-    got = cut(members(asked, p.symbols, heritage))
-    up = above.join(got.select(F.col("holder").alias("at"), "member", "n", "qualified_name"), ["at", "member"]).groupBy("holder", "member").agg(F.sum("n").alias("n"), F.min("qualified_name").alias("qualified_name")).withColumn("up", F.lit(True))
+    # What a source gives as a whole is a namespace: its members are what the file exports.
+    m = rest.filter("binding = 'member'").withColumn("how", F.when(F.col("owner") == "super", "local").otherwise(F.col("owner"))).withColumn("open_file", F.col("to_file").isNull()).drop("to_file")
+    m = cut(_classes(m, targets.drop("several", "external"), names, p.symbols, language))
+    parents = m.filter("owner = 'super'").join(heritage, "holder").select("holder", "member", F.col("base").alias("at")).filter("at is not null").distinct()
+    asked = m.filter("owner <> 'super' and holder is not null").select("holder", "member").unionAll(parents.select(F.col("at").alias("holder"), "member")).distinct()
+    got = cut(members(asked, callables(p.symbols), heritage))
+    up = parents.join(got.select(F.col("holder").alias("at"), "member", "n", "qualified_name"), ["at", "member"]).groupBy("holder", "member").agg(F.sum("n").alias("n"), F.min("qualified_name").alias("qualified_name")).withColumn("up", F.lit(True))
     answers = got.select("holder", "member", "n", "qualified_name", F.lit(False).alias("up")).unionByName(up)
     mm = m.withColumn("up", F.col("owner") == "super").join(answers, ["holder", "member", "up"], "left")
-    by_member = shaped(mm, F.when(one, F.col("qualified_name")), F.when(one, F.substring_index("qualified_name", "#", 1)), F.when(one, "resolved").otherwise("unresolved"), F.when(one, "receiver-hint"), F.when(~one, "receiver-unresolved"))
+    no_file = (F.col("how") == "import") & F.col("open_file")
+    no_way = F.when(no_file, F.when(F.col("several"), "import-target-ambiguous").otherwise("import-target-unresolved")).when(F.col("outside") & F.col("holder").isNull(), "unbound-global").otherwise("receiver-unresolved")
+    by_member = shaped(mm, F.when(one, F.col("qualified_name")), F.when(one, F.substring_index("qualified_name", "#", 1)), F.when(one, "resolved").otherwise("unresolved"), F.when(one, "receiver-hint"), F.when(~one, no_way), F.when(~one & no_file & ~F.coalesce("several", F.lit(False)), F.col("external")), None, F.when(one & (F.col("owner") != "super"), F.col("holder")))
+
+    known = ambient(p.files).withColumn("ambient", F.lit(True))
+    blocked = rest.filter("binding = 'blocked'").join(known, "to_name", "left")
+    ours = F.coalesce(F.col("ambient") & (family("language") == "javascript"), F.lit(False))
+    why = F.when(F.col("reason") == "inline-handler", "route-handler-inline").when(F.col("reason") == "wrapped-handler", "route-handler-wrapped").when(F.col("reason") == "unknown-receiver", "receiver-unresolved").when((F.col("reason") == "unbound") & ~ours, "unbound-global").otherwise("binding-blocked")
+    blocked = shaped(blocked, none, none, F.lit("unresolved"), none, why)
+
+    made = e.filter("kind <> 'imports' and language = 'java' and constructs is not null")
+    types = java_types.created(made, p.files, p.symbols, heritage)
+    runs = java_types.constructors(p.symbols)
+    made = made.drop("to_file").join(types, ["file", "enclosing", "to_name"], "left").join(runs, "type", "left")
+    is_one, many = F.col("type").isNotNull(), F.size(F.coalesce("listed", F.array().cast("array<string>"))) > 1
+    created = shaped(made, F.coalesce("constructor", "type"), F.when(is_one, F.col("type_file")), F.when(is_one, "resolved").when(many, "ambiguous").otherwise("unresolved"), F.when(is_one, F.col("type_method")), F.when(~is_one & ~many, F.coalesce("type_reason", F.lit("no-matching-symbol"))), none, F.when(many, F.col("listed")))
 
-    why = F.when(F.col("reason") == "inline-handler", "route-handler-inline").when(F.col("reason") == "wrapped-handler", "route-handler-wrapped").when(F.col("reason") == "unbound", "unbound-global").otherwise("binding-blocked")
-    blocked = shaped(rest.filter("binding = 'blocked'"), none, none, F.lit("unresolved"), none, why)
     free = shaped(rest.filter("binding is null"), none, none, F.lit("unresolved"), none, F.lit("no-matching-symbol"))
-    sure_edges = cut(imports.unionAll(by_import).unionAll(by_file).unionAll(by_member).unionAll(blocked))
-    plain = p.symbols.select("qualified_name", "file", "name", "kind")
-    by_names = by_name(Corpus(p.files, plain, sure_edges), free)
-    from quillgraph.corpus import deduplicated_edges
-
-    return cut(deduplicated_edges(kept_kinds(sure_edges.unionByName(by_names), p.symbols)))
+    sure_edges = cut(imports.unionAll(by_import).unionAll(by_file).unionAll(by_member).unionAll(blocked).unionAll(created))
+    plain = p.symbols.select("qualified_name", "file", "name", "kind", "local_name", "scope")
+    by_names = by_name(Corpus(p.files, plain, sure_edges), free).withColumn("holder", none)
+    fitting = cut(kept_kinds(sure_edges.unionByName(by_names), p.symbols))
+    chosen = overloads.chosen(fitting, p.symbols, heritage, p.files)
+    return cut(deduplicated_edges(chosen.select(*[c.split()[0] for c in EDGES.split(", ")])))

@@ -40,7 +40,7 @@ def _symbol(qualified: Column, file: Column, name: Column, kind: str | Column, s
 def _edge(kind: str, from_file: Column, from_symbol: Column, to_name: Column, line: Column, to_symbol: Column | None, to_file: Column | None, method: str = "import-binding") -> list[Column]:
     none = F.lit(None).cast("string")
     to_symbol = none if to_symbol is None else to_symbol
-    return [F.lit(kind).alias("kind"), from_file.alias("from_file"), from_symbol.alias("from_symbol"), to_name.alias("to_name"), line.cast("int").alias("line"), to_symbol.alias("to_symbol"), (none if to_file is None else to_file).alias("to_file"), F.when(to_symbol.isNotNull(), "resolved").otherwise("unresolved").alias("status"), F.when(to_symbol.isNotNull(), method).alias("method"), F.when(to_symbol.isNull(), "no-matching-symbol").alias("reason"), none.alias("external"), F.lit(None).cast("array<string>").alias("candidates")]
+    return [F.lit(kind).alias("kind"), from_file.alias("from_file"), from_symbol.alias("from_symbol"), to_name.alias("to_name"), line.cast("int").alias("line"), to_symbol.alias("to_symbol"), (none if to_file is None else to_file).alias("to_file"), F.when(to_symbol.isNotNull(), "resolved").otherwise("unresolved").alias("status"), F.when(to_symbol.isNotNull(), method).alias("method"), F.when(to_symbol.isNull(), "no-matching-symbol").alias("reason"), none.alias("external"), F.lit(None).cast("array<string>").alias("candidates"), none.alias("binding"), F.lit(None).cast("int").alias("arguments"), none.alias("constructs"), none.alias("overload")]
 
 
 def star(spark: SparkSession, folder: str, orders: DataFrame | None = None, lineitem: DataFrame | None = None) -> Corpus:

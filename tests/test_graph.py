@@ -23,7 +23,7 @@ EDGES = [
 def c(spark):
     files = spark.createDataFrame(FILES, cp.FILES)
     symbols = spark.createDataFrame([(*s, 0, 0, "", 0, False, False) for s in SYMBOLS], cp.SYMBOLS)
-    edges = spark.createDataFrame([(*e, None, ["a.py#f", "x"] if e[7] == "ambiguous" else None) for e in EDGES], cp.EDGES)
+    edges = spark.createDataFrame([(*e, None, ["a.py#f", "x"] if e[7] == "ambiguous" else None, None, None, None, None) for e in EDGES], cp.EDGES)
     return cp.Corpus(files, symbols, edges, spark.createDataFrame([], cp.ROUTES))
 
 
@@ -62,7 +62,7 @@ def test_coverage(c):
 
 
 def test_dependents_cycle(c, spark):
-    ring = spark.createDataFrame([("calls", "a", x, y, 1, y, "a", "resolved", "import-binding", None, None, None) for x, y in (("p", "q"), ("q", "r"), ("r", "p"))], cp.EDGES)
+    ring = spark.createDataFrame([("calls", "a", x, y, 1, y, "a", "resolved", "import-binding", *[None] * 7) for x, y in (("p", "q"), ("q", "r"), ("r", "p"))], cp.EDGES)
     got = changes.dependents(c.with_edges(ring), spark.createDataFrame([("p",)], "node string"), None)
     assert rows(got, "node", "depth") == [("q", 2), ("r", 1)]
 
