@@ -7,6 +7,7 @@ as a new definition may change what any file's names mean; so a refresh equals a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -47,40 +48,82 @@ def applied(before: Snapshot, files: DataFrame) -> Snapshot:
     return Snapshot(files, cut(kept.unionByName(code.extracted(files.join(same, "path", "left_anti")))))
 
 
-def saved(corpus: Corpus, folder: str) -> None:
-    """Writes the tables below ``folder``, the mark that makes them valid last."""
-    for name in ("files", "symbols", "edges"):
-        getattr(corpus, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    corpus.generation().write.mode("overwrite").parquet(f"{folder}/generation")
+TABLES = ("files", "symbols", "edges", "routes")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def saved(corpus: Corpus, folder: str, keep: int = 2) -> str:
+    """Publishes the tables below ``folder`` and returns the folder of this version.
+
+    Tables go to a folder of their own, their counts and digest with them; then a pointer of one small file is written
+    beside the others. The greatest pointer counts, so readers see the old version or the new one, whatever fails in
+    between. Of published versions the last ``keep`` stay."""
+    spark = corpus.spark
+    pointers = f"{folder}/pointers"
+    old = sorted(r["version"] for r in spark.read.schema("version string").json(pointers).distinct().collect()) if _there(spark, pointers) else []
+    number = int(old[-1].split("-")[0]) + 1 if old else 1
+    version = f"{number:012d}-{uuid.uuid4().hex}"
+    place = f"{folder}/versions/{version}"
+    for name in TABLES:
+        df = getattr(corpus, name)
+        if df is not None:
+            df.write.parquet(f"{place}/{name}")
+    # The digest is of what was written, not of the plan that it came from.
+    written(spark, place).generation().write.parquet(f"{place}/generation")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(pointers)
+    for gone in old[: len(old) + 1 - keep]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions/{gone}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return place
+
+
+def written(spark: SparkSession, place: str) -> Corpus:
+    """The tables of one version."""
+    return Corpus(*(spark.read.parquet(f"{place}/{name}") for name in TABLES[:3]), spark.read.parquet(f"{place}/routes") if _there(spark, f"{place}/routes") else None)
 
 
 def loaded(spark: SparkSession, folder: str) -> Corpus:
-    """Reads what ``saved`` wrote; fails if its mark doesn't fit."""
-    c = Corpus(*(spark.read.parquet(f"{folder}/{name}") for name in ("files", "symbols", "edges")))
-    if c.generation().first() != spark.read.parquet(f"{folder}/generation").first():
-        raise ValueError(f"{folder} isn't a whole snapshot")
+    """The version that was published last; fails if its tables don't have the digest they were published with."""
+    if not _there(spark, f"{folder}/pointers"):
+        raise FileNotFoundError(f"{folder} holds no snapshot")
+    version = spark.read.schema("version string").json(f"{folder}/pointers").agg(F.max("version")).first()[0]
+    place = f"{folder}/versions/{version}"
+    c = written(spark, place)
+    if c.generation().first() != spark.read.parquet(f"{place}/generation").first():
+        raise ValueError(f"{place} isn't what was published")
     return c
 
 
+def latest(batch: DataFrame) -> DataFrame:
+    """(path, content, deleted): of each path the row with the greatest ``sequence``; of equal ones a deletion, then the greatest content."""
+    gone = F.coalesce("deleted", F.lit(False))
+    one = batch.filter("path is not null").groupBy("path").agg(F.max_by(F.struct("content", gone.alias("deleted")), F.struct("sequence", gone, F.coalesce("content", F.lit(b"")))).alias("x"))
+    return one.select("path", "x.content", "x.deleted")
+
+
 def followed(contents: DataFrame, publish: Callable[[Corpus, int], None], state: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Follows a stream of contents (path, content, deleted): after each batch ``publish`` gets the corpus.
+    """Follows a stream of contents (path, content, deleted, sequence): after each batch ``publish`` gets the corpus.
 
-    The last content of a path in a batch counts. The state between batches is written to
-    ``state`` in the shared folder, so a restarted query goes on from there."""
+    Of a path's rows in a batch the one with the greatest ``sequence`` counts; batches come in order. The state between
+    batches is written to ``state`` in the shared folder, so a restarted query goes on from there; a batch that is run
+    again writes its own state anew from the one before."""
     spark = contents.sparkSession
     state = state or fresh_path(spark, "refresh")
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        new = batch.groupBy("path").agg(F.max(F.struct("content", F.coalesce("deleted", F.lit(False)).alias("deleted"))).alias("x")).select("path", "x.*")
+        new = cut(latest(batch))
         files = code.files_of(new.filter("not deleted").select("path", "content"))
-        try:
-            old = Snapshot(session.read.parquet(f"{state}/{number - 1}/files"), session.read.parquet(f"{state}/{number - 1}/nested"))
-        except Exception:
-            if number > 0:
-                raise
-            old = None
-        now = snapshot(files) if old is None else applied(old, old.files.join(new.select("path"), "path", "left_anti").unionByName(files))
+        before = f"{state}/{number - 1}"
+        if number == 0:
+            now = snapshot(files)
+        else:
+            old = Snapshot(session.read.parquet(f"{before}/files"), session.read.parquet(f"{before}/nested"))
+            now = applied(old, old.files.join(new.select("path"), "path", "left_anti").unionByName(files))
         for name in ("files", "nested"):
             getattr(now, name).write.mode("overwrite").parquet(f"{state}/{number}/{name}")
         publish(now.corpus, number)

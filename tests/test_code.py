@@ -89,13 +89,47 @@ def test_empty(spark):
 def test_followed_stream(tmp_path, spark):
     from quillgraph.streaming import refresh
 
-    schema = "path string, content binary, deleted boolean"
+    schema = "path string, content binary, deleted boolean, sequence long"
     put = lambda name, rows_: spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
     seen = []
     stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     publish = lambda corpus, number: seen.append(sorted(r["qualified_name"] for r in corpus.symbols.collect()))
-    put("a", [("a.py", b"def f():\n    pass\n", False), ("b.py", b"def g():\n    pass\n", None)])
+    put("a", [("a.py", b"def f():\n    pass\n", False, 1), ("b.py", b"def z():\n    pass\n", None, 1), ("b.py", b"def g():\n    pass\n", None, 2), ("c.py", b"zz = 1\n", False, 1), ("c.py", None, True, 2)])
     refresh.followed(stream(), publish, str(tmp_path / "state")).awaitTermination(120)
-    put("b", [("a.py", b"", True), ("b.py", b"def h():\n    pass\n", False)])
+    # A deletion after contents, and a content after a deletion, in one batch.
+    put("b", [("a.py", b"def zz():\n    pass\n", False, 3), ("a.py", b"", True, 4), ("b.py", None, True, 3), ("b.py", b"def h():\n    pass\n", False, 5)])
     refresh.followed(stream(), publish, str(tmp_path / "state")).awaitTermination(120)
     assert seen == [["a.py#f", "b.py#g"], ["b.py#h"]]
+
+
+def test_published_versions(tmp_path, spark):
+    import pytest
+
+    from quillgraph.corpus import Corpus
+    from quillgraph.streaming import refresh
+
+    c = code.corpus(files(spark, {"a.py": "def f():\n    return g()\n\n\ndef g():\n    pass\n"}))
+    folder = str(tmp_path / "kept")
+    with pytest.raises(FileNotFoundError):
+        refresh.loaded(spark, folder)
+    refresh.saved(c, folder)
+    first = refresh.loaded(spark, folder)
+    assert first.generation().first() == c.generation().first()
+
+    class Broken(Corpus):
+        @property
+        def edges(self):
+            raise RuntimeError("the executors are gone")
+
+    broken = object.__new__(Broken)
+    broken.__dict__.update(files=c.files, symbols=c.symbols, routes=None)
+    with pytest.raises(RuntimeError):  # a crash between two tables: the version before stays
+        refresh.saved(broken, folder)
+    assert refresh.loaded(spark, folder).generation().first() == c.generation().first()
+    for _ in range(3):
+        last = refresh.saved(Corpus(c.files, c.symbols, c.edges.limit(0)), folder)
+    assert refresh.loaded(spark, folder).edges.count() == 0 and first.files.sparkSession is spark
+    assert len(list((tmp_path / "kept" / "versions").iterdir())) == 3  # two published ones, and the broken one
+    spark.createDataFrame([("x", "python", "h", 1, 1, "")], c.files.schema if len(c.files.columns) == 6 else "path string, language string, hash string, size bigint, line_count int, text string").write.mode("append").parquet(f"{last}/files")
+    with pytest.raises(ValueError, match="isn't what was published"):
+        refresh.loaded(spark, folder)
