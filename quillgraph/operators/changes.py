@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.corpus import Corpus
+from quillgraph.operators.find_text import at_lines
 from quillgraph.plans.shared import cut
 
 
@@ -111,8 +112,7 @@ def _texts(corpus: Corpus) -> DataFrame:
 
 def _innermost(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     """(qualified_name) of the innermost symbol at each changed (file, line): it starts last, then further right, then ends first."""
-    spans = symbols.select(F.col("file").alias("f"), "qualified_name", "start_line", "start_col", "end_line", "end_col")
-    at = changed.join(spans, (F.col("file") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
+    at = at_lines(changed, symbols.select("file", "qualified_name", "start_line", "start_col", "end_line", "end_col"))
     return at.groupBy("file", "line").agg(F.max_by("qualified_name", F.struct("start_line", "start_col", -F.col("end_line"), -F.col("end_col"))).alias("qualified_name")).select("qualified_name").distinct()
 
 

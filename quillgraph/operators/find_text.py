@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.corpus import Corpus, checked_limit, in_path
+from quillgraph.plans.shared import cut
 
 
 class PatternRefused(ValueError):
@@ -59,7 +60,10 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def matches(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, budget_ms: int = 5000, within: str | None = None) -> DataFrame:
-    """(file, line, col, length, text) of every match; lines from 1, columns from 0 in code points. A pattern never spans lines."""
+    """(file, line, col, length, text) of every match; lines from 1, columns from 0 in code points. A pattern never spans lines.
+
+    A pattern that isn't known to be cheap is run at once, by all tasks against one deadline, and what it found is kept;
+    past the deadline it is refused as a whole."""
     if isinstance(budget_ms, bool) or not isinstance(budget_ms, int) or budget_ms <= 0:
         raise ValueError("the budget must be a positive whole number of milliseconds")
     source = re.escape(pattern) if fixed else pattern
@@ -75,22 +79,23 @@ def matches(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bo
         ends = F.transform("got", lambda g, i: F.struct(F.length(g).alias("length"), F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)).alias("before"), F.aggregate(F.slice("got", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)).alias("earlier")))
         return hits.select("file", "line", "text", F.explode(ends).alias("m")).select("file", "line", (F.col("m.before") + F.col("m.earlier")).alias("col"), F.col("m.length").alias("length"), "text")
 
+    ends = time.time() + budget_ms / 1000
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ends = time.monotonic() + budget_ms / 1000
         try:
             # This module can stop within a line; the standard one only between two.
             import regex
 
             timed = regex.compile(source, regex.I if ignore_case else 0)
-            found = lambda t: timed.finditer(t, timeout=max(1e-3, ends - time.monotonic()))
+            found = lambda t: timed.finditer(t, timeout=max(1e-3, ends - time.time()))
         except ImportError:
             found = re.compile(source, re.I if ignore_case else 0).finditer
         for batch in batches:
             out = []
             for f, n, t in zip(*(batch.column(c).to_pylist() for c in ("file", "line", "text")), strict=True):
-                if time.monotonic() > ends:
+                if time.time() > ends:
                     raise PatternRefused(f"pattern {pattern!r} took more than {budget_ms} ms")
                 try:
                     out += [(f, n, m.start(), m.end() - m.start(), t) for m in found(t)]
@@ -98,14 +103,30 @@ def matches(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bo
                     raise PatternRefused(f"pattern {pattern!r} took more than {budget_ms} ms") from e
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "line", "col", "length", "text"), x, strict=True)) for x in out], schema=pa.schema([("file", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("length", pa.int32()), ("text", pa.string())]))
 
-    return lines.mapInArrow(run, "file string, line int, col int, length int, text string")
+    try:
+        return cut(lines.mapInArrow(run, "file string, line int, col int, length int, text string"))
+    except Exception as e:
+        if "PatternRefused" in str(e):
+            raise PatternRefused(f"pattern {pattern!r} took more than {budget_ms} ms") from e
+        raise
+
+
+#: Lines of a bucket: a span meets only the lines of the buckets that it touches.
+BUCKET = 256
+
+
+def at_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """``lines`` (file, line, ...) joined with the spans (file, start_line, end_line, ...) around each, bucket by bucket, so that a
+    file with many lines and symbols costs what its nesting does and not their product. Spans lose ``file``."""
+    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.greatest("start_line", "end_line") / BUCKET)))).withColumnRenamed("file", "__f")
+    near = (F.col("file") == F.col("__f")) & (F.floor(F.col("line") / BUCKET) == F.col("__b"))
+    return lines.join(s, near & F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("__b", "__f")
 
 
 def innermost(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """``sites`` (file, line, ...) with the smallest symbol around each line; of equal ones the first of the file."""
-    spans = symbols.select(F.col("file").alias("f"), F.col("qualified_name").alias("q"), "start_line", "end_line", "ord")
-    lines = sites.select("file", "line").distinct()
-    best = lines.join(spans, (F.col("file") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
+    spans = symbols.select("file", F.col("qualified_name").alias("q"), "start_line", "end_line", "ord")
+    best = at_lines(sites.select("file", "line").distinct(), spans)
     best = best.groupBy("file", "line").agg(F.min_by("q", F.struct(F.col("end_line") - F.col("start_line"), F.col("ord"), F.col("q"))).alias("symbol"))
     return sites.join(best, ["file", "line"], "left")
 

@@ -10,7 +10,8 @@ from quillgraph.plans.shared import cut
 
 #: Edges that the second level of reach counts at most.
 REACH_CAP = 2_000
-#: Pairs of levels whose lineage may grow before it is cut.
+#: Nodes that are looked up by their names in a filter that the files' statistics answer; more are joined.
+FEW = 500
 HUBS, HOTSPOTS, DIRS = 3, 10, 8
 
 
@@ -43,25 +44,40 @@ def unresolved_by_name(edges: DataFrame) -> DataFrame:
     return edges.filter("kind <> 'imports' and to_symbol is null").withColumn("key", last_segment(F.coalesce(named, F.col("to_name"))))
 
 
+def _few(nodes: DataFrame, column: str = "node") -> list[str] | None:
+    """The nodes, if there are few."""
+    got = [r[0] for r in nodes.select(column).limit(FEW + 1).collect()]
+    return got if len(got) <= FEW else None
+
+
+def touching(df: DataFrame, column: str, nodes: DataFrame, few: list[str] | None) -> DataFrame:
+    """The rows of ``df`` whose column is one of the nodes (node)."""
+    if few is not None:
+        return df.filter(F.col(column).isin(*few))
+    return df.join(nodes.select(F.col("node").alias(column)).distinct(), column, "left_semi")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, known: DataFrame | None = None) -> DataFrame:
     """(node, depth) of all that ``edges`` (src, dst) reach from ``seeds`` (node), each at its least depth, seeds at 0.
 
-    A level joins the frontier with the edges and leaves out what has been seen; it is written
-    to the shared folder, so neither lineage nor memory grows with depth. ``known``: nodes that may be entered.
+    A level looks up the frontier's edges (by name while it is small, in a join beyond) and leaves out what has been seen; it is
+    written to the shared folder, so neither lineage nor memory grows with depth. ``known``: nodes that may be entered.
     """
     if depth is not None and (isinstance(depth, bool) or not isinstance(depth, int) or depth < 1):
         raise ValueError("depth must be a positive whole number")
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, level = seen.select("node"), 0
-    while depth is None or level < depth:
+    few = _few(frontier)
+    while (depth is None or level < depth) and few != []:
         level += 1
-        step = edges.join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).filter("node is not null").distinct()
+        step = touching(edges, "src", frontier, few).select(F.col("dst").alias("node")).filter("node is not null").distinct()
         if known is not None:
             step = step.join(known, "node", "left_semi")
         new = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
-        if new.isEmpty():
-            break
-        seen, frontier = seen.unionAll(new), new.select("node")
+        frontier = new.select("node")
+        few = _few(frontier)
+        if few != []:
+            seen = seen.unionAll(new)
     return seen
 
 
@@ -77,17 +93,19 @@ def callers(corpus: Corpus, symbol: str | DataFrame, direction: str = "in", dept
     seeds = targets(corpus, symbol).withColumnRenamed("qualified_name", "node") if isinstance(symbol, str) else symbol
     e = corpus.edges.filter("to_symbol is not null")
     near, far = ("to_symbol", "from_symbol") if direction == "in" else ("from_symbol", "to_symbol")
-    known = corpus.symbols.select(F.col("qualified_name").alias("node")).distinct()
+    known = corpus.symbols.select(F.col("qualified_name").alias("node"))
     steps = e.select(F.col(near).alias("src"), F.col(far).alias("dst")).filter("src <> '' and dst <> ''")
     nodes = bfs(steps, seeds, depth, known)
-    inner = nodes if depth is None else nodes.filter(F.col("depth") < depth)
-    hits = e.join(inner, F.col(near) == F.col("node")).select((F.col("depth") + 1).alias("depth"), F.col("from_file").alias("file"), "line", "kind", F.when(F.col(far) != "", F.col(far)).alias("symbol"), "node", "status")
+    inner = cut(nodes if depth is None else nodes.filter(F.col("depth") < depth))
+    few = _few(inner)
+    hits = touching(e, near, inner, few).join(inner, F.col(near) == F.col("node")).select((F.col("depth") + 1).alias("depth"), F.col("from_file").alias("file"), "line", "kind", F.when(F.col(far) != "", F.col(far)).alias("symbol"), "node", "status")
     loose = unresolved_by_name(corpus.edges)
     if direction == "in":
-        named = inner.join(corpus.unique_symbols().select(F.col("qualified_name").alias("node"), "name"), "node")
+        mine = touching(corpus.symbols, "qualified_name", inner, few)
+        named = inner.join(Corpus(corpus.files, mine, corpus.edges).unique_symbols().select(F.col("qualified_name").alias("node"), "name"), "node")
         open_ends = loose.join(named, F.col("key") == F.col("name"))
     else:
-        open_ends = loose.join(inner, F.col("from_symbol") == F.col("node"))
+        open_ends = touching(loose, "from_symbol", inner, few).join(inner, F.col("from_symbol") == F.col("node"))
     first = open_ends.select((F.col("depth") + 1).alias("depth"), F.col("from_file").alias("file"), "line", "kind", F.when(F.col("from_symbol") != "", F.col("from_symbol")).alias("symbol"), "node", "status", "to_name")
     once = first.withColumn("n", F.row_number().over(Window.partitionBy("file", "line", "kind", "symbol", "to_name").orderBy("depth", "node"))).filter("n = 1").drop("n", "to_name")
     return hits.unionByName(once).orderBy("depth", "file", "line", "kind", F.coalesce("symbol", F.lit("")), "node")

@@ -8,11 +8,15 @@ gives every document's length and term counts, and nothing but those is kept.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.corpus import Corpus, checked_limit, in_path, is_test_file
 from quillgraph.functions import text as tx
+from quillgraph.operators.find_text import at_lines
+from quillgraph.plans.shared import cut
 
 #: Lines of an excerpt; of one when whole definitions are asked for.
 EXCERPT, WHOLE = 8, 400
@@ -26,10 +30,10 @@ def owned_lines(corpus: Corpus) -> DataFrame:
     Of the symbols around a line, the one that starts last owns it; then the one further right, then the shorter."""
     lines = corpus.files.filter("length(text) > 0").select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text"))
     lines = lines.select("file", (F.col("i") + 1).alias("line"), "line_text")
-    spans = corpus.symbols.select(F.col("file").alias("f"), "qualified_name", "start_line", "start_col", "end_line", "end_col")
-    around = lines.join(spans, (F.col("file") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+    spans = corpus.symbols.select("file", "qualified_name", "start_line", "start_col", "end_line", "end_col")
     owner = F.max_by("qualified_name", F.struct("start_line", "start_col", -F.col("end_line"), -F.col("end_col"), "qualified_name"))
-    return around.groupBy("file", "line").agg(F.first("line_text").alias("line_text"), owner.alias("owner"))
+    owned = at_lines(lines.select("file", "line"), spans).groupBy("file", "line").agg(owner.alias("owner"))
+    return lines.join(owned, ["file", "line"], "left")
 
 
 def documents(corpus: Corpus, plain: bool = False) -> DataFrame:
@@ -80,14 +84,41 @@ def _route_documents(corpus: Corpus, owned: DataFrame) -> DataFrame:
     return r.select("file", found.alias("qualified_name"), label.alias("local_name"), F.col("sname").alias("name"), F.concat_ws(" ", label, "handler", F.lit("route")).alias("signature"), F.lit(None).cast("string").alias("doc_text"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("start_col", F.lit(0)).alias("start_col"), F.col("line").alias("route_line"))
 
 
+#: What tells two documents apart; an overload is told by its place.
+KEY = ("file", "qualified_name", "route_line", "start_line", "start_col")
+
+
+@dataclass(frozen=True)
+class Index:
+    """The inverted index of a corpus, to be stored: ``documents`` (doc, file, qualified_name, local_name, name, route_line,
+    start_line, start_col, len) and ``postings`` (doc, term, in_name, in_signature, in_documentation, in_path, tf)."""
+
+    documents: DataFrame
+    postings: DataFrame
+
+    def stats(self) -> DataFrame:
+        """(documents, total_tokens, average_length)."""
+        n, total = F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0)).cast("long")
+        return self.documents.agg(n.alias("documents"), total.alias("total_tokens"), F.greatest(F.lit(1.0), total / F.greatest(n, F.lit(1))).alias("average_length"))
+
+
+def _doc() -> Column:
+    return F.md5(F.to_json(F.struct(*KEY)))
+
+
 def postings(corpus: Corpus, plain: bool = False) -> DataFrame:
-    """(file, qualified_name, term, in_name, in_signature, in_documentation, in_path, tf): the inverted index, to be stored."""
+    """(doc, file, qualified_name, term, in_name, in_signature, in_documentation, in_path, tf): the inverted index, to be stored."""
     d = documents(corpus, plain)
     each = [(c, d[s]) for c, s in (("n", "local_name"), ("s", "signature"), ("d", "doc_text"), ("p", "file"), ("b", "body"))]
     parts = F.array(*(F.struct(F.lit(c).alias("field"), tx.tokens(F.coalesce(v, F.lit(""))).alias("terms")) for c, v in each))
-    rows = d.select("file", "qualified_name", "route_line", F.explode(parts).alias("p")).select("file", "qualified_name", "route_line", F.col("p.field").alias("field"), F.explode("p.terms").alias("term"))
+    rows = d.select(_doc().alias("doc"), "file", "qualified_name", F.explode(parts).alias("p")).select("doc", "file", "qualified_name", F.col("p.field").alias("field"), F.explode("p.terms").alias("term"))
     has = lambda f: F.max(F.col("field") == f)
-    return rows.groupBy("file", "qualified_name", "route_line", "term").agg(has("n").alias("in_name"), has("s").alias("in_signature"), has("d").alias("in_documentation"), has("p").alias("in_path"), F.sum((F.col("field") == "b").cast("long")).alias("tf"))
+    return rows.groupBy("doc", "term").agg(F.first("file").alias("file"), F.first("qualified_name").alias("qualified_name"), has("n").alias("in_name"), has("s").alias("in_signature"), has("d").alias("in_documentation"), has("p").alias("in_path"), F.sum((F.col("field") == "b").cast("long")).alias("tf"))
+
+
+def indexed(corpus: Corpus, plain: bool = False) -> Index:
+    d = documents(corpus, plain).select(_doc().alias("doc"), *KEY, "local_name", "name", F.size(tx.tokens(F.col("body"))).alias("len"))
+    return Index(d, postings(corpus, plain))
 
 
 def corpus_stats(corpus: Corpus, plain: bool = False) -> DataFrame:
@@ -104,20 +135,50 @@ def _occurrences(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-def scored(corpus: Corpus, question: str, within: str | None = None, plain: bool = False) -> DataFrame:
-    """Every candidate with its score, once per symbol, file or route: file, qualified_name, route_line, start_line, start_col, score, exact."""
-    terms, (exact, dotted) = tx.query_terms(question), tx.identifiers(question)
+def _priority(exact: list[str], dotted: list[str]) -> Column:
+    low, named = F.lower(F.coalesce("local_name", F.lit(""))), F.col("qualified_name").isNotNull()
+    return F.when(named & F.contains(low, F.lit(".")) & low.isin(*dotted), 2).when(named & F.lower("name").isin(*exact), 1).otherwise(0)
+
+
+def _counted(corpus: Corpus, terms: list[str], priority: Column, plain: bool) -> tuple[DataFrame, list]:
+    """A row of numbers for each document, and (documents, tokens, documents with each term): one pass over the text."""
     d = documents(corpus, plain)
-    low = F.lower(F.coalesce("local_name", F.lit("")))
-    priority = F.when(F.col("qualified_name").isNotNull() & F.contains(low, F.lit(".")) & low.isin(*dotted), 2).when(F.col("qualified_name").isNotNull() & F.lower("name").isin(*exact), 1).otherwise(0)
     field = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
     d = d.select("*", field("body").alias("tb"), field("local_name").alias("tn"), field("signature").alias("ts"), field("doc_text").alias("td"), field("file").alias("tp"))
     tf = [_occurrences("tb", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    boost = [(F.when(_contains(F.col("tn"), t), tx.NAME).otherwise(0.0) + F.when(_contains(F.col("ts"), t), tx.SIGNATURE).otherwise(0.0) + F.when(_contains(F.col("td"), t), tx.DOCUMENTATION).otherwise(0.0) + F.when(_contains(F.col("tp"), t), tx.PATH).otherwise(0.0)).alias(f"b{i}") for i, t in enumerate(terms)]
-    d = d.select("file", "qualified_name", "route_line", "start_line", "start_col", priority.alias("priority"), F.size("tb").alias("len"), *tf, *boost)
-    # The statistics are one row over all documents; the filter below never reaches them.
+    boost = [_boost(*(_contains(F.col(c), t) for c in ("tn", "ts", "td", "tp"))).alias(f"b{i}") for i, t in enumerate(terms)]
+    d = cut(d.select(*KEY, priority.alias("priority"), F.size("tb").alias("len"), *tf, *boost))
+    # The statistics are one row over all documents; a path never reaches them.
     df = [F.coalesce(F.sum(((F.col(f"tf{i}") > 0) | (F.col(f"b{i}") > 0)).cast("long")), F.lit(0)) for i in range(len(terms))]
-    stats = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0)), *df).first()
+    return d, list(d.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0)), *df).first())
+
+
+def _looked_up(index: Index, terms: list[str], priority: Column) -> tuple[DataFrame, list]:
+    """The same from a stored index: only postings of the question's terms are read, and documents that have one or are meant by name."""
+    hits = index.postings.filter(F.col("term").isin(*terms)) if terms else index.postings.limit(0)
+    mine = lambda t: F.col("term") == t
+    tf = [F.coalesce(F.sum(F.when(mine(t), F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    boost = [F.coalesce(F.sum(F.when(mine(t), _boost(F.col("in_name"), F.col("in_signature"), F.col("in_documentation"), F.col("in_path")))), F.lit(0.0)).alias(f"b{i}") for i, t in enumerate(terms)]
+    found = cut(hits.groupBy("doc").agg(F.count(F.lit(1)).alias("any"), *tf, *boost))
+    d = index.documents.withColumn("priority", priority).join(found, "doc", "left").filter("any is not null or priority > 0")
+    zero = {c: 0 for c in found.columns if c != "doc"}
+    counts = [F.coalesce(F.sum(((F.col(f"tf{i}") > 0) | (F.col(f"b{i}") > 0)).cast("long")), F.lit(0)) for i in range(len(terms))]
+    whole = index.stats().first()
+    df = list(found.agg(*counts).first()) if terms else []
+    return d.na.fill(zero).drop("doc", "any", "local_name", "name"), [whole["documents"], whole["total_tokens"], *df]
+
+
+def _boost(name: Column, signature: Column, documentation: Column, path: Column) -> Column:
+    return F.when(name, tx.NAME).otherwise(0.0) + F.when(signature, tx.SIGNATURE).otherwise(0.0) + F.when(documentation, tx.DOCUMENTATION).otherwise(0.0) + F.when(path, tx.PATH).otherwise(0.0)
+
+
+def scored(corpus: Corpus, question: str, within: str | None = None, plain: bool = False, index: Index | None = None) -> DataFrame:
+    """Every candidate with its score, once per symbol, file or route: file, qualified_name, route_line, start_line, start_col, score, exact.
+
+    With a stored ``index`` of the corpus no text is read."""
+    terms, (exact, dotted) = tx.query_terms(question), tx.identifiers(question)
+    priority = _priority(exact, dotted)
+    d, stats = _counted(corpus, terms, priority, plain) if index is None else _looked_up(index, terms, priority)
     n, average = stats[0], max(1.0, stats[1] / max(1, stats[0]))
     lexical = F.lit(0.0)
     for i in range(len(terms)):
@@ -135,10 +196,10 @@ def order() -> list[Column]:
     return [F.desc("score"), F.asc("file"), F.asc("start_line"), F.asc("start_col"), F.coalesce("qualified_name", F.lit("")).asc()]
 
 
-def ask(corpus: Corpus, question: str, within: str | None = None, limit: int | None = 8, full: bool = False, plain: bool = False) -> DataFrame:
+def ask(corpus: Corpus, question: str, within: str | None = None, limit: int | None = 8, full: bool = False, plain: bool = False, index: Index | None = None) -> DataFrame:
     """The best documents with line and excerpt: rank, file, qualified_name, line, score, excerpt, excerpt_start_line, total_candidates, omitted_hits."""
     checked_limit(limit, "limit")
-    found = scored(corpus, question, within, plain)
+    found = cut(scored(corpus, question, within, plain, index))
     total = found.agg(F.count(F.lit(1)).alias("total_candidates"))
     top = found.orderBy(*order()) if limit is None else found.orderBy(*order()).limit(limit)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order())))
@@ -165,10 +226,10 @@ def with_excerpts(corpus: Corpus, top: DataFrame, terms: list[str], full: bool =
     return d.withColumn("excerpt_start_line", start).withColumn("excerpt", F.array_join(F.slice("l", start, F.greatest(stop - start + 1, F.lit(0))), "\n")).select("rank", "file", "qualified_name", "line", "score", "excerpt", "excerpt_start_line")
 
 
-def scoped_ask(corpus: Corpus, question: str, scopes: list[str], limit: int = 8, plain: bool = False) -> DataFrame:
+def scoped_ask(corpus: Corpus, question: str, scopes: list[str], limit: int = 8, plain: bool = False, index: Index | None = None) -> DataFrame:
     """Hits of each scope in turn, scopes in path order: the first of each, then the second, and so on. A file belongs to the longest scope above it."""
     checked_limit(limit, "limit")
-    found = scored(corpus, question, None, plain)
+    found = scored(corpus, question, None, plain, index)
     owner = F.lit(None).cast("string")
     for s in sorted(scopes, key=lambda x: (len(x), x)):
         owner = F.when(in_path("file", s), F.lit(s)).otherwise(owner)

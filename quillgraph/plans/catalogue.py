@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.corpus import Corpus
 from quillgraph.functions import text as tx
 from quillgraph.operators import changes, evidence, find_text, graph, resolve, search
+from quillgraph.plans.stored import stored
 from quillgraph.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _star(spark: SparkSession, d: str, by: str = "to_symbol") -> Corpus:
+    """The star schema's corpus, its tables built once for the application; edges lie in the order of ``by``."""
+    c = adapters.star(spark, d)
+    edges = stored(spark, d, f"star-edges-{by}", lambda: c.edges if by == "to_symbol" else _star(spark, d).edges, by)
+    return Corpus(stored(spark, d, "star-files", lambda: c.files), stored(spark, d, "star-symbols", lambda: c.symbols, "qualified_name"), edges)
+
+
+def _index(spark: SparkSession, d: str) -> search.Index:
+    """The inverted index of the documents, built once for the application; postings lie in the order of their terms."""
+    c = adapters.docs(spark, d)
+    built = search.indexed(c, plain=True)
+    return search.Index(stored(spark, d, "docs-documents", lambda: built.documents), stored(spark, d, "docs-postings", lambda: built.postings, "term"))
+
+
 PATTERN = "th[a-z]+e"
 QUESTION = "where does Thanedble meet the ingtion of heerth"
 SCOPES = ["src0", "src1", "src1/en", "src2/de"]
@@ -77,19 +92,18 @@ _BODIES = f"bodies AS (SELECT {_PATH} AS file, {_tok('coalesce(text, chr(32))')}
 
 @query(f"WITH {_BODIES}, t AS (SELECT file, unnest(tb) AS term FROM bodies) SELECT term, count(*) AS tf, count(DISTINCT file) AS docs FROM t GROUP BY term")
 def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
-    t = search.documents(adapters.docs(spark, d), plain=True).select("file", F.explode(tx.tokens(F.col("body"))).alias("term"))
-    # Terms of a file first, so a frequent term is one row per file in the second aggregation.
-    return t.groupBy("term", "file").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
+    # The index has one row for each term and document.
+    return _index(spark, d).postings.filter("tf > 0").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(f"WITH {_BODIES} SELECT count(*) AS documents, sum(len(tb))::BIGINT AS total_tokens, greatest(1.0, sum(len(tb)) / greatest(count(*), 1))::DOUBLE AS average_length FROM bodies")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.corpus_stats(adapters.docs(spark, d), plain=True)
+    return _index(spark, d).stats()
 
 
 @query(f"WITH {_BODIES}, t AS (SELECT file, unnest(list_distinct(list_concat(tb, tp))) AS term FROM bodies) SELECT term, count(*) AS df FROM t GROUP BY term")
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(adapters.docs(spark, d), plain=True).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _ask_sql(question: str, within: str = "") -> str:
@@ -108,25 +122,25 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_ask_sql(QUESTION)} SELECT row_number() OVER (ORDER BY score DESC, file)::INT AS rank, file, round(score, 6) AS score, (SELECT count(*) FROM scored) AS total_candidates, (SELECT count(*) FROM scored) - 20 AS omitted_hits FROM scored ORDER BY score DESC, file LIMIT 20")
 def ask_docs(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=20, plain=True).select("rank", "file", "score", "total_candidates", "omitted_hits"))
+    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=20, plain=True, index=_index(spark, d)).select("rank", "file", "score", "total_candidates", "omitted_hits"))
 
 
 @query(f"WITH {_ask_sql(QUESTION, 'src3')} SELECT file, round(score, 6) AS score FROM scored")
 def ask_docs_scoped(spark: SparkSession, d: str) -> DataFrame:
     """All candidates below a path, with the statistics of the whole corpus."""
-    return _rounded(search.scored(adapters.docs(spark, d), QUESTION, "src3", plain=True).select("file", "score"))
+    return _rounded(search.scored(adapters.docs(spark, d), QUESTION, "src3", plain=True, index=_index(spark, d)).select("file", "score"))
 
 
 @query(f"""WITH {_ask_sql(QUESTION)}, owned AS (SELECT *, CASE WHEN starts_with(file, 'src1/en/') THEN 'src1/en' WHEN starts_with(file, 'src2/de/') THEN 'src2/de' WHEN starts_with(file, 'src1/') THEN 'src1' WHEN starts_with(file, 'src0/') THEN 'src0' END AS scope FROM scored),
   turns AS (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY score DESC, file)::INT AS turn, file, round(score, 6) AS score FROM owned WHERE scope IS NOT NULL)
 SELECT * FROM turns ORDER BY turn, scope LIMIT 10""")
 def scoped_ask_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.scoped_ask(adapters.docs(spark, d), QUESTION, SCOPES, 10, plain=True).drop("qualified_name"))
+    return _rounded(search.scoped_ask(adapters.docs(spark, d), QUESTION, SCOPES, 10, plain=True, index=_index(spark, d)).drop("qualified_name"))
 
 
 @query()
 def ask_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=8, plain=True))
+    return _rounded(search.ask(adapters.docs(spark, d), QUESTION, limit=8, plain=True, index=_index(spark, d)))
 
 
 # The star schema as a graph.
@@ -154,23 +168,23 @@ _HIT = "'{d}'::INT AS depth, from_file AS file, line, kind, from_symbol AS symbo
 
 @query(f"WITH {_STAR} SELECT {_HIT.format(d=1)} FROM edges WHERE to_symbol = 'nation/all#3'")
 def callers_d1(spark: SparkSession, d: str) -> DataFrame:
-    return graph.callers(adapters.star(spark, d), "nation/all#3").drop("status")
+    return graph.callers(_star(spark, d), "nation/all#3").drop("status")
 
 
 @query(f"WITH {_STAR}, one AS (SELECT * FROM edges WHERE to_symbol = 'customer/all#7'), two AS (SELECT * FROM edges WHERE to_symbol IN (SELECT from_symbol FROM one)) SELECT {_HIT.format(d=1)} FROM one UNION ALL SELECT {_HIT.format(d=2)} FROM two")
 def callers_d2(spark: SparkSession, d: str) -> DataFrame:
-    return graph.callers(adapters.star(spark, d), "customer/all#7", depth=2).drop("status")
+    return graph.callers(_star(spark, d), "customer/all#7", depth=2).drop("status")
 
 
 @query(f"WITH {_STAR}, one AS (SELECT * FROM edges WHERE from_symbol = 'orders/f#1'), two AS (SELECT * FROM edges WHERE from_symbol IN (SELECT to_symbol FROM one)) SELECT 1 AS depth, from_file AS file, line, kind, to_symbol AS symbol, from_symbol AS node FROM one UNION ALL SELECT 2, from_file, line, kind, to_symbol, from_symbol FROM two")
 def callees_d2(spark: SparkSession, d: str) -> DataFrame:
-    return graph.callers(adapters.star(spark, d), "orders/f#1", "out", 2).drop("status")
+    return graph.callers(_star(spark, d, "from_symbol"), "orders/f#1", "out", 2).drop("status")
 
 
 @query(f"WITH RECURSIVE {_STAR}, r AS (SELECT 'region/all#1' AS node, 0 AS depth UNION SELECT from_symbol, depth + 1 FROM edges JOIN r ON to_symbol = node WHERE depth < 4) SELECT depth, count(*) AS nodes FROM (SELECT node, min(depth) AS depth FROM r GROUP BY node) GROUP BY depth")
 def closure_levels(spark: SparkSession, d: str) -> DataFrame:
     """How many symbols depend on a region, level by level."""
-    e = adapters.star(spark, d).edges.select(F.col("to_symbol").alias("src"), F.col("from_symbol").alias("dst"))
+    e = _star(spark, d).edges.select(F.col("to_symbol").alias("src"), F.col("from_symbol").alias("dst"))
     seeds = spark.createDataFrame([("region/all#1",)], "node string")
     return graph.bfs(e, seeds, 4).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -178,43 +192,42 @@ def closure_levels(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_STAR}, one AS (SELECT to_symbol AS q, count(*) AS d1_edges, count(DISTINCT from_file) AS d1_files, count(DISTINCT split_part(from_file, '/', 1)) AS d1_dirs, count(DISTINCT CASE WHEN from_file LIKE 'tests/%' THEN from_file END) AS tests FROM edges GROUP BY 1)
 SELECT qualified_name, coalesce(d1_edges, 0) AS d1_edges, coalesce(d1_files, 0) AS d1_files, coalesce(d1_dirs, 0) AS d1_dirs, 0::BIGINT AS unresolved_same_name, coalesce(tests, 0) AS tests FROM (SELECT DISTINCT qualified_name FROM symbols) LEFT JOIN one ON q = qualified_name""")
 def reach_d1(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(adapters.star(spark, d))
+    return graph.reach(_star(spark, d))
 
 
-@query(f"""WITH {_STAR}, pick AS (SELECT 'nation/all#' || n_nationkey AS q FROM nation), first AS (SELECT DISTINCT to_symbol AS root, from_symbol AS caller FROM edges JOIN pick ON q = to_symbol),
+@query(f"""WITH {_STAR}, pick AS (SELECT DISTINCT qualified_name AS q FROM symbols), first AS (SELECT DISTINCT to_symbol AS root, from_symbol AS caller FROM edges JOIN pick ON q = to_symbol),
   second AS (SELECT root, e.from_file, row_number() OVER (PARTITION BY root ORDER BY caller, e.from_file, e.line) AS n FROM first JOIN edges e ON e.to_symbol = caller),
   two AS (SELECT root, least(count(*), 2000) AS d2_edges, count(DISTINCT CASE WHEN n <= 2000 THEN from_file END) AS d2_files, count(*) > 2000 AS d2_capped FROM second GROUP BY 1)
 SELECT q AS qualified_name, coalesce(d2_edges, 0) AS d2_edges, coalesce(d2_files, 0) AS d2_files, coalesce(d2_capped, false) AS d2_capped FROM pick LEFT JOIN two ON root = q""")
 def reach_d2(spark: SparkSession, d: str) -> DataFrame:
-    nations = adapters.table(spark, d, "nation").select(F.concat(F.lit("nation/all#"), "n_nationkey").alias("qualified_name"))
-    return graph.reach(adapters.star(spark, d), nations, 2).select("qualified_name", "d2_edges", "d2_files", "d2_capped")
+    return graph.reach(_star(spark, d), depth=2).select("qualified_name", "d2_edges", "d2_files", "d2_capped")
 
 
 @query(f"WITH {_STAR}, {_deg()} SELECT d.qualified_name, kind, file, line, in_edges, in_files, out_edges FROM deg d JOIN (SELECT DISTINCT * FROM symbols) USING (qualified_name) ORDER BY in_edges + out_edges DESC, d.qualified_name LIMIT 10")
 def degree_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hotspots(adapters.star(spark, d))
+    return graph.hotspots(_star(spark, d))
 
 
 @query(f"WITH {_STAR}, {_deg()}, r AS (SELECT split_part(file, '/', 1) || '/' AS dir, d.qualified_name, kind, in_edges, in_files, out_edges, row_number() OVER (PARTITION BY split_part(file, '/', 1) ORDER BY in_edges + out_edges DESC, d.qualified_name) AS rank, count(*) OVER (PARTITION BY split_part(file, '/', 1)) AS n FROM deg d JOIN (SELECT DISTINCT * FROM symbols) USING (qualified_name)) SELECT dir, rank::INT AS rank, qualified_name, kind, in_edges, in_files, out_edges, greatest(n - 3, 0) AS dropped_hubs FROM r WHERE rank <= 3")
 def map_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hubs(adapters.star(spark, d))
+    return graph.hubs(_star(spark, d))
 
 
 @query(f"""WITH {_STAR}, e AS (SELECT split_part(from_file, '/', 1) || '/' AS a, split_part(to_file, '/', 1) || '/' AS b FROM edges), x AS (SELECT a AS dir, CASE WHEN a = b THEN 1 ELSE 0 END AS i, CASE WHEN a = b THEN 0 ELSE 1 END AS o FROM e UNION ALL SELECT b, 0, 1 FROM e WHERE a <> b),
   ed AS (SELECT dir, sum(i)::BIGINT AS internal_edges, sum(o)::BIGINT AS external_edges FROM x GROUP BY 1), f AS (SELECT split_part(file, '/', 1) || '/' AS dir, count(DISTINCT file) AS file_count, count(*) AS symbol_count FROM symbols GROUP BY 1)
 SELECT dir, file_count, symbol_count, coalesce(internal_edges, 0) AS internal_edges, coalesce(external_edges, 0) AS external_edges, greatest((SELECT count(*) FROM f) - 6, 0) AS dropped_dirs FROM f LEFT JOIN ed USING (dir) ORDER BY internal_edges + external_edges DESC, symbol_count DESC, dir LIMIT 6""")
 def map_directories(spark: SparkSession, d: str) -> DataFrame:
-    return graph.directories(adapters.star(spark, d), 6)
+    return graph.directories(_star(spark, d), 6)
 
 
 @query(f"WITH {_STAR} SELECT qualified_name, name, kind, line AS start_line, line AS end_line, n_name AS signature FROM symbols JOIN nation ON 'nation/all#' || n_nationkey = qualified_name WHERE file = 'nation/all'")
 def skeleton_file(spark: SparkSession, d: str) -> DataFrame:
-    return graph.skeleton(adapters.star(spark, d), "nation/all")
+    return graph.skeleton(_star(spark, d), "nation/all")
 
 
 @query()
 def generation(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.star(spark, d).generation()
+    return _star(spark, d).generation()
 
 
 # Links of web pages, resolved by name.
@@ -269,7 +282,7 @@ def impact_changes(spark: SparkSession, d: str) -> DataFrame:
 def impact_dependents(spark: SparkSession, d: str) -> DataFrame:
     base, current = _snapshots(spark, d)
     seeds = changes.symbol_changes(base, current).filter("change = 'changed'").select(F.col("new_name").alias("node"))
-    return changes.dependents(adapters.star(spark, d), seeds, 2).select("node", "depth")
+    return changes.dependents(_star(spark, d), seeds, 2).select("node", "depth")
 
 
 @query("SELECT 'orders/' || lower(o_orderstatus) || '.' || o_orderkey % 50 AS path, CASE WHEN min(o_orderdate) >= TIMESTAMP '2000-01-01' THEN 'added' WHEN max(o_orderdate) < TIMESTAMP '1997-01-01' THEN 'deleted' ELSE 'changed' END AS change FROM orders GROUP BY 1 HAVING min(o_orderdate) < TIMESTAMP '1997-01-01' OR max(o_orderdate) >= TIMESTAMP '2000-01-01'")
@@ -279,12 +292,13 @@ def freshness_delta(spark: SparkSession, d: str) -> DataFrame:
     return changes.freshness(side(o.filter("o_orderdate < timestamp '2000-01-01'")), side(o.filter("o_orderdate >= timestamp '1997-01-01'")))
 
 
-# Claims: where orders call a customer, some right, some off.
-_CLAIMS = "c AS (SELECT DISTINCT ofile AS file, (o_orderkey + 1 + CASE WHEN o_orderkey % 3 = 0 THEN 100000000 ELSE 0 END)::INT AS line FROM o WHERE o_custkey IN (7, 8) AND o_orderkey % 5 <> 0 UNION SELECT 'nowhere', 1)"
+# Claims: where each order calls its customer, a third of them off, against one customer.
+_CLAIMS = "c AS (SELECT DISTINCT ofile AS file, (o_orderkey + 1 + CASE WHEN o_orderkey % 3 = 0 THEN 100000000 ELSE 0 END)::INT AS line FROM o WHERE o_orderkey % 5 <> 0 UNION SELECT 'nowhere', 1)"
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    o = adapters.table(spark, d, "orders").filter("o_custkey in (7, 8) and o_orderkey % 5 <> 0")
+    # Every fifth order is claimed by nobody, so some sites are missing.
+    o = adapters.table(spark, d, "orders").filter("o_orderkey % 5 <> 0")
     rows = o.select(F.concat(F.lit("orders/"), F.lower("o_orderstatus")).alias("file"), (F.col("o_orderkey") + 1 + F.when(F.col("o_orderkey") % 3 == 0, 100000000).otherwise(0)).cast("int").alias("line"))
     return rows.unionAll(spark.createDataFrame([("nowhere", 1)], "file string, line int"))
 
@@ -293,19 +307,19 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 SELECT c.file, c.line, CASE WHEN c.file NOT IN (SELECT file FROM symbols) THEN 'not-indexed' WHEN h.file IS NOT NULL THEN 'confirmed' WHEN l.file IS NOT NULL THEN 'name-only' ELSE 'no-call' END AS verdict FROM c LEFT JOIN hits h USING (file, line) LEFT JOIN loose l USING (file, line)
 UNION ALL SELECT file, line, 'missing' FROM hits ANTI JOIN c USING (file, line)""")
 def plumb_claims(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.plumb(adapters.star(spark, d), "customer/all#7", _claims(spark, d))
+    return evidence.plumb(_star(spark, d), "customer/all#7", _claims(spark, d))
 
 
 @query(f"WITH {_STAR}, t AS (SELECT to_symbol AS qualified_name, from_file AS test_file, count(*) AS n FROM edges WHERE from_file LIKE 'tests/%' AND (to_symbol LIKE 'supplier/%') GROUP BY 1, 2) SELECT qualified_name, 1 AS rank, test_file, 'test-path-and-resolved-edge' AS basis, greatest(n - 10, 0)::INT AS omitted_sites, 0::BIGINT AS omitted_tests FROM t")
 def tests_for(spark: SparkSession, d: str) -> DataFrame:
-    c = adapters.star(spark, d)
+    c = _star(spark, d)
     return evidence.tests_for(c, c.symbols.filter("file = 'supplier/all'").select("qualified_name")).drop("sites").withColumn("omitted_sites", F.col("omitted_sites").cast("int"))
 
 
 @query(f"WITH {_STAR}, t AS (SELECT to_symbol AS qualified_name, to_file AS file, count(*) AS n FROM edges WHERE from_file = 'tests/lineitem_r' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY qualified_name) AS k, count(*) OVER () AS total FROM t) SELECT 'tests/lineitem_r' AS test_file, qualified_name, file, greatest(n - 10, 0)::INT AS omitted_sites, greatest(total - 50, 0) AS omitted_symbols, 0::BIGINT AS unresolved_edges FROM r WHERE k <= 50")
 def symbols_under_test(spark: SparkSession, d: str) -> DataFrame:
     t = spark.createDataFrame([("tests/lineitem_r",)], "path string")
-    return evidence.symbols_under_test(adapters.star(spark, d), t).drop("lines").withColumn("omitted_sites", F.col("omitted_sites").cast("int"))
+    return evidence.symbols_under_test(_star(spark, d), t).drop("lines").withColumn("omitted_sites", F.col("omitted_sites").cast("int"))
 
 
 @query(f"""WITH {_STAR}, w AS (SELECT l.*, l_shipdate FROM l WHERE l_shipdate >= TIMESTAMP '2001-06-01'), used AS (SELECT DISTINCT l_partkey FROM w WHERE lf NOT LIKE 'tests/%'), t AS (SELECT l_partkey, count(*) AS n FROM w WHERE lf LIKE 'tests/%' GROUP BY 1)

@@ -72,7 +72,7 @@ def test_find_text_limits(c):
     for bad in (-1, 0.5):
         with pytest.raises(ValueError):
             find_text.find_text(c, "fox", limit=bad)
-    with pytest.raises(Exception, match="PatternRefused"):
+    with pytest.raises(find_text.PatternRefused):
         find_text.matches(c.files.withColumn("text", F.lit("a" * 40 + "!")), r"(a|aa)+(?:\1)*[b]", budget_ms=300).collect()
 
 
@@ -82,6 +82,14 @@ def test_same_answer_with_any_partitioning(c):
     assert [tuple(r) for r in search.ask(c, "fox").collect()] == [tuple(r) for r in search.ask(spread, "fox").collect()]
 
 
+@pytest.mark.parametrize("question", ["fox", "f", "where is K.m of a", "tests of the fox", "nothing", "the"])
+def test_stored_index_gives_the_same_scores(c, question):
+    index = search.indexed(c)
+    names = ["file", "qualified_name", "start_line", "score", "exact"]
+    key = lambda df: sorted(((tuple(r[:3]), round(r[3], 9), r[4]) for r in df.select(*names).collect()), key=repr)
+    assert repr(key(search.scored(c, question))) == repr(key(search.scored(c, question, index=index)))
+
+
 def test_diff():
     text = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
     d = changes.parse_diff(text)[0]
