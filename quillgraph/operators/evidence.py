@@ -188,3 +188,15 @@ def matched_locations(edges: DataFrame, locations: DataFrame) -> DataFrame:
     near = locations.distinct().select("file", "line", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("d")).withColumn("at", F.col("line") + F.col("d"))
     hit = near.join(lines.withColumn("h", F.lit(True)), ["file", "at"], "left").groupBy("file", "line").agg(F.min(F.when(F.col("h"), F.abs("d"))).alias("d"))
     return hit.select("file", "line", F.when(F.col("d") == 0, "exact").when(F.col("d") == 1, "neighbour").otherwise("none").alias("match"))
+
+
+def receipts(corpus: Corpus, edges: DataFrame | None = None) -> DataFrame:
+    """Resolved edges with what proves them: the edge's columns, generation, source_hash, target_file, target_hash, uncertainty
+    (null: none). An edge of which either file isn't in the corpus has no receipt."""
+    e = (corpus.edges if edges is None else edges).filter("status = 'resolved'")
+    files = corpus.files.select(F.col("path").alias("at"), "hash")
+    own = corpus.unique_symbols().select(F.col("qualified_name").alias("q"), F.col("file").alias("qfile"))
+    e = e.join(own, F.col("to_symbol") == F.col("q"), "left").withColumn("target_file", F.coalesce("qfile", "to_file")).drop("q", "qfile")
+    e = e.join(files.withColumnsRenamed({"at": "from_file", "hash": "source_hash"}), "from_file").join(files.withColumnsRenamed({"at": "target_file", "hash": "target_hash"}), "target_file")
+    doubt = F.when(is_reliable(), None).when(F.col("method") == "receiver-hint", "receiver-hint-not-runtime-type-proof").otherwise("name-heuristic-or-unknown-provenance")
+    return e.withColumn("uncertainty", doubt).join(F.broadcast(corpus.generation().select("generation")))

@@ -11,7 +11,8 @@ from quillgraph.corpus import Corpus
 from quillgraph.functions import text as tx
 from quillgraph.operators import changes, evidence, find_text, graph, resolve, search
 from quillgraph.plans.stored import stored
-from quillgraph.sources import adapters
+from quillgraph.sources import adapters, code, generated
+from quillgraph.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -363,3 +364,88 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT quantile_disc(value, 0.95) AS value FROM events")
 def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return evidence.nearest_rank(adapters.table(spark, d, "events"), "value", 0.95)
+
+
+# Code written from the tables, read, parsed and resolved.
+def _code(spark: SparkSession, d: str) -> Corpus:
+    """The corpus of generated code, built once for the application."""
+    built: list[Corpus] = []
+
+    def corpus() -> Corpus:
+        if not built:
+            built.append(code.corpus(code.files_of(generated.contents(spark, d))))
+        return built[0]
+
+    return Corpus(*(stored(spark, d, f"code-{name}", lambda name=name: getattr(corpus(), name)) for name in ("files", "symbols", "edges", "routes")))
+
+
+def _supplied(nation: str = "s_nationkey") -> str:
+    return f"s AS (SELECT s_suppkey AS s, {nation} AS n FROM supplier), n AS (SELECT n_nationkey AS n, n_regionkey AS r, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation), r AS (SELECT r_regionkey AS r FROM region)"
+
+
+_CODE_SYMBOLS = """symbols AS (
+  SELECT 'py/supply/supplier_' || s || '.py' AS file, 'supplier_' || s AS local, 'function' AS kind, 4 AS start_line, 6 AS end_line FROM s
+  UNION ALL SELECT 'web/supply/supplier_' || s || '.ts', 'supplier' || s, 'function', 2, 2 FROM s
+  UNION ALL SELECT 'j/supply/Supplier' || s || '.java', 'Supplier' || s, 'class', 3, 7 FROM s UNION ALL SELECT 'j/supply/Supplier' || s || '.java', 'Supplier' || s || '.open', 'method', 4, 6 FROM s
+  UNION ALL SELECT 'go/supply/supplier_' || s || '.go', 'Supplier' || s, 'function', 5, 7 FROM s UNION ALL SELECT 'rs/src/supplier_' || s || '.rs', 'supplier_' || s, 'function', 2, 4 FROM s
+  UNION ALL SELECT 'py/geo/nation_' || n || '.py', 'Nation' || n, 'class', 4, 6 FROM n UNION ALL SELECT 'py/geo/nation_' || n || '.py', 'Nation' || n || '.name', 'method', 5, 6 FROM n
+  UNION ALL SELECT 'j/geo/Nation' || n || '.java', 'Nation' || n, 'class', 3, 9 FROM n UNION ALL SELECT 'j/geo/Nation' || n || '.java', 'Nation' || n || '.Nation' || n, 'method', 4, 5 FROM n UNION ALL SELECT 'j/geo/Nation' || n || '.java', 'Nation' || n || '.rank', 'method', 6, 8 FROM n
+  UNION ALL SELECT 'web/geo/nations.ts', 'nation' || n, 'function', k + 1, k + 1 FROM n UNION ALL SELECT 'go/geo/nations.go', 'Nation' || n, 'function', k + 1, k + 1 FROM n UNION ALL SELECT 'rs/src/geo.rs', 'nation_' || n, 'function', k + 1, k + 1 FROM n
+  UNION ALL SELECT 'py/geo/region_' || r || '.py', 'Region' || r, 'class', 1, 3 FROM r UNION ALL SELECT 'py/geo/region_' || r || '.py', 'Region' || r || '.title', 'method', 2, 3 FROM r
+  UNION ALL SELECT 'j/geo/Region' || r || '.java', 'Region' || r, 'class', 3, 6 FROM r UNION ALL SELECT 'j/geo/Region' || r || '.java', 'Region' || r || '.rank', 'method', 4, 5 FROM r)"""
+_CODE_EDGES = """edges AS (
+  SELECT 'imports' AS kind, 'py/supply/supplier_' || s || '.py' AS from_file, '' AS local, 'geo.nation_' || n AS to_name, 1 AS line, NULL AS to_symbol, 'py/geo/nation_' || n || '.py' AS to_file, 'import-path' AS method FROM s
+  UNION ALL SELECT 'calls', 'py/supply/supplier_' || s || '.py', 'supplier_' || s, 'Nation' || n, 5, 'py/geo/nation_' || n || '.py#Nation' || n, 'py/geo/nation_' || n || '.py', 'import-binding' FROM s
+  UNION ALL SELECT 'calls', 'py/supply/supplier_' || s || '.py', 'supplier_' || s, 'home.name', 6, 'py/geo/nation_' || n || '.py#Nation' || n || '.name', 'py/geo/nation_' || n || '.py', 'receiver-hint' FROM s
+  UNION ALL SELECT 'imports', 'web/supply/supplier_' || s || '.ts', '', '@geo', 1, NULL, 'web/geo/index.ts', 'import-path' FROM s
+  UNION ALL SELECT 'calls', 'web/supply/supplier_' || s || '.ts', 'supplier' || s, 'nation' || n, 2, 'web/geo/nations.ts#nation' || n, 'web/geo/nations.ts', 're-export-binding' FROM s
+  UNION ALL SELECT 'imports', 'j/supply/Supplier' || s || '.java', '', 'geo.Nation' || n, 2, NULL, 'j/geo/Nation' || n || '.java', 'import-path' FROM s
+  UNION ALL SELECT 'calls', 'j/supply/Supplier' || s || '.java', 'Supplier' || s || '.open', 'Nation' || n, 5, 'j/geo/Nation' || n || '.java#Nation' || n || '.Nation' || n, 'j/geo/Nation' || n || '.java', 'imported-file-name' FROM s
+  UNION ALL SELECT 'imports', 'go/supply/supplier_' || s || '.go', '', 'ex.org/star/geo', 3, NULL, 'go/geo/nations.go', 'import-path' FROM s
+  UNION ALL SELECT 'calls', 'go/supply/supplier_' || s || '.go', 'Supplier' || s, 'geo.Nation' || n, 6, 'go/geo/nations.go#Nation' || n, 'go/geo/nations.go', 'import-binding' FROM s
+  UNION ALL SELECT 'imports', 'rs/src/supplier_' || s || '.rs', '', 'crate::geo::nation_' || n, 1, NULL, 'rs/src/geo.rs', 'import-path' FROM s
+  UNION ALL SELECT 'calls', 'rs/src/supplier_' || s || '.rs', 'supplier_' || s, 'nation_' || n, 3, 'rs/src/geo.rs#nation_' || n, 'rs/src/geo.rs', 'import-binding' FROM s
+  UNION ALL SELECT 'imports', 'py/geo/nation_' || n || '.py', '', '.region_' || r, 1, NULL, 'py/geo/region_' || r || '.py', 'import-path' FROM n
+  UNION ALL SELECT 'extends', 'py/geo/nation_' || n || '.py', 'Nation' || n, 'Region' || r, 4, 'py/geo/region_' || r || '.py#Region' || r, 'py/geo/region_' || r || '.py', 'import-binding' FROM n
+  UNION ALL SELECT 'calls', 'py/geo/nation_' || n || '.py', 'Nation' || n || '.name', 'self.title', 6, 'py/geo/region_' || r || '.py#Region' || r || '.title', 'py/geo/region_' || r || '.py', 'receiver-hint' FROM n
+  UNION ALL SELECT 'extends', 'j/geo/Nation' || n || '.java', 'Nation' || n, 'Region' || r, 3, 'j/geo/Region' || r || '.java#Region' || r, 'j/geo/Region' || r || '.java', 'unique-name' FROM n
+  UNION ALL SELECT 'calls', 'j/geo/Nation' || n || '.java', 'Nation' || n || '.rank', 'this.rank', 7, 'j/geo/Region' || r || '.java#Region' || r || '.rank', 'j/geo/Region' || r || '.java', 'receiver-hint' FROM n
+  UNION ALL SELECT 'imports', 'web/geo/index.ts', '', './nations', 1, NULL, 'web/geo/nations.ts', 'import-path')"""
+
+
+@query(f"WITH {_supplied()}, {_CODE_SYMBOLS} SELECT file || '#' || local AS qualified_name, file, kind, start_line::INT AS start_line, end_line::INT AS end_line FROM symbols")
+def code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d).symbols.select("qualified_name", "file", "kind", "start_line", "end_line")
+
+
+@query(f"WITH {_supplied()}, {_CODE_EDGES} SELECT kind, from_file, CASE WHEN local = '' THEN '' ELSE from_file || '#' || local END AS from_symbol, to_name, line::INT AS line, to_symbol, to_file, 'resolved' AS status, method FROM edges")
+def code_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d).edges.select("kind", "from_file", "from_symbol", "to_name", "line", "to_symbol", "to_file", "status", "method")
+
+
+@query(f"""WITH {_supplied()}, {_CODE_EDGES}, hits AS (SELECT * FROM edges WHERE to_symbol = 'py/geo/nation_3.py#Nation3')
+SELECT 1 AS depth, from_file AS file, line::INT AS line, kind, from_file || '#' || local AS symbol, to_symbol AS node, 'resolved' AS status FROM hits""")
+def code_callers(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callers(_code(spark, d), "py/geo/nation_3.py#Nation3")
+
+
+@query(f"WITH {_supplied()}, {_CODE_EDGES} SELECT json_extract_string(o, '$.line')::INT AS line, json_extract_string(o, '$.from') AS moved_from, to_symbol FROM (SELECT to_symbol, json_object('line', 4, 'from', from_file || '#' || local) AS o FROM edges WHERE to_name = 'this.rank')")
+def code_overloads(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that the number of their arguments sends to a base class's declaration."""
+    e = _code(spark, d).edges.filter("overload is not null")
+    return e.select(F.get_json_object("overload", "$.line").cast("int").alias("line"), F.get_json_object("overload", "$.from").alias("moved_from"), "to_symbol")
+
+
+@query(f"WITH {_supplied('CASE WHEN s_suppkey % 10 = 0 THEN (s_nationkey + 1) % 25 ELSE s_nationkey END')}, {_CODE_EDGES} SELECT kind, from_file, to_name, line::INT AS line, to_symbol, to_file, method FROM edges")
+def code_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The edges after every tenth supplier has moved: only the changed files are parsed again."""
+    before = refresh.snapshot(code.files_of(generated.contents(spark, d)))
+    after = refresh.applied(before, code.files_of(generated.contents(spark, d, moved=True)))
+    return after.corpus.edges.select("kind", "from_file", "to_name", "line", "to_symbol", "to_file", "method")
+
+
+@query(f"""WITH {_WEB} SELECT from_file, from_symbol, to_name, line, to_symbol, sha256(a.html) AS source_hash, substr(to_symbol, 1, strpos(to_symbol, '#') - 1) AS target_file, sha256(b.html) AS target_hash, 'name-heuristic-or-unknown-provenance' AS uncertainty
+FROM solved JOIN p a ON a.path = from_file JOIN p b ON b.path = substr(to_symbol, 1, strpos(to_symbol, '#') - 1)""")
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of the links that a name resolves, with the contents of both ends."""
+    return evidence.receipts(_web(spark, d)).select("from_file", "from_symbol", "to_name", "line", "to_symbol", "source_hash", "target_file", "target_hash", "uncertainty")
