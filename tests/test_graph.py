@@ -90,6 +90,33 @@ def test_stored_index_gives_the_same_scores(c, question):
     assert repr(key(search.scored(c, question))) == repr(key(search.scored(c, question, index=index)))
 
 
+def test_map_card(c):
+    from quillgraph.operators import card
+
+    whole = card.map_card(c, "demo", stale=2)
+    lines = whole.split("\n")
+    assert lines[0] == "demo | files 5 | symbols 6 | edges 7 | stale: 2 files" and "hotspots:" in lines and lines[-1] != "hotspots:"
+    assert "  a.py#f (in 2 from 2 files, out 0) a.py:1" in lines and not whole.startswith("dropped")
+    last = len(whole)
+    while last > 60:
+        small = card.map_card(c, "demo", last - 1, stale=None)
+        assert len(small) <= last - 1 and small.startswith("demo | files 5") and "unavailable" in small
+        assert "dropped: " in small or small.endswith("…") or len(small) < len(whole)
+        last = min(len(small), last - 40)
+    # Hotspots go before hubs, hubs before folders.
+    small = card.map_card(c, "demo", len(whole) - 10, stale=2)
+    assert "hub " in small and "hotspot lines" in small
+    assert card.map_card(c, "demo", 0) == "" and len(card.map_card(c, "demo", 5)) == 5
+    with pytest.raises(ValueError):
+        card.map_card(c, "demo", -1)
+
+
+def test_receipts(c):
+    got = {(r["from_symbol"], r["line"]): (r["source_hash"], r["target_hash"], r["uncertainty"]) for r in evidence.receipts(c).collect()}
+    assert got["b.py#g", 2] == ("b.py", "a.py", None) and got["b.py#g", 4][2] == "receiver-hint-not-runtime-type-proof"
+    assert ("c.py#main", 2) in got and len(got) == 5
+
+
 def test_diff():
     text = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
     d = changes.parse_diff(text)[0]
