@@ -86,8 +86,9 @@ def bucket(gram, bits=15):
     return (h * 0x9E3779B1 & full) >> (32 - bits)
 
 
-def naive_bayes(learn, texts):
-    """The most likely language of each text, from whole counts; learn: (text, language)."""
+def naive_bayes(learn, texts, scores=False):
+    """The most likely language of each text, from whole counts; learn: (text, language). With ``scores`` also the
+    probability when the evidence is flattened to a hundred n-grams."""
     import math
 
     counts, docs = defaultdict(Counter), Counter()
@@ -102,10 +103,70 @@ def naive_bayes(learn, texts):
         for g, n in grams(t).items():
             own[bucket(g)] += n
         score = {lang: math.log(docs[lang] / len(learn)) + sum(n * math.log((counts[lang][b] + 0.5) / (total[lang] + 0.5 * (1 << 15))) for b, n in own.items()) for lang in docs}
-        out.append(max(sorted(score), key=score.get) if any(c.isalpha() for c in t or "") else "und")
+        best = max(sorted(score), key=score.get)
+        lang = best if any(c.isalpha() for c in t or "") else "und"
+        flat = min(1.0, 100 / max(1, sum(own.values())))
+        out.append((lang, 1 / sum(math.exp((s - score[best]) * flat) for s in score.values()) if lang != "und" else 0.0) if scores else lang)
     return out
 
 
+def leaks(text, items, least=0.5):
+    """Whether a text contains an item of three words or more: each is aligned with all of it."""
+    plain = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x.lower()) for x in (t or "").split()) if w]
+    w = plain(text)
+    return any(alignment(i, w) >= least * 2 * len(i) for i in map(plain, items) if len(i) >= 3)
+
+
+def copies(rows):
+    """How often systematic sampling takes each (id, text, source): sources weigh 5, 2, 1 by name, none more than twice its size."""
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    size = lambda t: len(re.findall(WORD, t or ""))
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    goal, open_ = {}, set(sizes)
+    while open_:
+        level = (1.5 * sum(sizes.values()) - sum(goal.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] >= 2 * sizes[s]}
+        goal |= {s: 2.0 * sizes[s] if over else level * weight[s] for s in over or open_}
+        open_ -= over or set(open_)
+    out = {}
+    for s in sizes:
+        u = int(md5("mix:" + ("null:" if s is None else "of:" + s))[:8], 16) / 2**32
+
+        def place(row):
+            i, t, _ = row
+            bits = bin(size(t))[2:]
+            tie = md5(t or "")
+            return len(bits) * 4 + int((bits[1:3] + "00")[:2], 2), int(md5(f"{'' if i is None else i}:{tie}")[:8], 16) % 256, size(t), i is None, i, tie
+
+        rate = goal[s] / sizes[s] if sizes[s] else 0.0
+        for r, row in enumerate(sorted((x for x in rows if x[2] == s), key=place), 1):
+            out[row] = int(r * rate + u) - int((r - 1) * rate + u)
+    return out
+
+
+def compressed(text):
+    """Whether the bands of compression keep a text: its whole, and all but a fifth of its chunks."""
+    import zstandard
+
+    from quillgraph.llm import quality_rules as q
+
+    def inside(data):
+        low, high = next((a, b) for upto, a, b in q.BANDS if len(data) <= upto)
+        return low <= len(data) / len(zstandard.ZstdCompressor(level=q.LEVEL).compress(data)) <= high
+
+    data = text.encode()
+    chunks = [data[i : i + 2_048] for i in range(0, len(data), 2_048)]
+    if len(chunks) > 1 and len(chunks[-1]) < 1_024:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    odd = sum(not inside(c) for c in chunks) if len(data) >= 4_096 else 0
+    return inside(data) and odd <= 0.2 * len(chunks)
+
+
 def article(html):
     """The blocks of a page's one article element, read with the standard library's parser."""
     from html.parser import HTMLParser

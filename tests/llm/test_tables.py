@@ -127,6 +127,47 @@ def test_equals_duckdb(spark, name):
     assert sorted((tuple(map(plain, r)) for r in got.select(*names).collect()), key=repr) == want
 
 
+def test_quality_rules_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op10_quality_rules(spark, SF).collect():
+        t = texts[r["doc_id"]] or ""
+        w = re.findall(brute.WORD, t)
+        failed = len(w) < 20 or 100 * brute.repeated_words(w) > 30 * len(w)
+        assert (r["n_words"], r["base_failed"], r["kept"]) == (len(w), failed, not failed and brute.compressed(t)), r["doc_id"]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    words = {"en": "the heather and thin other weather with thorn that".split(), "fr": "le chien dans les élans où été vient une".split()}
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    items = [" ".join("".join(r.choices("bcdfgaeiou", k=5)) for _ in range(n)) for n in (24, 15, 2)]
+    rows = []
+    for i in range(70):
+        lang = "en" if i % 3 else "fr"
+        rows.append([i, " ".join(x + r.choice(["", "", "s", "er"]) for x in r.choices(words[lang], k=r.randint(30, 90))) + f" end{i}", lang, [None, "a", "b", "c"][i % 4]])
+    rows += [[100 + i, rows[i * 7][1] + " more", rows[i * 7][2], "a"] for i in range(8)] + [[120, rows[3][1], "en", None]]
+    rows += [[200, "text before " + items[0] + " and after", "en", "a"], [201, " ".join(w if k % 6 else "thorn" for k, w in enumerate(items[1].split())), "en", "b"], [202, rows[4][1].replace("the", items[2], 1), "en", "b"]]
+    rows += [[300, f'the weather and token = "{key}" with the thorn', "en", "c"], [301, "12 34 !", "en", "c"], [302, None, "en", "a"], [303, "", None, "a"]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    learn = [(t, lang) for _, t, lang, _ in rows if t is not None and lang is not None]
+    said = brute.naive_bayes(learn, [t for _, t, _, _ in rows], scores=True)
+    kept = [x for x, (lang, score) in zip(rows, said, strict=True) if lang != "und" and score >= 0.5]
+    first = brute.near_groups([(x[0], x[1]) for x in kept], 5, 80, 100)
+    kept = [x for x in kept if first[x[0]][1] == x[0]]
+    kept = [x for x in kept if not brute.leaks(x[1], items)]
+    kept = [(i, t.replace(key, "<SECRET>"), s) for i, t, _, s in kept]
+    want = sorted((i, t, k) for (i, t, _), n in brute.copies(kept).items() for k in range(1, n + 1))
+    assert 40 < len({w[0] for w in want}) and not {w[0] for w in want} & {120, 200, 201, 301, 302, 303}
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((x["doc_id"], x["text"], x["copy"]) for x in got.collect()) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     from pyspark.sql import functions as F
 
