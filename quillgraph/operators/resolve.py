@@ -199,15 +199,15 @@ def _unique_holders(symbols: DataFrame, language: DataFrame) -> DataFrame:
     return s.groupBy("fam", F.col("name").alias("word")).agg(one.alias("q3"), F.lit(True).alias("known"))
 
 
-def resolved(p) -> DataFrame:
-    """The edges of a parsed body of code (see ``sources.code.Parsed``), each with its evidence."""
+def resolved(p, only: DataFrame | None = None) -> DataFrame:
+    """The edges of a parsed body of code (see ``sources.code.Parsed``), each with its evidence; of the files ``only`` (file), if given."""
     from quillgraph.corpus import EDGES, deduplicated_edges
     from quillgraph.operators import java_types, overloads
     from quillgraph.plans.shared import cut
 
     none = F.lit(None).cast("string")
     language = p.files.select(F.col("path").alias("file"), "language")
-    raw = cut(p.raw.dropDuplicates())
+    raw = cut((p.raw if only is None else p.raw.join(only, "file", "left_semi")).dropDuplicates())
     sources = raw.filter("source is not null").select("file", "language", "source").unionAll(p.exports.select("file", "language", "source"))
     bases = p.symbols.filter("size(heritage) > 0").select("file", F.concat("file", F.lit("#"), "local_name").alias("holder"), F.explode("heritage").alias("h")).select("file", "holder", F.col("h.name").alias("written"), F.col("h.binding").alias("how"), F.col("h.source").alias("source"), F.col("h.imported").alias("imported"))
     # A base that is written without a binding may be the only type of its name.

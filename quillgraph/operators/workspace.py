@@ -28,7 +28,7 @@ RUST_STD = ("std", "core", "alloc", "proc_macro", "test")
 LOCKS = {"npm": ("pnpm-lock.yaml", "package-lock.json", "yarn.lock"), "python": ("uv.lock", "poetry.lock", "Pipfile.lock", "requirements"), "go": ("go.mod", "go.sum"), "cargo": ("Cargo.lock",)}
 # End of the fixed values.
 
-_MANIFEST = r"(^|/)((ts|js)config[^/]*\.json|package\.json|go\.mod|go\.sum|Cargo\.(toml|lock)|pyproject\.toml|setup\.(py|cfg)|pnpm-lock\.yaml|package-lock\.json|yarn\.lock|uv\.lock|poetry\.lock|Pipfile\.lock|requirements[^/]*\.txt)$"
+MANIFEST = r"(^|/)((ts|js)config[^/]*\.json|package\.json|go\.mod|go\.sum|Cargo\.(toml|lock)|pyproject\.toml|setup\.(py|cfg)|pnpm-lock\.yaml|package-lock\.json|yarn\.lock|uv\.lock|poetry\.lock|Pipfile\.lock|requirements[^/]*\.txt)$"
 
 
 def joined(base: str, path: str) -> str | None:
@@ -225,14 +225,14 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if re.search(_MANIFEST, path):
+                if re.search(MANIFEST, path):
                     rows += manifest_facts(path, text or "")
                 else:
                     # A crate's root may give others a crate under a name of its own.
                     rows += [(path.rpartition("/")[0], "alias", m[2], m[1]) for m in re.finditer(r"^\s*pub(?:\([^)]*\))?\s+(?:extern\s+crate|use)\s+(\w+)\s+as\s+(\w+)\s*;", text or "", re.M)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=names)
 
-    wanted = files.filter(F.col("path").rlike(_MANIFEST) | (F.col("path").rlike(r"(^|/)lib\.rs$"))).select("path", "text")
+    wanted = files.filter(F.col("path").rlike(MANIFEST) | (F.col("path").rlike(r"(^|/)lib\.rs$"))).select("path", "text")
     return cut(wanted.mapInArrow(run, FACTS))
 
 

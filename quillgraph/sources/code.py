@@ -182,10 +182,10 @@ def parsed(files: DataFrame, nested: DataFrame | None = None) -> Parsed:
     return Parsed(files, s, raw, rows("exports").select("file", "x.*").join(language, "file"), rows("routes").select("file", "x.method", "x.path", "x.line", "x.handler"), told)
 
 
-def corpus(files: DataFrame, nested: DataFrame | None = None) -> Corpus:
-    """The corpus of a body of code: extraction, then resolution."""
+def corpus(files: DataFrame, nested: DataFrame | None = None, edges: DataFrame | None = None) -> Corpus:
+    """The corpus of a body of code: extraction, then resolution, unless its edges are known."""
     from quillgraph.operators import resolve
 
     p = parsed(files, nested)
     symbols = p.symbols.select("qualified_name", "file", "name", "kind", "start_line", "end_line", "start_col", "end_col", "signature", "ord", "shadowed", "exported")
-    return Corpus(p.files.drop("diagnostic"), symbols, resolve.resolved(p), p.routes)
+    return Corpus(p.files.drop("diagnostic"), symbols, resolve.resolved(p) if edges is None else edges, p.routes)

@@ -1,8 +1,9 @@
 """Keeping a corpus of code up to date: only new and changed files are parsed again.
 
-A snapshot holds the files and what extraction found in each; a refresh takes over what
-belongs to unchanged files and parses the rest. Names are resolved over the whole of it,
-as a new definition may change what any file's names mean; so a refresh equals a rebuild.
+A snapshot holds the files, what extraction found in each, and the edges. A refresh takes over what belongs to unchanged
+files and parses the rest. If no file came or went and what the changed ones offer to others (definitions, exports,
+imports) is as before, only their own names are resolved again; else names are resolved over the whole, as a new
+definition may change what any file's names mean. Either way a refresh equals a rebuild.
 """
 
 from __future__ import annotations
@@ -17,18 +18,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillgraph.corpus import Corpus
+from quillgraph.operators.java_types import packages
+from quillgraph.operators.workspace import MANIFEST
 from quillgraph.plans.shared import cut, fresh_path
 from quillgraph.sources import code
 
+#: Files whose text other files' names depend on, beyond what is extracted.
+FAR_TEXT = MANIFEST + r"|\.d\.ts$|\.go$|\.rs$"
+
 
 @dataclass(frozen=True)
 class Snapshot:
+    """``edges``: those that are known already (resolved with the corpus if None)."""
+
     files: DataFrame
     nested: DataFrame
+    edges: DataFrame | None = None
 
     @cached_property
     def corpus(self) -> Corpus:
-        return code.corpus(self.files, self.nested)
+        return code.corpus(self.files, self.nested, self.edges)
 
 
 def snapshot(files: DataFrame) -> Snapshot:
@@ -37,15 +46,36 @@ def snapshot(files: DataFrame) -> Snapshot:
     return Snapshot(files, cut(code.extracted(files)))
 
 
+def _offered(nested: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, offers): what others may take from a file: definitions, exports, imports, the package of Java, and whether it parsed cleanly."""
+    imports = F.array_sort(F.transform(F.filter("raw", lambda x: x["kind"] == "imports"), lambda x: x["to_name"]))
+    p = packages(files).withColumnRenamed("file", "path")
+    return nested.join(p, "path", "left").select("path", F.to_json(F.struct("symbols", "exports", imports.alias("imports"), "package", "diagnostics")).alias("offers"))
+
+
 def applied(before: Snapshot, files: DataFrame) -> Snapshot:
     """The snapshot of ``files``, with unchanged files taken over from the one before (by path, language and hash)."""
     files = cut(files)
     keys = ["path", "language", "hash"]
-    same = files.select(*keys).join(before.files.select(*keys), keys, "left_semi").select("path")
+    same = cut(files.select(*keys).join(before.files.select(*keys), keys, "left_semi").select("path"))
     if same.isEmpty():
         return Snapshot(files, cut(code.extracted(files)))
     kept = before.nested.join(same, "path", "left_semi")
-    return Snapshot(files, cut(kept.unionByName(code.extracted(files.join(same, "path", "left_anti")))))
+    fresh = files.join(same, "path", "left_anti")
+    nested = cut(kept.unionByName(code.extracted(fresh)))
+    touched = cut(fresh.select("path"))
+    moved = files.select("path").join(before.files.select("path"), "path", "left_anti").unionAll(before.files.select("path").join(files.select("path"), "path", "left_anti"))
+    if not touched.filter(F.col("path").rlike(FAR_TEXT)).isEmpty() or not moved.isEmpty():
+        return Snapshot(files, nested)
+    old, new = (_offered(n.join(touched, "path", "left_semi"), f.join(touched, "path", "left_semi")) for n, f in ((before.nested, before.files), (nested, files)))
+    if not old.join(new, ["path", "offers"], "left_anti").unionByName(new.join(old, ["path", "offers"], "left_anti")).isEmpty():
+        return Snapshot(files, nested)
+    from quillgraph.operators import resolve
+
+    again = touched.withColumnRenamed("path", "file")
+    rest = before.corpus.edges.join(again.withColumnRenamed("file", "from_file"), "from_file", "left_anti").select(before.corpus.edges.columns)
+    own = resolve.resolved(code.parsed(files, nested), again)
+    return Snapshot(files, nested, cut(rest.unionByName(own)))
 
 
 TABLES = ("files", "symbols", "edges", "routes")
@@ -122,10 +152,10 @@ def followed(contents: DataFrame, publish: Callable[[Corpus, int], None], state:
         if number == 0:
             now = snapshot(files)
         else:
-            old = Snapshot(session.read.parquet(f"{before}/files"), session.read.parquet(f"{before}/nested"))
+            old = Snapshot(*(session.read.parquet(f"{before}/{name}") for name in ("files", "nested", "edges")))
             now = applied(old, old.files.join(new.select("path"), "path", "left_anti").unionByName(files))
-        for name in ("files", "nested"):
-            getattr(now, name).write.mode("overwrite").parquet(f"{state}/{number}/{name}")
+        for name, table in (("files", now.files), ("nested", now.nested), ("edges", now.corpus.edges)):
+            table.write.mode("overwrite").parquet(f"{state}/{number}/{name}")
         publish(now.corpus, number)
 
     return contents.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/progress").trigger(**(trigger or {"availableNow": True})).start()

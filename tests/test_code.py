@@ -81,6 +81,26 @@ def test_incremental_equals_full(spark):
     assert rows(changes.freshness(before.corpus.files, now), "path", "change") == [("pkg/a.py", "changed"), ("pkg/c.py", "added"), ("web/b.ts", "deleted")]
 
 
+def test_partial_resolution_equals_full(spark, monkeypatch):
+    from quillgraph.operators import resolve
+    from quillgraph.streaming import refresh
+
+    seen = []
+    whole = resolve.resolved
+    monkeypatch.setattr(resolve, "resolved", lambda p, only=None: (seen.append(only is None or sorted(r[0] for r in only.collect())), whole(p, only))[1])
+    before = refresh.snapshot(files(spark, PROJECT))
+    before.corpus.edges.count()
+    # A body changes, what the file offers doesn't: names of this file alone are resolved again.
+    body = PROJECT | {"pkg/b.py": PROJECT["pkg/b.py"].replace("    ff()", "    ff(), K()")}
+    step = refresh.applied(before, files(spark, body))
+    text = lambda d: sorted(repr(tuple(r)) for r in d.collect())
+    assert seen == [True, ["pkg/b.py"]] and text(step.corpus.edges) == text(whole(code.parsed(files(spark, body))))
+    # A definition is new: all is resolved again.
+    grown = body | {"pkg/a.py": PROJECT["pkg/a.py"] + "\n\ndef nowhere():\n    pass\n"}
+    refresh.applied(step, files(spark, grown)).corpus.edges.count()
+    assert seen[2:] == [True]
+
+
 def test_empty(spark):
     c = code.corpus(files(spark, {"x.md": "prose"}))
     assert c.symbols.count() == c.edges.count() == 0
