@@ -34,6 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that ``cut`` made. Only for those that no plan still to be run reads."""
+    for df in tables:
+        if df is not None:
+            kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+            if kept.isDefined():
+                _removed(df.sparkSession, kept.get())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a table that was written to the shared folder."""
+    _removed(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
