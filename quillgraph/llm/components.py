@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.plans.shared import cut
+from quillgraph.plans.shared import cut, drop
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     e = cut(e.filter(F.col("p") & F.col("q") & (F.col("u") > F.col("v"))).select("u", "v").distinct())
     seen = None
     for _ in range(most):
-        e = cut(_star(_star(e, large=True), large=False))
+        before, e = e, cut(_star(_star(e, large=True), large=False))
+        drop(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

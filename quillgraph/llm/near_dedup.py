@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from quillgraph.llm import text as tx
 from quillgraph.llm.components import components
-from quillgraph.plans.shared import cut, release
+from quillgraph.plans.shared import cut, drop, release
 
 #: Retained values of a sketch.
 K = 24
@@ -203,13 +203,15 @@ def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: in
     share = t / (1 + t)
     entries = cut(_feasible(entries, t).withColumn("comp", F.col("rep")))
     links = comp = None
-    step = 0
+    step, spent = 0, []
     while True:
         release(entries.sparkSession)
         lists = _by_list(entries, F.min("comp").alias("p"), F.max("comp").alias("q")).agg(F.min("p").alias("p"), F.max("q").alias("q"), F.collect_set("part").alias("parts"))
         open_lists = cut(lists.filter("p < q").select("v", "parts"))
-        entries = cut(entries.join(open_lists.select("v", F.explode("parts").alias("part")), ["v", "part"], "left_semi"))
+        before, entries = entries, cut(entries.join(open_lists.select("v", F.explode("parts").alias("part")), ["v", "part"], "left_semi"))
+        drop(before if step == 0 else None, *spent)
         if entries.isEmpty():
+            drop(entries, open_lists, comp)
             return links
         many = ROUNDS[min(step, len(ROUNDS) - 1)] * (1 if step < len(ROUNDS) else 4 ** (step - len(ROUNDS) + 1))
         salt = F.pmod(F.xxhash64("rep"), F.lit(many))
@@ -219,8 +221,10 @@ def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: in
         met = entries.join(dealt, ["v", "part"]).filter((F.col("comp") != F.col("lc")) & ~_apart(t, "n", "ln") & (F.col("n") - F.col("u") >= need) & (F.col("ln") - F.col("lu") >= need))
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         new = cut(_confirmed(pairs, sets, num, den))
+        spent = [entries, open_lists, leaders]
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
+            spent.append(comp)
             comp = cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("c2")))
         rest = entries.join(leaders.select("v", F.col("lp").alias("part"), F.col("lead").alias("rep")), ["v", "part", "rep"], "left_anti")
         entries = rest if comp is None else rest.join(comp, "rep", "left").select("v", "part", "rep", "n", "u", F.coalesce("c2", "comp").alias("comp"))
@@ -254,6 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = hits.groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("kept") * floor))).select("rep")
     lists = cut(hits.join(able, "rep", "left_semi").select("v", "rep", "n", "kept", "size"))
 
+    drop(hits)
     del hits, able
     release(spark)
     pairs = cut(_small_pairs(lists.filter(F.col("size") <= SMALL), reps, t, k, floor))
@@ -261,6 +266,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = lists.filter(F.col("size") > SMALL).groupBy("rep").agg(F.count(F.lit(1)).alias("met"), F.max("kept").alias("kept"))
     far = cut(often.filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("kept") * floor))).select("rep"))
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(far).distinct()
+    drop(lists)
     del lists, often
     sets = cut(_full_sets(texts.join(wanted, "doc_id", "left_semi"), words))
     release(spark)
@@ -271,6 +277,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         release(spark)
         more = _long_lists(_prefixes(alike, sets, t), sets, t, num, den)
         links = links if more is None else links.unionAll(more)
+    drop(sets, pairs, far)
     comp = components(links).withColumnRenamed("node", "rep")
     classes = reps.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("sketch").join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
