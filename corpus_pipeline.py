@@ -1,7 +1,8 @@
 """Documents to training mix: language, near-duplicates, benchmark leaks, secrets, source weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
-What a stage returns is written as Parquet to the shared folder and read again.
+What a stage returns is written as Parquet to the shared folder and read again; what the
+stage before it wrote is removed then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontamination, language_id, mixing, near_dedup, secret_scan
-from quillgraph.plans.shared import fresh_path
+from quillgraph.plans.shared import drop_path, fresh_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs
