@@ -65,6 +65,16 @@ _IMPORTS = {
     "bash": re.compile(r"^\s*(?:source|\.)\s+(?P<source>\S+)", re.M),
 }
 _IMPORTS |= {"typescript": _IMPORTS["javascript"], "tsx": _IMPORTS["javascript"], "kotlin": _IMPORTS["java"], "scala": _IMPORTS["java"], "cpp": _IMPORTS["c"], "objc": _IMPORTS["c"]}
+#: A variable, parameter or field with its declared type.
+_DECLARED = {
+    "java": re.compile(rf"\b(?P<type>[A-Z]\w*)(?:<[\w<>,? ]*>)?\s+(?P<var>[a-z_]\w*)\s*(?=[=;,):])"),
+    "go": re.compile(r"\b(?P<var>[a-z_]\w*)\s+\*?(?P<type>[A-Z]\w*)\b(?!\.)"),
+    "rust": re.compile(r"\b(?P<var>[a-z_]\w*)\s*:\s*(?:&\s*)?(?:'\w+\s+)?(?:mut\s+)?(?P<type>[A-Z]\w*)\b(?!::|<)"),
+    "typescript": re.compile(rf"\b(?P<var>{ID})\??\s*:\s*(?P<type>[A-Z][\w$]*)\b(?![.<\[])"),
+}
+_DECLARED |= {"c_sharp": _DECLARED["java"], "tsx": _DECLARED["typescript"]}
+#: Languages where a type of the same package or namespace needs no import.
+_FREE_TYPES = ("java", "c_sharp", "go", "rust")
 _VERBS = r"(?P<verb>get|post|put|delete|patch|options|head|all|use)"
 _EXPRESS = re.compile(rf"\b(?P<app>{ID})\.{_VERBS}\(\s*(?:[\"'`](?P<path>[^\"'`]*)[\"'`]\s*,)?(?P<rest>[^;\n]*)")
 _NEST = re.compile(rf"^\s*@(?P<verb>Get|Post|Put|Delete|Patch|Options|Head|All|Controller)\(\s*(?:[\"'`](?P<path>[^\"'`]*)[\"'`])?")
@@ -250,6 +260,16 @@ def extract(path: str, text: str, language: str) -> dict:
     made = {m[1]: m[2] for m in re.finditer(rf"(?:const|let|var|final|auto)\s+({ID})\s*(?::[^=\n]+)?=\s*new\s+({ID})", clean)}
     made |= {m[2]: m[1] for m in re.finditer(rf"\b([A-Z]\w*)\s+({ID})\s*=\s*new\s+\1\b", clean)}
     made |= {m[1]: m[2] for m in re.finditer(rf"({ID})\s*:=\s*&?([A-Z]\w*)\{{", clean)} | {m[1]: m[2] for m in re.finditer(rf"let\s+(?:mut\s+)?({ID})\s*=\s*([A-Z]\w*)::new\(", clean)}
+    # Declared types of variables, parameters and fields, where all declarations of a name in the file agree.
+    typed: dict[str, set[str]] = {}
+    if language in _DECLARED:
+        for m in _DECLARED[language].finditer(clean):
+            typed.setdefault(m["var"], set()).add(m["type"])
+    for name, kinds in typed.items():
+        if len(kinds) == 1 and name not in top and name not in _NOT_CALLS:
+            made.setdefault(name, next(iter(kinds)))
+        elif len(kinds) > 1:
+            made.pop(name, None)
     params = re.compile(rf"({ID})")
 
     def bind(name: str, line: int) -> dict:
@@ -261,6 +281,8 @@ def extract(path: str, text: str, language: str) -> dict:
             if head in top:
                 return {"binding": "local", "imported": top[head]}
             return {}
+        if len(parts) == 3 and head in ("this", "self") and parts[1] in typed and parts[1] in made:
+            return bind(f"{parts[1]}.{parts[2]}", line)
         if len(parts) != 2:
             return {"binding": "blocked", "reason": "unknown-receiver"} if js or language in ("go", "rust", "java", "c_sharp") else {}
         if head in ("this", "self", "Self"):
@@ -273,6 +295,8 @@ def extract(path: str, text: str, language: str) -> dict:
                 return {"binding": "member", "owner": "import", "source": bound[c][0], "imported": bound[c][1], "member": parts[1], "mode": "instance", "basis": "constructor"}
             if c in top:
                 return {"binding": "member", "owner": "local", "source": "", "imported": top[c], "member": parts[1], "mode": "instance", "basis": "constructor"}
+            if language in _FREE_TYPES:
+                return {"binding": "member", "owner": "local", "source": "", "imported": c, "member": parts[1], "mode": "instance", "basis": "annotation"}
         if head in bound:
             if bound[head][1] == "*":
                 return {"binding": "import", "source": bound[head][0], "imported": parts[1]}

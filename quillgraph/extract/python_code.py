@@ -15,6 +15,8 @@ VERBS = frozenset("delete get head options patch post put".split())
 #: Package to (verbs, mounts): only receivers that come from these make routes.
 FRAMEWORKS = {"flask": (VERBS | {"route"}, {"register_blueprint", "add_url_rule"}), "fastapi": (VERBS | {"api_route", "websocket"}, {"include_router"})}
 LONGEST_NAME, LONGEST_PATH = 300, 2048
+#: Steps from a name to a receiver that are followed.
+CHAIN = 6
 
 
 def signature(line: str) -> str:
@@ -66,6 +68,7 @@ class Extractor(ast.NodeVisitor):
         self.owner: list[str] = []
         self.classes: list[str] = []
         self.this: list[tuple[str, str, str] | None] = []
+        self.fields: list[dict[str, list[dict | None]]] = []
 
     # Bindings of a scope are collected before its body is walked.
     def _collect(self, body: list[ast.stmt], scope: _Scope, prefix: str) -> None:
@@ -102,7 +105,7 @@ class Extractor(ast.NodeVisitor):
         for name, values in plain.items():
             value = values[0]
             made = dotted(value.func) if isinstance(value, ast.Call) else dotted(value) if isinstance(value, (ast.Name, ast.Attribute)) and len(values) == 1 and isinstance(value, ast.Name) and value.id[:1].isupper() else ""
-            scope.bind(name, ("instance", made, "constructor") if made and len(values) == 1 and isinstance(value, ast.Call) else ("blocked", "local-value"))
+            scope.bind(name, ("instance", made, "constructor", value) if made and len(values) == 1 and isinstance(value, ast.Call) else ("blocked", "local-value"))
 
     def _meaning(self, name: str) -> tuple:
         found = self.scope.find(name)
@@ -145,6 +148,61 @@ class Extractor(ast.NodeVisitor):
                     return ("import", k[1], k[2], "instance", "constructor")
         return None
 
+    def _chain(self, node: ast.AST, depth: int = 0) -> tuple[tuple, list[str]] | None:
+        """(root, steps) of an expression: what a name means, then ``()`` for each call and ``.name`` for each attribute."""
+        if depth > CHAIN:
+            return None
+        if isinstance(node, ast.Await):
+            return self._chain(node.value, depth + 1)
+        if isinstance(node, ast.Call):
+            inner = self._chain(node.func, depth + 1)
+            return inner and (inner[0], [*inner[1], "()"])
+        if isinstance(node, ast.Attribute):
+            inner = self._chain(node.value, depth + 1)
+            if inner and inner[0][0] == "module" and not inner[1]:
+                return ("import", inner[0][1], node.attr, "class"), []
+            return inner and (inner[0], [*inner[1], "." + node.attr])
+        if isinstance(node, ast.Name):
+            m = self._meaning(node.id)
+            if m[0] == "instance" and len(m) > 3 and not (self.this and self.this[-1] and node.id == self.this[-1][0]):
+                return self._chain(m[3], depth + 1)
+            o = self._owner_of(node)
+            return o and (o[:4], [])
+        return None
+
+    def _type(self, node: ast.AST | None) -> dict | None:
+        """What an annotation or a construction names: binding, source, imported; ``this`` for the instance itself."""
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                node = ast.parse(node.value, mode="eval").body
+            except SyntaxError:
+                return None
+        if isinstance(node, ast.Name) and (node.id == "Self" or self.this and self.this[-1] and node.id == self.this[-1][0]):
+            return {"binding": "this", "source": None, "imported": None}
+        if isinstance(node, (ast.Name, ast.Attribute)):
+            b = self._bind(node)
+            if b["binding"] in ("local", "import"):
+                return {"binding": b["binding"], "source": b.get("source"), "imported": b["imported"]}
+        return None
+
+    def _returned(self, n: ast.FunctionDef | ast.AsyncFunctionDef) -> dict | None:
+        """What a function is annotated to return, else what all its return statements construct."""
+        if n.returns is not None:
+            return self._type(n.returns)
+        found: list[dict | None] = []
+        todo: list[ast.AST] = list(n.body)
+        while todo:
+            x = todo.pop()
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+                continue
+            if isinstance(x, (ast.Yield, ast.YieldFrom)):
+                return None
+            if isinstance(x, ast.Return):
+                v = x.value
+                found.append(self._type(v.func) if isinstance(v, ast.Call) and isinstance(v.func, (ast.Name, ast.Attribute)) and dotted(v.func).split(".")[-1][:1].isupper() else self._type(v) if isinstance(v, ast.Name) and self.this and self.this[-1] and v.id == self.this[-1][0] else None)
+            todo += ast.iter_child_nodes(x)
+        return found[0] if found and all(f == found[0] for f in found) else None
+
     def _bind(self, node: ast.AST) -> dict:
         if isinstance(node, ast.Name):
             m = self._meaning(node.id)
@@ -155,6 +213,10 @@ class Extractor(ast.NodeVisitor):
             return {"binding": "blocked", "reason": m[1] if m[0] == "blocked" else "local-value"}
         if isinstance(node, ast.Attribute):
             o = self._owner_of(node.value)
+            chain = self._chain(node.value) if o is None or o[4] == "constructor" else None
+            if chain and chain[1] not in ([], ["()"]) or chain and o is None and chain[1]:
+                root = chain[0]
+                return {"binding": "member", "owner": "return", "root": root[0], "source": root[1], "imported": root[2], "member": node.attr, "mode": root[3], "basis": "return", "chain": chain[1]}
             if o is None:
                 return {"binding": "blocked", "reason": "unknown-receiver"}
             if o[0] == "module":
@@ -171,7 +233,7 @@ class Extractor(ast.NodeVisitor):
         line = self.lines[node.lineno - 1] if node.lineno <= len(self.lines) else ""
         col = len(line.encode()[: node.col_offset].decode(errors="ignore"))
         last = self.lines[node.end_lineno - 1] if node.end_lineno <= len(self.lines) else ""
-        self.symbols.append({"local_name": local, "name": name, "kind": kind, "start_line": node.lineno, "end_line": node.end_lineno, "start_col": col, "end_col": len(last.encode()[: node.end_col_offset].decode(errors="ignore")), "signature": signature(line), "member_kind": member, "heritage": heritage or [], "min_args": None, "max_args": None, "scope": self.scope.name, "exported": self.scope.kind == "module"})
+        self.symbols.append({"local_name": local, "name": name, "kind": kind, "start_line": node.lineno, "end_line": node.end_lineno, "start_col": col, "end_col": len(last.encode()[: node.end_col_offset].decode(errors="ignore")), "signature": signature(line), "member_kind": member, "heritage": heritage or [], "min_args": None, "max_args": None, "returns": None, "fields": [], "scope": self.scope.name, "exported": self.scope.kind == "module"})
 
     def run(self, tree: ast.Module) -> None:
         self._collect(tree.body, self.scope, "")
@@ -198,6 +260,7 @@ class Extractor(ast.NodeVisitor):
             bound = self._bind(head)
             bases.append({"name": dotted(head), "binding": bound.get("binding"), "source": bound.get("source"), "imported": bound.get("imported")})
         self._symbol(n, n.name, "class", heritage=bases)
+        mine = self.symbols[-1]
         for d in n.decorator_list:
             self._decorator(d)
         local = ".".join([*self.owner, n.name])
@@ -208,8 +271,11 @@ class Extractor(ast.NodeVisitor):
         self.classes.append(local)
         outer, self.scope = self.scope, _Scope("class", local, self.scope)
         self._collect(n.body, self.scope, local + ".")
+        self.fields.append({x.target.id: [self._type(x.annotation)] for x in n.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name)})
         for x in n.body:
             self.visit(x)
+        # A field counts if all that is assigned to it agrees.
+        mine["fields"] = [{"name": name} | kinds[0] for name, kinds in self.fields.pop().items() if kinds[0] and kinds[0]["binding"] != "this" and all(k == kinds[0] for k in kinds)]
         self.scope = outer
         self.classes.pop()
         self.owner.pop()
@@ -221,6 +287,7 @@ class Extractor(ast.NodeVisitor):
         if in_class:
             member = "static" if "staticmethod" in marks else "class" if "classmethod" in marks else "property" if marks & {"property", "cached_property"} else "unknown" if marks and not any(dotted(d) in ("abstractmethod", "abc.abstractmethod", "override", "overload") or dotted(d).endswith(".setter") for d in n.decorator_list) else "instance"
         self._symbol(n, n.name, "method" if in_class else "function", member)
+        mine = self.symbols[-1]
         for d in n.decorator_list:
             self._decorator(d, ".".join([*self.owner, n.name]))
         self.owner.append(n.name)
@@ -238,6 +305,16 @@ class Extractor(ast.NodeVisitor):
                 continue
             name = dotted(x.annotation) if x.annotation is not None and not isinstance(x.annotation, ast.Constant) else x.annotation.value if isinstance(x.annotation, ast.Constant) and isinstance(x.annotation.value, str) and re.fullmatch(r"[\w.]+", x.annotation.value) else ""
             self.scope.bound[x.arg] = [("instance", name, "annotation")] if name and x.arg not in self.scope.bound else [("blocked", "local-value")]
+        mine["returns"] = self._returned(n)
+        if this and this[2] == "instance" and self.fields:
+            for x in ast.walk(n):
+                t = x.target if isinstance(x, ast.AnnAssign) else x.targets[0] if isinstance(x, ast.Assign) and len(x.targets) == 1 else None
+                if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == this[0]:
+                    value = x.annotation if isinstance(x, ast.AnnAssign) else x.value.func if isinstance(x.value, ast.Call) else x.value
+                    if isinstance(value, ast.Name) and not isinstance(x, ast.AnnAssign) and not isinstance(x.value, ast.Call):
+                        m = self._meaning(value.id)
+                        value = ast.parse(m[1], mode="eval").body if m[0] == "instance" and m[2] == "annotation" else None
+                    self.fields[-1].setdefault(t.attr, []).append(self._type(value))
         for x in [*a.defaults, *(k for k in a.kw_defaults if k)]:
             self.visit(x)
         for x in n.body:

@@ -154,6 +154,52 @@ def members(asked: DataFrame, own: DataFrame, heritage: DataFrame, most: int = H
     return done.groupBy("holder", "member").agg(found.alias("n"), F.min("qualified_name").alias("qualified_name"))
 
 
+#: Steps from a name to a receiver that are followed.
+CHAIN = 6
+
+
+def receivers(chains: DataFrame, symbols: DataFrame, targets: DataFrame, names: DataFrame, heritage: DataFrame, language: DataFrame) -> DataFrame:
+    """(file, how, source, imported, mode, chain, holder): the class of what a chain of calls and attributes gives, null if it isn't sure.
+
+    A step at a time: a call takes what a function returns (or makes an instance of a class), an attribute a member or
+    the declared type of a field. Functions of one name must agree on what they return."""
+    from quillgraph.plans.shared import cut
+
+    holds = ("class", "interface", "struct", "trait", "enum")
+    kinds = symbols.groupBy(F.col("qualified_name").alias("at")).agg(F.first("kind").alias("kind"))
+    meant = lambda df: _classes(df, targets.drop("several", "external"), names, symbols, language)
+    r = symbols.filter("returns is not null").select("file", F.col("qualified_name").alias("callee"), F.col("returns.binding").alias("how"), F.col("returns.source").alias("source"), F.col("returns.imported").alias("imported"))
+    given = meant(r.filter("how <> 'this'")).select("callee", F.col("holder").alias("ret")).unionByName(r.filter("how = 'this'").select("callee", F.lit("this").alias("ret")))
+    declared = symbols.filter("kind in ('function', 'method')").groupBy(F.col("qualified_name").alias("callee")).agg(F.count(F.lit(1)).alias("all"))
+    returns = cut(given.filter("ret is not null").groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ret").alias("kinds"), F.min("ret").alias("ret")).join(declared, "callee").filter("kinds = 1 and n = all").select("callee", "ret"))
+    f = symbols.filter("size(fields) > 0").select("file", "qualified_name", F.explode("fields").alias("x")).select("file", F.col("qualified_name").alias("at"), F.col("x.name").alias("member"), F.col("x.binding").alias("how"), F.col("x.source").alias("source"), F.col("x.imported").alias("imported"))
+    fields = cut(meant(f).filter("holder is not null").select("at", "member", F.col("holder").alias("qualified_name")))
+    own = callables(symbols)
+
+    key = ["file", "how", "source", "imported", "mode", "chain"]
+    s = meant(chains.select(*key).distinct()).withColumn("at", F.col("holder")).drop("holder", "outside").join(kinds, "at", "left")
+    is_class = F.col("kind").isin(*holds)
+    # A variable that was assigned a function's result stands for what that returns.
+    s = s.join(returns.withColumnRenamed("callee", "at"), "at", "left")
+    first = F.when(is_class, F.col("at")).when((F.col("mode") == "instance") & (F.col("ret") != "this"), F.col("ret"))
+    s = cut(s.select(*key, first.alias("holder"), F.when(~is_class & (F.col("mode") != "instance"), F.col("at")).alias("callee"), F.lit(None).cast("string").alias("self")))
+    for k in range(CHAIN + 1):
+        step = F.when(F.size("chain") > k, F.col("chain")[k])
+        s = s.withColumn("step", step)
+        if s.filter("step is not null and (holder is not null or callee is not null)").isEmpty():
+            break
+        asked = s.filter("startswith(step, '.') and holder is not null").select("holder", F.expr("substring(step, 2)").alias("member")).distinct()
+        got = members(asked, own, heritage).filter("n = 1").select("holder", "member", F.col("qualified_name").alias("called"))
+        typed = members(asked, fields, heritage).filter("n = 1").select("holder", "member", F.col("qualified_name").alias("field"))
+        s = s.withColumn("member", F.when(F.startswith("step", F.lit(".")), F.expr("substring(step, 2)"))).join(got, ["holder", "member"], "left").join(typed, ["holder", "member"], "left").join(returns, "callee", "left")
+        call = F.col("step") == "()"
+        back = F.when(F.col("ret") == "this", F.col("self")).otherwise(F.col("ret"))
+        holder = F.when(F.col("step").isNull(), F.col("holder")).when(call & F.col("callee").isNotNull(), back).when(call, F.col("holder")).otherwise(F.col("field"))
+        callee = F.when(F.col("step").isNull(), F.col("callee")).when(~call & F.col("field").isNull(), F.col("called"))
+        s = cut(s.select(*key, holder.alias("holder2"), callee.alias("callee2"), F.col("holder").alias("self")).withColumnsRenamed({"holder2": "holder", "callee2": "callee"}))
+    return s.select(*key, "holder")
+
+
 _AMBIENT = re.compile(r"\b(?P<open>declare\s+global|declare\s+module\s+\"[^\"]*\")\s*\{|\b(?P<module>import\b(?!\s*\()|export\b)|\b(?P<declare>declare\s+)?(?P<kind>function|const|let|var|class|enum|interface|type|namespace|module)\s+(?P<name>[A-Za-z_$][\w$]*)|[{}]")
 _QUOTED = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<!module )\"(?:[^\"\\\n]|\\.)*\"")
 
@@ -245,7 +291,19 @@ def resolved(p, only: DataFrame | None = None) -> DataFrame:
 
     # What a source gives as a whole is a namespace: its members are what the file exports.
     m = rest.filter("binding = 'member'").withColumn("how", F.when(F.col("owner") == "super", "local").otherwise(F.col("owner"))).withColumn("open_file", F.col("to_file").isNull()).drop("to_file")
+    m = m.withColumn("how", F.when(F.col("owner") == "return", F.col("root")).otherwise(F.col("how")))
     m = cut(_classes(m, targets.drop("several", "external"), names, p.symbols, language))
+    chains = m.filter("owner = 'return' or (owner <> 'super' and basis = 'constructor' and language = 'python')").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+    if not chains.isEmpty():
+        given = receivers(chains, p.symbols, targets, names, heritage, language)
+        same = ["file", "how", "source", "imported", "mode", "chain"]
+        g = given.withColumnsRenamed({c: f"g_{c}" for c in [*same, "holder"]})
+        match = F.lit(True)
+        for c in same:
+            match = match & F.coalesce(c, F.array().cast("array<string>") if c == "chain" else F.lit("")).eqNullSafe(F.coalesce(f"g_{c}", F.array().cast("array<string>") if c == "chain" else F.lit("")))
+        follows = (F.col("owner") == "return") | (F.col("basis") == "constructor") & (F.col("language") == "python")
+        m = m.join(g, match, "left").withColumn("holder", F.when(follows & (F.col("owner") != "super"), F.col("g_holder")).otherwise(F.col("holder"))).withColumn("outside", F.col("outside") & (F.col("owner") != "return"))
+        m = cut(m.drop(*[f"g_{c}" for c in [*same, "holder"]]))
     parents = m.filter("owner = 'super'").join(heritage, "holder").select("holder", "member", F.col("base").alias("at")).filter("at is not null").distinct()
     asked = m.filter("owner <> 'super' and holder is not null").select("holder", "member").unionAll(parents.select(F.col("at").alias("holder"), "member")).distinct()
     got = cut(members(asked, callables(p.symbols), heritage))

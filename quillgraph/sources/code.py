@@ -30,8 +30,8 @@ ENDINGS = {
 # Folders that hold no source of the project.
 SKIPPED = frozenset(".git .hg .svn node_modules dist build out coverage __pycache__ .venv venv target .next .turbo .cache .gradle obj .idea".split())
 
-SYMBOL = "struct<local_name:string,name:string,kind:string,start_line:int,end_line:int,start_col:int,end_col:int,signature:string,member_kind:string,min_args:int,max_args:int,types:string,overrides:boolean,scope:string,exported:boolean,heritage:array<struct<name:string,binding:string,source:string,imported:string>>>"
-RAW = "struct<kind:string,to_name:string,line:int,enclosing:string,binding:string,source:string,imported:string,owner:string,member:string,mode:string,basis:string,reason:string,arguments:int,constructs:string>"
+SYMBOL = "struct<local_name:string,name:string,kind:string,start_line:int,end_line:int,start_col:int,end_col:int,signature:string,member_kind:string,min_args:int,max_args:int,types:string,overrides:boolean,returns:struct<binding:string,source:string,imported:string>,fields:array<struct<name:string,binding:string,source:string,imported:string>>,scope:string,exported:boolean,heritage:array<struct<name:string,binding:string,source:string,imported:string>>>"
+RAW = "struct<kind:string,to_name:string,line:int,enclosing:string,binding:string,source:string,imported:string,owner:string,member:string,mode:string,basis:string,reason:string,arguments:int,constructs:string,root:string,chain:array<string>>"
 EXPORT = "struct<kind:string,exported_name:string,source:string,imported_name:string,line:int>"
 ROUTE = "struct<method:string,path:string,line:int,handler:string>"
 EXTRACTED = f"path string, symbols array<{SYMBOL}>, raw array<{RAW}>, exports array<{EXPORT}>, routes array<{ROUTE}>, diagnostics array<string>"

@@ -118,3 +118,21 @@ def test_ambient_names():
     assert resolve.ambient_names('declare const A: string;\nfunction b() {}\ndeclare module "m" { function c(): void }\ndeclare global { interface D {} var e: any }') == {"A", "D", "e"}
     assert resolve.ambient_names("export {};\ndeclare const A: string;\ndeclare global { const G: number }") == {"G"}
     assert resolve.ambient_names("// declare const A: 1\n/* declare const B: 1 */") == set()
+
+
+CHAINS = {
+    "p/a.py": "class Engine:\n    def start(self):\n        return self\n\n    def stop(self):\n        pass\n\n\nclass Car:\n    spare: Engine\n\n    def __init__(self, given: Engine):\n        self.engine = Engine()\n        self.given = given\n\n    def motor(self) -> Engine:\n        return self.engine\n\n    def run(self):\n        self.engine.stop()\n        self.given.start().stop()\n        self.spare.stop()\n\n\ndef built():\n    return Car(None)\n\n\ndef unsure(x):\n    if x:\n        return Car(None)\n    return Engine()\n",
+    "p/b.py": "from .a import built, unsure, Car\nimport p.a as q\n\n\ndef go():\n    car = built()\n    car.run()\n    built().motor().stop()\n    car.motor().start().stop()\n    unsure(1).run()\n    q.built().run()\n    m = car.motor()\n    m.stop()\n    Car(None).engine.start()\n",
+    "T.java": "class Wheel {\n  void turn() {\n  }\n}\nclass Cart {\n  private Wheel left;\n  void go(Wheel other) {\n    left.turn();\n    other.turn();\n    this.left.turn();\n  }\n}\n",
+}
+
+
+def test_receivers_through_returns_and_fields(spark):
+    files = code.files_of(spark.createDataFrame([(p, t.encode()) for p, t in CHAINS.items()], "path string, content binary"))
+    got = {(r["from_file"], r["line"], r["to_name"]): r["to_symbol"] for r in code.corpus(files).edges.filter("kind = 'calls'").collect()}
+    stop, run = "p/a.py#Engine.stop", "p/a.py#Car.run"
+    assert [got["p/a.py", n, t] for n, t in ((20, "self.engine.stop"), (21, "self.given.start.stop"), (22, "self.spare.stop"))] == [stop] * 3
+    b = {line: [v for (f, n, _), v in got.items() if f == "p/b.py" and n == line] for line in range(6, 15)}
+    assert run in b[7] and stop in b[8] and stop in b[9] and run in b[11] and stop in b[13] and "p/a.py#Engine.start" in b[14]
+    assert run not in b[10]
+    assert [got["T.java", n, t] for n, t in ((8, "left.turn"), (9, "other.turn"), (10, "this.left.turn"))] == ["T.java#Wheel.turn"] * 3
