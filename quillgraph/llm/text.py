@@ -29,6 +29,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # What the slices needed goes back to the system before the next batch comes.
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
