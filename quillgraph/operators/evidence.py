@@ -34,9 +34,9 @@ def plumb(corpus: Corpus, symbol: str, claims: DataFrame, direction: str = "in",
     calls = corpus.edges.filter("kind = 'calls'")
     if direction == "in":
         names = corpus.unique_symbols().join(t, "qualified_name", "left_semi").select("name").distinct()
-        loose = calls.join(F.broadcast(names), F.col("to_name") == F.col("name"), "left_semi")
+        loose = calls.join(names, F.col("to_name") == F.col("name"), "left_semi")
     else:
-        loose = calls.join(F.broadcast(t), F.col("from_symbol") == F.col("qualified_name"), "left_semi")
+        loose = calls.join(t, F.col("from_symbol") == F.col("qualified_name"), "left_semi")
     loose = loose.select(F.col("from_file").alias("file"), "line").distinct()
     files = corpus.files.select(F.col("path").alias("file"))
     c = claims.select("file", F.col("line").cast("int").alias("line")).distinct()

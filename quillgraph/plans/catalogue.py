@@ -354,8 +354,13 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Documents that quote a benchmark item, shortest first, against the first of them."""
     from pyspark.sql import Window
 
-    b = F.broadcast(adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("quote")))
-    found = adapters.table(spark, d, "documents").join(b, F.contains("text", "quote")).select("case_id", F.col("doc_id").alias("item"), F.length("text").alias("n"))
+    # A text that holds a quote holds its second to fifth word as a run of whole words.
+    word = F.split("text", " ")
+    b = adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("quote"), F.array_join(F.slice(word, 2, 4), " ").alias("run"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(word) - 3, F.lit(1))), lambda i: F.array_join(F.slice(word, i, 4), " ")))
+    docs = adapters.table(spark, d, "documents").select("doc_id", "text")
+    near = docs.select("doc_id", F.explode(runs).alias("run")).join(b.select("case_id", "run"), "run").select("doc_id", "case_id")
+    found = near.join(docs, "doc_id").join(b, "case_id").filter(F.contains("text", "quote")).select("case_id", F.col("doc_id").alias("item"), F.length("text").alias("n"))
     hits = found.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("n", "item")))
     m = evidence.ranking_metrics(hits, found.groupBy("case_id").agg(F.min("item").alias("item")))
     return m.select("case_id", "recall", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("precision", 6).alias("precision"))

@@ -58,17 +58,18 @@ def _pattern(line: str, folder: str) -> tuple[re.Pattern, bool, bool] | None:
     return re.compile("^" + re.escape(folder) + ("" if rooted else "(?:.*/)?") + body + "$"), negated, only
 
 
-def scan_paths(root: str) -> list[str]:
+def scan_paths(root: str, ignore_files: tuple[str, ...] = (".gitignore",)) -> list[str]:
     """Sorted paths below a folder: no hidden files, no links, no folders that hold no sources, nothing that an
-    ignore file (``.gitignore``, nested ones layered, the last match decides) excludes; ``package.json`` stays."""
+    ignore file (of these names, nested ones layered, the last match decides) excludes; ``package.json`` stays."""
     found: list[str] = []
     total = 0
 
     def walk(folder: str, rules: list) -> None:
         nonlocal total
         here = os.path.join(root, folder)
-        ignore = os.path.join(here, ".gitignore")
-        if os.path.isfile(ignore) and not os.path.islink(ignore):
+        for ignore in (os.path.join(here, name) for name in ignore_files):
+            if not os.path.isfile(ignore) or os.path.islink(ignore):
+                continue
             if os.path.getsize(ignore) > IGNORE_BYTES:
                 raise ValueError(f"{ignore} has over {IGNORE_BYTES} bytes")
             with open(ignore, encoding="utf-8", errors="replace") as f:
