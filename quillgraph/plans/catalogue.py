@@ -357,7 +357,9 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     # A text that holds a quote holds its second to fifth word as a run of whole words.
     word = F.split("text", " ")
     b = adapters.table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("quote"), F.array_join(F.slice(word, 2, 4), " ").alias("run"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(word) - 3, F.lit(1))), lambda i: F.array_join(F.slice(word, i, 4), " ")))
+    n = F.greatest(F.size(word) - 3, F.lit(0))
+    both = lambda x, y: F.concat(x, F.lit(" "), y)
+    runs = F.array_distinct(F.zip_with(F.zip_with(F.slice(word, F.lit(1), n), F.slice(word, F.lit(2), n), both), F.zip_with(F.slice(word, F.lit(3), n), F.slice(word, F.lit(4), n), both), both))
     docs = adapters.table(spark, d, "documents").select("doc_id", "text")
     near = docs.select("doc_id", F.explode(runs).alias("run")).join(b.select("case_id", "run"), "run").select("doc_id", "case_id")
     found = near.join(docs, "doc_id").join(b, "case_id").filter(F.contains("text", "quote")).select("case_id", F.col("doc_id").alias("item"), F.length("text").alias("n"))
