@@ -42,12 +42,14 @@ from quillgraph.plans.shared import cut, drop, release
 K = 24
 #: Members up to which a list gives all its pairs.
 SMALL = 24
-#: Leaders that a long list names in its rounds.
-ROUNDS = (1, 16, 256)
+#: Components of a long list that name leaders in its rounds, and how many each; four times as many in each round after.
+ROUNDS = ((1, 1), (16, 4), (256, 16))
 #: Smallest hashes of a set whose runs of neighbours are looked at.
 FEW = 128
 #: Parts that the members of one long list are dealt to.
 PARTS = 64
+#: Members for which the leaders of a list are dealt to one more part.
+MEMBERS = 100
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -188,40 +190,65 @@ def _by_list(entries: DataFrame, *aggregates: F.Column) -> DataFrame:
 
 
 def _feasible(entries: DataFrame, t: float) -> DataFrame:
-    """Without the members that can't have their first common shingle here, even with the smallest partner of their list."""
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
-    lists = _by_list(entries, F.min("n").alias("low"), F.count(F.lit(1)).alias("c")).agg(F.min("low").alias("low"), F.sum("c").alias("c"), F.collect_set("part").alias("parts"))
-    least = lists.filter("c > 1").select("v", "low", F.explode("parts").alias("part"))
+    """The members that can have their first common shingle here with a member of another component, with the size ``c`` of their list.
+
+    The smaller of a pair leaves ``n - u >= 2 * share * n`` (``able``), so lists without such a member have no pair either.
+    ``low`` is the smallest size and ``top`` the largest ``n - u - share * n`` among members of other components."""
     share = t / (1 + t)
-    return entries.join(least, ["v", "part"]).filter((F.col("n") - F.col("u")) >= (F.col("n") + F.greatest("low", F.ceil(F.col("n") * t - 1e-6))) * F.lit(share) - 1e-6).select("v", "part", "rep", "n", "u")
+    room = F.col("n") - F.col("u") - F.col("n") * F.lit(share)
+    own = entries.select("v", "part", "rep", "n", "u", "comp", room.alias("room")).withColumn("able", F.col("room") >= F.col("n") * F.lit(share) - 1e-6)
+    first = _by_list(own, F.min(F.struct("n", "comp")).alias("l"), F.max(F.struct("room", "comp")).alias("h"), F.min("comp").alias("p"), F.max("comp").alias("q"), F.max("able").alias("able"), F.count(F.lit(1)).alias("c"))
+    first = first.agg(F.min("l").alias("l"), F.max("h").alias("h"), F.min("p").alias("p"), F.max("q").alias("q"), F.max("able").alias("any"), F.sum("c").alias("c"), F.collect_set("part").alias("parts")).filter("p < q and any")
+    own = own.join(first.select("v", "l", "h", "c", F.explode("parts").alias("part")), ["v", "part"])
+    second = _by_list(own, F.min(F.when(F.col("comp") != F.col("l.comp"), F.col("n"))).alias("l2"), F.max(F.when(F.col("comp") != F.col("h.comp"), F.col("room"))).alias("h2"))
+    second = second.agg(F.min("l2").alias("l2"), F.max("h2").alias("h2"), F.collect_set("part").alias("parts")).select("v", "l2", "h2", F.explode("parts").alias("part"))
+    low = F.when(F.col("comp") != F.col("l.comp"), F.col("l.n")).otherwise(F.col("l2"))
+    top = F.when(F.col("comp") != F.col("h.comp"), F.col("h.room")).otherwise(F.col("h2"))
+    least = F.greatest(low, F.ceil(F.col("n") * t - 1e-6)) * F.lit(share) - 1e-6
+    return own.join(second, ["v", "part"]).filter((F.col("room") >= least) & (top >= F.col("n") * F.lit(share) - 1e-6)).select("v", "part", "rep", "n", "u", "comp", "able", "c")
+
+
+def _leaders(entries: DataFrame, step: int) -> DataFrame:
+    """(v, lead, ln, lu, lc, lp, c): members of each list for all others to be compared with.
+
+    Of each component a few, of many components: a component that holds most of a list needs no more of
+    its own than the others do, and when those outside it have led, the list is done."""
+    comps, each = ROUNDS[min(step, len(ROUNDS) - 1)]
+    more = 4 ** max(0, step - len(ROUNDS) + 1)
+    salts = [F.pmod(F.xxhash64("comp"), F.lit(comps * more)).alias("s"), F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(each * more)).alias("r")]
+    best = entries.filter("able").groupBy("v", *salts).agg(F.min(F.struct("u", "n", "rep", "comp", "part", "c")).alias("l"))
+    return best.select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.u").alias("lu"), F.col("l.comp").alias("lc"), F.col("l.part").alias("lp"), F.col("l.c").alias("c"))
+
+
+def _dealt(c: str) -> F.Column:
+    """The parts that leaders of a list of ``c`` members go to: one for each ``MEMBERS``, up to ``PARTS``."""
+    return F.least(F.lit(PARTS), F.ceil(F.col(c) / MEMBERS)).cast("int")
 
 
 def _long_lists(entries: DataFrame, sets: DataFrame, t: float, num: int, den: int) -> DataFrame:
     """Links that join all that the lists (v, rep, n, u) connect: rounds of leaders against members.
 
-    A pair meets in the list of its first common shingle at least; there ``n - u`` is all that either can share."""
+    A pair meets in the list of its first common shingle at least; there ``n - u`` is all that either can share.
+    Each round first leaves out the members that no other component has a partner for."""
     share = t / (1 + t)
-    entries = cut(_feasible(entries, t).withColumn("comp", F.col("rep")))
+    entries = cut(entries.withColumn("comp", F.col("rep")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int")))
     links = comp = None
     step, spent = 0, []
     while True:
         release(entries.sparkSession)
-        lists = _by_list(entries, F.min("comp").alias("p"), F.max("comp").alias("q")).agg(F.min("p").alias("p"), F.max("q").alias("q"), F.collect_set("part").alias("parts"))
-        open_lists = cut(lists.filter("p < q").select("v", "parts"))
-        before, entries = entries, cut(entries.join(open_lists.select("v", F.explode("parts").alias("part")), ["v", "part"], "left_semi"))
+        before, entries = entries, cut(_feasible(entries, t))
         drop(before if step == 0 else None, *spent)
         if entries.isEmpty():
-            drop(entries, open_lists, comp)
+            drop(entries, comp)
             return links
-        many = ROUNDS[min(step, len(ROUNDS) - 1)] * (1 if step < len(ROUNDS) else 4 ** (step - len(ROUNDS) + 1))
-        salt = F.pmod(F.xxhash64("rep"), F.lit(many))
-        leaders = cut(entries.groupBy("v", salt.alias("salt")).agg(F.min(F.struct("u", "n", "rep", "comp", "part")).alias("l")).select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.u").alias("lu"), F.col("l.comp").alias("lc"), F.col("l.part").alias("lp")))
+        leaders = cut(_leaders(entries, step))
         need = (F.col("n") + F.col("ln")) * F.lit(share) - 1e-6
-        dealt = leaders.drop("lp").join(open_lists, "v").withColumn("part", F.explode("parts")).drop("parts")
-        met = entries.join(dealt, ["v", "part"]).filter((F.col("comp") != F.col("lc")) & ~_apart(t, "n", "ln") & (F.col("n") - F.col("u") >= need) & (F.col("ln") - F.col("lu") >= need))
+        dealt = leaders.drop("lp").withColumn("deal", F.explode(F.sequence(F.lit(0), _dealt("c") - 1))).drop("c")
+        met = entries.withColumn("deal", F.pmod("part", _dealt("c"))).join(dealt, ["v", "deal"])
+        met = met.filter((F.col("comp") != F.col("lc")) & ~_apart(t, "n", "ln") & (F.col("n") - F.col("u") >= need) & (F.col("ln") - F.col("lu") >= need))
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         new = cut(_confirmed(pairs, sets, num, den))
-        spent = [entries, open_lists, leaders]
+        spent = [entries, leaders]
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             spent.append(comp)

@@ -64,6 +64,52 @@ def test_short_texts_in_long_lists(spark):
     assert sum(g[2] for g in got.values()) == 25
 
 
+def rows_made(spark, word, of):
+    """Rows that the plan nodes named ``word`` make while ``of`` runs, and what it returns."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def ids():
+        bus.waitUntilEmpty()
+        runs = store.executionsList()
+        return {runs.apply(i).executionId() for i in range(runs.size())}
+
+    before, out, made = ids(), of(), 0
+    for run in ids() - before:
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name() == word else []
+            found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            made += sum(int(x.get().replace(",", "")) for x in found if x.isDefined())
+    return made, out
+
+
+def test_rows_of_a_long_list_that_one_member_keeps_open(spark):
+    # 600 of a list come together in the first round; one more is like none of them, but its place in the list doesn't tell.
+    sets = [(i, [*(x for x in range(100) if x != i % 50), 1000 + i]) for i in range(600)] + [(600, [*range(85), *range(5000, 5015)])]
+    entries = spark.createDataFrame([(7, i, 100, 8 if i == 600 else i % 3) for i, _ in sets], "v long, rep long, n int, u int")
+    made, links = rows_made(spark, "Generate", lambda: near_dedup._long_lists(entries, spark.createDataFrame(sets, "rep long, hashes array<long>"), 0.85, 85, 100))
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == dict.fromkeys(range(600), 0)
+    assert 0 < made <= 3 * len(sets)
+
+
+def test_long_lists_against_brute_force(spark):
+    # Families at the threshold, of equal and of many sizes: some members come together late, some never.
+    r = random.Random(11)
+    rows, i = [], 0
+    for family, size, edits in ((0, 160, (3, 9)), (1, 120, (2, 7)), (2, 90, (0, 12))):
+        base = [f"f{family}w{x}" for x in range(120)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(*edits)):
+                w[r.randrange(len(w))] = r.choice([f"e{r.randrange(60)}", f"own{i}"])
+            rows.append((i, " ".join(w[: len(w) - (r.randrange(20) if family == 2 else 0)])))
+            i += 1
+    expected = brute.near_groups(rows, 3, 85, 100)
+    assert {x: g[:2] for x, g in grouped(spark, rows).items()} == expected
+    assert 3 < len({c for _, c in expected.values()}) < len(rows) - 20
+
+
 @pytest.mark.parametrize(("t", "places", "width"), [(0.8, 12, 3), (0.5, 10, 1), (0.3, 9, 2)])
 def test_least_runs(t, places, width):
     share = {}
