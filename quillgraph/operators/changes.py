@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.corpus import Corpus
 from quillgraph.operators.find_text import at_lines
+from quillgraph.operators.graph import few_of, in_files, touching
 from quillgraph.plans.shared import cut
 
 
@@ -105,7 +106,9 @@ def renames(before: DataFrame, after: DataFrame, diff: list[FileDiff] | None = N
 def _texts(corpus: Corpus) -> DataFrame:
     """Symbols with a digest of what they say: the span's lines where the file has a text, and the signature."""
     s = corpus.unique_symbols().select("qualified_name", "file", "kind", "start_line", "start_col", "end_line", "signature")
-    lines = corpus.files.select(F.col("path").alias("file"), F.when(F.length("text") > 0, F.split("text", "\n", -1)).alias("l"))
+    lines = corpus.files.filter("length(text) > 0").select(F.col("path").alias("file"), F.split("text", "\n", -1).alias("l"))
+    if lines.isEmpty():  # else a file's symbols meet in one task, to no purpose
+        return s.select("qualified_name", "file", "kind", "start_line", "start_col", F.sha2(F.concat_ws("\x1f", F.lit(""), "signature"), 256).alias("says"))
     body = F.coalesce(F.array_join(F.slice("l", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))), "\n"), F.lit(""))
     return s.join(lines, "file", "left").select("qualified_name", "file", "kind", "start_line", "start_col", F.sha2(F.concat_ws("\x1f", body, "signature"), 256).alias("says"))
 
@@ -132,7 +135,8 @@ def symbol_changes(base: Corpus, current: Corpus, diff: list[FileDiff] | None =
     moved = renames(base.files, current.files, diff)
     a = _texts(base).select(*(F.col(c).alias(f"a_{c}") for c in ("qualified_name", "file", "kind", "start_line", "start_col", "says")))
     b = _texts(current).select(*(F.col(c).alias(f"b_{c}") for c in ("qualified_name", "file", "kind", "start_line", "start_col", "says")))
-    a = a.join(moved, F.col("a_file") == F.col("old_path"), "left").withColumn("now_file", F.coalesce("new_path", "a_file"))
+    moved = cut(moved)
+    a = a.join(F.broadcast(moved) if few_of(moved, "old_path") is not None else moved, F.col("a_file") == F.col("old_path"), "left").withColumn("now_file", F.coalesce("new_path", "a_file"))
     a = a.withColumn("now_name", F.when(F.col("new_path").isNotNull(), F.concat("new_path", F.substring("a_qualified_name", F.length("a_file") + 1, F.length("a_qualified_name")))).otherwise(F.col("a_qualified_name"))).drop("old_path", "new_path")
     by_name = a.join(b, F.col("now_name") == F.col("b_qualified_name"), "full_outer")
     paired = by_name.filter("a_qualified_name is not null and b_qualified_name is not null")
@@ -168,16 +172,25 @@ def dependents(corpus: Corpus, seeds: DataFrame, depth: int | None = 3) -> DataF
     src = F.coalesce("to_symbol", "to_file")
     dst = F.when(F.col("from_symbol") != "", F.col("from_symbol")).otherwise(F.col("from_file"))
     weak = ("same-file-name", "imported-file-name", "unique-name", "receiver-hint")
-    steps = e.select(src.alias("src"), dst.alias("dst"), "kind", "line", (~F.coalesce(F.col("method"), F.lit("")).isin(*weak)).alias("sure"))
-    seen = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.array("node").alias("path"), F.lit(True).alias("reliable")))
+    steps = e.select(src.alias("src"), dst.alias("dst"), "kind", "line", (~F.coalesce(F.col("method"), F.lit("")).isin(*weak)).alias("sure"), "to_file", "from_file")
+    start = seeds.select("node").distinct()
+    seen = cut(start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.array("node").alias("path"), F.lit(True).alias("reliable")))
+    few, at = few_of(seen), None
+    if few is None:
+        # Many seeds: if all are symbols or files of the corpus, edges into other files needn't be dealt out.
+        own = corpus.symbols.select(F.col("qualified_name").alias("node"), "file").unionAll(corpus.files.select(F.col("path").alias("node"), "path"))
+        at = cut(touching(own, "node", seen, few).distinct())
+        at = at.select("file") if seen.join(at, "node", "left_anti").isEmpty() else None
     level, frontier = 0, seen
     while depth is None or level < depth:
         level += 1
-        met = frontier.select(F.col("node").alias("src"), "path", "reliable").join(steps, "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        best = met.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("path", "kind", "line", "reliable", "sure")).alias("b"))
-        frontier = cut(best.select("node", F.lit(level).alias("depth"), F.col("b.kind").alias("via"), F.concat("b.path", F.array("node")).alias("path"), (F.col("b.reliable") & F.col("b.sure")).alias("reliable")))
-        if frontier.isEmpty():
+        near = steps if at is None else in_files(steps, "to_file", at, "file")
+        met = touching(near, "src", frontier, few).join(frontier.select(F.col("node").alias("src"), "path", "reliable"), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        best = met.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("path", "kind", "line", "reliable", "sure")).alias("b"), F.min("from_file").alias("file"))
+        reached = cut(best.select("node", F.lit(level).alias("depth"), F.col("b.kind").alias("via"), F.concat("b.path", F.array("node")).alias("path"), (F.col("b.reliable") & F.col("b.sure")).alias("reliable"), "file"))
+        if reached.isEmpty():
             break
+        frontier, at, few = reached.drop("file"), reached.select("file"), few_of(reached)
         seen = seen.unionAll(frontier)
     return seen.filter("depth > 0")
 

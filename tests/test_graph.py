@@ -137,6 +137,78 @@ def test_scopes(spark):
     assert scopes.detected(c).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_corpus(spark, n=40, m=400):
+    import random
+
+    r = random.Random(5)
+    file = lambda k: ("tests/t" if k % 5 == 0 else "src/f") + f"{k % 4}.py"
+    name = lambda k: f"{file(k)}#s{k}"
+    edges = [("calls", file(a), name(a), f"s{b}", line, name(b), file(b), "resolved", "import-binding", None, None, None, None, None, None, None) for line in range(m) for a, b in [(r.randrange(n), int(n * r.random() ** 2))]]
+    symbols = [(name(k), file(k), f"s{k}", "function", k + 1, k + 1, 0, 0, "", 0, False, False) for k in range(n - 3)]
+    files = [(p, "python", p, 1, 1, "") for p in sorted({file(k) for k in range(n)})]
+    return cp.Corpus(spark.createDataFrame(files, cp.FILES), spark.createDataFrame(symbols, cp.SYMBOLS), spark.createDataFrame(edges, cp.EDGES), spark.createDataFrame([], cp.ROUTES)), edges, [x[0] for x in symbols]
+
+
+def test_second_level_of_reach_counts_up_to_the_cap_from_counts_by_file(spark, monkeypatch):
+    c, edges, symbols = random_corpus(spark)
+    for cap in (7, 60, 2_000):
+        monkeypatch.setattr(graph, "REACH_CAP", cap)
+        want = []
+        for s in symbols:
+            one = [e for e in edges if e[5] == s]
+            callers = {e[2] for e in one if e[2] != s and e[2] in symbols}
+            two = sorted((e[5], e[1], e[4]) for e in edges if e[5] in callers)
+            want.append((s, len(one), len({e[1] for e in one}), len({e[1].split("/")[0] for e in one}), len({e[1] for e in one if e[1].startswith("tests/")}), min(len(two), cap), len({x[1] for x in two[:cap]}), len(two) > cap))
+        got = graph.reach(c, depth=2)
+        assert rows(got, "qualified_name", "d1_edges", "d1_files", "d1_dirs", "tests", "d2_edges", "d2_files", "d2_capped") == sorted(want)
+    # Edges are dealt out as counts, not once for each thing that is counted.
+    assert "Expand" not in plan_of(graph.reach(c)) and "Expand" not in plan_of(c.degree())
+
+
+def test_walks_with_many_nodes_equal_those_by_name(spark, monkeypatch):
+    c, edges, symbols = random_corpus(spark, m=70)
+    e = c.edges.select(F.col("to_symbol").alias("src"), F.col("from_symbol").alias("dst"), F.col("to_file").alias("src_file"), F.col("from_file").alias("dst_file"))
+    seeds = spark.createDataFrame([(s,) for s in symbols[:6]], "node string")
+    run = lambda: (rows(graph.bfs(e, seeds, 3), "node", "depth"), rows(graph.bfs(e.drop("src_file", "dst_file"), seeds, 3), "node", "depth"), rows(changes.dependents(c, seeds, 3), "node", "depth", "via", "path"), rows(graph.callers(c, symbols[0], depth=3), "depth", "file", "line", "node"))
+    want = run()
+    assert want[0] == want[1] and len(want[2]) > 5
+    monkeypatch.setattr(graph, "FEW", 5)
+    assert run() == want
+
+
+def test_tested_symbols_meet_in_no_task_by_their_test_file(spark, monkeypatch):
+    c, edges, symbols = random_corpus(spark)
+    tests = spark.createDataFrame([("tests/t0.py",), ("tests/t1.py",)], "path string")
+    want = []
+    for t in ("tests/t0.py", "tests/t1.py"):
+        used = sorted({e[5] for e in edges if e[1] == t and e[5] in symbols and not e[6].startswith("tests/")})
+        for s in used[:4]:
+            lines = sorted(e[4] for e in edges if e[1] == t and e[5] == s)
+            want.append((t, s, s.split("#")[0], lines[:2], max(len(lines) - 2, 0), max(len(used) - 4, 0), 0))
+    names = ("test_file", "qualified_name", "file", "lines", "omitted_sites", "omitted_symbols", "unresolved_edges")
+    got = evidence.symbols_under_test(c, tests, limit=4, sites=2)
+    assert rows(got, *names) == sorted(want)
+    import re
+
+    assert not [x for x in re.findall(r"Window \[.*?\], \[(\w+)#\d+\]", plan_of(got)) if x == "from_file"]
+    monkeypatch.setattr(graph, "FEW", 1)
+    assert rows(evidence.symbols_under_test(c, tests, limit=4, sites=2), *names) == sorted(want)
+
+
+def test_words_are_counted_before_they_are_dealt_out(spark):
+    files = spark.createDataFrame([("a.py", "python", "h", 1, 3, "foo bar\nfoo foo\nbar"), ("b.py", "python", "h", 1, 1, "foo"), ("tests/x.py", "python", "h", 1, 1, "foo")], cp.FILES)
+    c = cp.Corpus(files, *(spark.createDataFrame([], s) for s in (cp.SYMBOLS, cp.EDGES)))
+    names = spark.createDataFrame([("a#foo", "foo", "a.py", 1, 1), ("a#foo", "foo", "a.py", 3, 3), ("b#foo", "foo", "b.py", 1, 1), ("a#bar", "bar", "a.py", 2, 3), ("a#no", "no", "a.py", 1, 1)], "qualified_name string, name string, file string, start_line int, end_line int")
+    got = evidence.mentions(c, names)
+    assert rows(got, "qualified_name", "mentions") == [("a#bar", 1), ("a#foo", 7), ("a#no", 0), ("b#foo", 3)]
+    words = plan_of(got).split("regexp_extract_all(text")[0].rstrip().split("\n")
+    assert any("partial_count" in x for x in words[-6:])
+
+
 def test_index_of_a_plain_corpus_is_counted_in_its_rows(spark):
     texts = [("src/a1.md", "fox FoxDen fox the\nden"), ("src/b.md", ""), ("fox/c.md", "a src 1 " + "x" * 65), ("d.md", None)]
     plain = cp.Corpus(spark.createDataFrame([(p, "fallback", p, 1, 1, t) for p, t in texts], cp.FILES), *(spark.createDataFrame([], s) for s in (cp.SYMBOLS, cp.EDGES)))
